@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +56,11 @@ def ascii_lower(text):
 def parts(n: int, per: int) -> int:
     """How many partitions of about `per` rows n rows need."""
     return max(1, -(-int(n) // per))
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A tool with a memo that a Python worker makes once and keeps for its later tasks."""
+    there = sys.modules.setdefault("_obspipe_kept", types.ModuleType("_obspipe_kept")).__dict__
+    if key not in there:
+        there[key] = make()
+    return there[key]

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, saved
+from .common import kept, parts, saved
 
 END = (1).to_bytes(4, "little")
 #: Entries that a worker's memo of encoded words holds at most.
-MEMO = 400_000
+MEMO = 800_000
 #: Pieces that one packing task takes, about.
 PER_TASK = 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -42,7 +42,9 @@ class Encoder:
     rank file of the same vocabulary. All other texts go to the tokenizer as they are.
     """
 
-    OTHER = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>")
+    PLAIN = re.compile("[^\n\x20-\x7e\xa1-\u024f]")
+    OTHER = re.compile("[^\x00-\u024f]")
+    SPECIAL = "<|endoftext|>"
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,30 +58,31 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def word(self, w: str) -> bytes:
-        found = self.memo.get(w)
-        if found is None:
-            found = np.array(self.words.encode_ordinary(w), np.uint32).tobytes()
-            if len(self.memo) < MEMO:
-                self.memo[w] = found
+        """Ids of a word with the space before it."""
+        found = np.array(self.words.encode_ordinary(" " + w), np.uint32).tobytes()
+        if len(self.memo) < MEMO:
+            self.memo[w] = found
         return found
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.OTHER.search(text):
+        if self.PLAIN.search(text) and self.OTHER.search(text) or self.SPECIAL in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        if "  " in text or text[0] == " " or text[-1] == " " or re.search("\\s \\S|\\S \\s", text):
+        spaced = "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " "
+        if spaced or self.PLAIN.search(text):
             return np.array(self.words.encode_ordinary(text), np.uint32).tobytes()
         first, *rest = text.split(" ")
         known, word = self.memo.get, self.word
-        return self.word(first) + b"".join([known(" " + w) or word(" " + w) for w in rest])
+        head = np.array(self.words.encode_ordinary(first), np.uint32).tobytes()
+        return head + b"".join([known(w) or word(w) for w in rest])
 
 
 def cut(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, window: int, with_ids: bool = False) -> DataFrame:
     """Pieces of at most `window` ids: full windows and a remainder for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, ranks, pattern)
+        encoder = kept(("encoder", vocabulary), lambda: Encoder(vocabulary, ranks, pattern))
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -22,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries that a worker's memo holds at most; beyond that, counts are computed again.
-MEMO = 400_000
+MEMO = 800_000
+#: Characters of the texts whose units are learnt together.
+LEARN = 1 << 22
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, limit_chars long, prefix_chars array<int>, prefix_tokens array<int>"
 
@@ -45,8 +49,10 @@ class PrefixCounter:
         }
         self.longest = max(map(len, self.score))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        #: pieces that merging their characters gives back
+        self.usable = {piece for piece in self.score if self.merge(piece) == [piece]}
         self.units: dict[str, int] = {}
+        self.fresh: dict[str, int] = {}
 
     def merge(self, s: str) -> list[str]:
         """The pieces of s by merging the best-scored neighbours, leftmost first."""
@@ -62,17 +68,10 @@ class PrefixCounter:
             p[at : at + 2] = [p[at] + p[at + 1]]
         return p
 
-    def reachable(self, piece: str) -> bool:
-        if piece not in self.whole:
-            self.whole[piece] = self.merge(piece) == [piece]
-        return self.whole[piece]
-
     def valid(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        found = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return found
 
     def unit(self, u: str) -> list[int]:
@@ -81,20 +80,51 @@ class PrefixCounter:
             return [0] + [len(self.library.encode(u[1:i])) if i > 1 else 1 for i in range(1, len(u) + 1)]
         last: list[str | None] = [None]
         count = [0]
-        for i in range(1, len(u) + 1):
-            for k in range(min(i, self.longest), 0, -1):
-                piece = u[i - k : i]
-                if piece in self.score and self.reachable(piece) and (last[i - k] is None or self.valid(last[i - k], piece)):
+        self.extend(u, last, count)
+        return count
+
+    def extend(self, u: str, last: list, count: list) -> None:
+        """Go on with the table (last piece and count of each prefix) of a prefix of u to the end of u."""
+        usable, known, longest = self.usable, self.pairs.get, self.longest
+        for i in range(len(count), len(u) + 1):
+            for j in range(i - longest if i > longest else 0, i):
+                piece = u[j:i]
+                if piece in usable:
+                    before = last[j]
+                    if before is not None:
+                        ok = known((before, piece))
+                        if not (self.valid(before, piece) if ok is None else ok):
+                            continue
                     last.append(piece)
-                    count.append(count[i - k] + 1)
+                    count.append(count[j] + 1)
                     break
             else:  # no piece for this character: its bytes, which merge with nothing
                 last.append(None)
                 count.append(count[i - 1] + len(u[i - 1].encode("utf-8", "surrogatepass")))
-        return count
+
+    def learn(self, texts: list[str]) -> None:
+        """Fill the memo with the units of some texts, in sorted order: the table of a shared prefix is kept."""
+        self.fresh = {}
+        known, new = self.units, set()
+        for text in texts:
+            if not self.irregular(text):
+                new.update(u for u in text.split(" ") if u not in known)
+        last: list[str | None] = [None]
+        count, before = [0], ""
+        for u in sorted(new):
+            n, most = 0, min(len(u), len(before))
+            while n < most and u[n] == before[n]:
+                n += 1
+            del last[n + 2 :], count[n + 2 :]  # the mark counts too
+            self.extend(MARK + u, last, count)
+            before = u
+            (known if len(known) < MEMO else self.fresh)[u] = count[-1]
+
+    def irregular(self, text: str) -> bool:
+        return not text or "  " in text or MARK in text or text[0] == " " or text[-1] == " "
 
     def total(self, u: str) -> int:
-        found = self.units.get(u)
+        found = self.units.get(u) or self.fresh.get(u)
         if found is None:
             found = self.unit(MARK + u if not u.startswith(MARK) else u)[-1]
             if len(self.units) < MEMO:
@@ -105,7 +135,7 @@ class PrefixCounter:
         """Units, and the end (in characters of the text) and running token count of each."""
         if not text:
             return [], np.zeros(0, np.int32), np.zeros(0, np.int32)
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        if self.irregular(text):
             units = UNIT.findall(MARK + text.replace(" ", MARK))
             sizes = np.fromiter(map(len, units), np.int64, len(units))
             tokens = np.fromiter((self.total(u if u.startswith(MARK * 2) else u[1:]) for u in units), np.int64, len(units))
@@ -151,11 +181,17 @@ def prefix_tables(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model)
+        counter = kept(("prefix counter", model), lambda: PrefixCounter(model))
         for batch in batches:
             n_bytes, n_tokens, fits, ends, counts = [], [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ahead = at = 0
+            for i, text in enumerate(texts):
+                if i == ahead:
+                    while ahead < len(texts) and (at < LEARN or i == ahead):
+                        at, ahead = at + len(texts[ahead]), ahead + 1
+                    counter.learn(texts[i:ahead])
+                    at = 0
                 units, e, c = counter.table(text)
                 n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
                 n_tokens.append(int(c[-1]) if units else 0)
