@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, token_counts
+from . import decontaminate, fingerprint, packing, sharding, simhash, token_counts
 from .common import table
 
 
@@ -43,8 +43,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_simhash, op3_packing, op5_decontamination)
+    for f in (op1_token_counts, op2_simhash, op3_packing, op5_decontamination, op7_fingerprints, op8_sharding)
 }
 ORACLE_SQL: dict[str, str] = {}
