@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, packing, sharding, simhash, token_counts
+from . import decontaminate, fingerprint, packing, sharding, simhash, substring, token_counts
 from .common import table
 
 
@@ -52,8 +52,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_simhash, op3_packing, op5_decontamination, op7_fingerprints, op8_sharding)
+    for f in (op1_token_counts, op2_simhash, op3_packing, op5_decontamination, op7_fingerprints, op8_sharding, op9_substring_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
