@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, packing, sharding, simhash, substring, token_counts
+from . import decontaminate, fingerprint, lm, packing, sharding, simhash, substring, token_counts
 from .common import table
 
 
@@ -56,8 +56,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_simhash, op3_packing, op5_decontamination, op7_fingerprints, op8_sharding, op9_substring_dedup)
+    for f in (op1_token_counts, op2_simhash, op3_packing, op5_decontamination, op6_lm_scoring, op7_fingerprints, op8_sharding, op9_substring_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
