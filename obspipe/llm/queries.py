@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, lm, packing, sharding, simhash, substring, token_counts
+from . import decontaminate, fingerprint, lm, packing, pii, quality, sharding, simhash, substring, token_counts
 from .common import table
 
 
@@ -60,8 +60,17 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_simhash, op3_packing, op5_decontamination, op6_lm_scoring, op7_fingerprints, op8_sharding, op9_substring_dedup)
+    for f in (op1_token_counts, op2_simhash, op3_packing, op4_pii, op5_decontamination, op6_lm_scoring, op7_fingerprints, op8_sharding, op9_substring_dedup, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
