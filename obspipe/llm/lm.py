@@ -276,7 +276,6 @@ def score(docs: DataFrame) -> DataFrame:
     # the row's text takes part, so that many rows of one doc_id don't meet in a block
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
-    rows = saved(rows.repartition(blocks, "block").sortWithinPartitions("block"), "blocks")
     edge = [(s << 64) // shards for s in range(1, shards)]
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
