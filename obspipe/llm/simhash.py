@@ -4,9 +4,9 @@ Fingerprint: A-Z are lower-cased, words are runs of characters other than ASCII
 are `words` consecutive words (a shorter text is one shingle, a text without words has fingerprint
 zero); bit i is set if more than half of the shingles' XXH64 values (seed 42) have it.
 
-Links: the 64 bits are cut into BLOCKS blocks, so two fingerprints within `bits` differ by at most
-bits // BLOCKS in one of them. In a block the anchors are a covering code of radius 1: a Hamming code
-on 15 bits times all values of the rest. Each fingerprint lives at the nearest anchor of each block and
+Links: the 64 bits are cut into enough blocks that two fingerprints within `bits` differ by at most one
+bit in one of them (three blocks at least). In a block the anchors are a covering code of radius 1: a
+Hamming code on as many bits as fit (15, 7 or 3) times all values of the rest. Each fingerprint lives at the nearest anchor of each block and
 is replicated to every anchor within covering radius plus the block's share of the threshold; all pairs
 of a resident and a visitor of an anchor are compared there, so no link is missed. Equal fingerprints
 are one node from the start. An anchor with many residents is split into shares that all see its
@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import components
 
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-RADIUS = 1
+RADIUS, SHARE = 1, 1
 #: Residents of one anchor that a task holds; an anchor with more is split.
 RESIDENTS = 20_000
 #: Pairs compared at once.
@@ -68,37 +67,47 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def syndromes() -> np.ndarray:
-    """Syndrome of each 15-bit word in the Hamming code whose check matrix counts 1 to 15."""
-    v = np.arange(1 << 15)
-    out = np.zeros(1 << 15, np.int64)
-    for i in range(15):
+def blocks(bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of blocks in one of which fingerprints within `bits` differ by SHARE at most."""
+    n = max(3, bits // (SHARE + 1) + 1)
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def syndromes(width: int) -> tuple[np.ndarray, int]:
+    """Syndromes of all words of the longest Hamming code that fits into width bits, and its length."""
+    length = max(n for n in (1, 3, 7, 15) if n <= width)
+    v = np.arange(1 << length)
+    out = np.zeros(1 << length, np.int64)
+    for i in range(length):
         out ^= np.where(v >> i & 1, i + 1, 0)
-    return out
+    return out, length
 
 
 def reach(width: int, radius: int) -> list[np.ndarray]:
     """For each syndrome, the changes of at most `radius` bits that lead to an anchor."""
-    syn, found = syndromes(), [[] for _ in range(16)]
+    syn, length = syndromes(width)
+    found: list[list[int]] = [[] for _ in range(length + 1)]
     for k in range(radius + 1):
         for bits in combinations(range(width), k):
             change = sum(1 << b for b in bits)
-            found[syn[change & 0x7FFF]].append(change)
+            found[syn[change & ((1 << length) - 1)]].append(change)
     return [np.array(x, np.int64) for x in found]
 
 
 def placed(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors, roles (0 resident, 1 visitor) and fingerprints of all places of the given ones."""
-    syn, u = syndromes(), fps.view(np.uint64)
+    u = fps.view(np.uint64)
     keys, roles, which = [], [], []
-    for b, (shift, width) in enumerate(BLOCKS):
+    for b, (shift, width) in enumerate(blocks(bits)):
+        syn, length = syndromes(width)
         v = (u >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
-        s = syn[v & 0x7FFF]
+        s = syn[v & ((1 << length) - 1)]
         home = v ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0)
         keys.append(home | b << 22)
         roles.append(np.zeros(len(v), np.int8))
         which.append(fps)
-        for k, changes in enumerate(reach(width, RADIUS + bits // len(BLOCKS))):
+        for k, changes in enumerate(reach(width, RADIUS + SHARE)):
             own = np.flatnonzero(s == k)
             keys.append(((v[own][:, None] ^ changes) | b << 22).ravel())
             roles.append(np.ones(len(own) * len(changes), np.int8))

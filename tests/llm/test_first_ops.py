@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,7 +52,8 @@ def test_simhash_whole_table(spark, texts):
         assert (got[doc_id].fingerprint, got[doc_id].component_id) == (f"{fp:016x}", c)
 
 
-def test_simhash_dense_groups(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [4, 8])
+def test_simhash_dense_groups(spark, monkeypatch, bits):
     """Random walks and dense balls of fingerprints; anchors are split, batches are small."""
     monkeypatch.setattr(simhash, "RESIDENTS", 40)
     rng = np.random.default_rng(5)
@@ -66,9 +68,9 @@ def test_simhash_dense_groups(spark, monkeypatch):
     df = spark.createDataFrame([(x - (x >> 63 << 64),) for x in fps], "fp long")
     from obspipe.llm.components import components
 
-    found = {r.node: r.root for r in components(simhash.links(df, 4)).collect()}
+    found = {r.node: r.root for r in components(simhash.links(df, bits)).collect()}
     roots = [found.get(x - (x >> 63 << 64), x - (x >> 63 << 64)) for x in fps]
-    want = brute.components(range(len(fps)), fps, 4)
+    want = brute.components(range(len(fps)), fps, bits)
     assert len({*zip(roots, want)}) == len({*roots}) == len({*want})
 
 
