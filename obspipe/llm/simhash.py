@@ -4,10 +4,10 @@ Fingerprint: A-Z are lower-cased, words are runs of characters other than ASCII
 are `words` consecutive words (a shorter text is one shingle, a text without words has fingerprint
 zero); bit i is set if more than half of the shingles' XXH64 values (seed 42) have it.
 
-Links: the 64 bits are cut into enough blocks that two fingerprints within `bits` differ by at most one
-bit in one of them (three blocks at least). In a block the anchors are a covering code of radius 1: a
-Hamming code on as many bits as fit (15, 7 or 3) times all values of the rest. Each fingerprint lives at the nearest anchor of each block and
-is replicated to every anchor within covering radius plus the block's share of the threshold; all pairs
+Links: the 64 bits are cut into three blocks, in one of which two fingerprints within `bits` differ by at
+most a third of them, the block's share of the threshold. In a block the anchors are a covering code of
+radius 1: a Hamming code on 15 bits times all values of the rest. Each fingerprint lives at the nearest
+anchor of each block and is replicated to every anchor within covering radius plus that share; all pairs
 of a resident and a visitor of an anchor are compared there, so no link is missed. Equal fingerprints
 are one node from the start. An anchor with many residents is split into shares that all see its
 visitors; visitors are read as a stream. Instead of all pairs of a dense group an anchor reports one
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import components
 
-RADIUS, SHARE = 1, 1
+RADIUS, BLOCKS = 1, 3
 #: Residents of one anchor that a task holds; an anchor with more is split.
 RESIDENTS = 20_000
 #: Pairs compared at once.
@@ -67,10 +67,9 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks(bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of blocks in one of which fingerprints within `bits` differ by SHARE at most."""
-    n = max(3, bits // (SHARE + 1) + 1)
-    edges = [64 * i // n for i in range(n + 1)]
+def blocks() -> list[tuple[int, int]]:
+    """(first bit, width) of blocks in one of which fingerprints within `bits` differ by bits // BLOCKS at most."""
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
@@ -99,7 +98,7 @@ def placed(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Anchors, roles (0 resident, 1 visitor) and fingerprints of all places of the given ones."""
     u = fps.view(np.uint64)
     keys, roles, which = [], [], []
-    for b, (shift, width) in enumerate(blocks(bits)):
+    for b, (shift, width) in enumerate(blocks()):
         syn, length = syndromes(width)
         v = (u >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
         s = syn[v & ((1 << length) - 1)]
@@ -107,7 +106,7 @@ def placed(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         keys.append(home | b << 22)
         roles.append(np.zeros(len(v), np.int8))
         which.append(fps)
-        for k, changes in enumerate(reach(width, RADIUS + SHARE)):
+        for k, changes in enumerate(reach(width, RADIUS + bits // BLOCKS)):
             own = np.flatnonzero(s == k)
             keys.append(((v[own][:, None] ^ changes) | b << 22).ravel())
             roles.append(np.ones(len(own) * len(changes), np.int8))

@@ -13,7 +13,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from obspipe.llm import fingerprint, lm, pii, quality, queries, sharding, stages, substring
+from obspipe.llm import fingerprint, lm, pii, quality, queries, sharding, simhash, stages, substring
 
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -212,3 +212,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pure.collect()} == {r[0] for r in judged if not r[-1]}
     assert not any(base_spans(r.text) for r in private.collect()) and private.count() == pure.count()
     assert packed.select("doc_id").distinct().count() == private.count() == corpus_pipeline.run(spark, SF).select("doc_id").distinct().count()
+
+
+def test_simhash_reaches_all_links_at_every_threshold(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    near = base.copy()
+    for i, k in enumerate(rng.integers(1, 14, 300)):
+        for b in rng.choice(64, k, replace=False):
+            near[i] ^= np.uint64(1 << int(b))
+    fps = np.unique(np.concatenate([base, near]))
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for bits in (4, 8):
+        wanted = {frozenset((int(x), int(y))) for i, x in enumerate(fps) for y in fps[i + 1 :] if (int(x) ^ int(y)).bit_count() <= bits}
+        found = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.links(table, bits).collect()}
+        assert wanted and found == wanted
