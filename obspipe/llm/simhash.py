@@ -4,14 +4,16 @@ Fingerprint: A-Z are lower-cased, words are runs of characters other than ASCII
 are `words` consecutive words (a shorter text is one shingle, a text without words has fingerprint
 zero); bit i is set if more than half of the shingles' XXH64 values (seed 42) have it.
 
-Links: the 64 bits are cut into three blocks, in one of which two fingerprints within `bits` differ by at
-most a third of them, the block's share of the threshold. In a block the anchors are a covering code of
-radius 1: a Hamming code on 15 bits times all values of the rest. Each fingerprint lives at the nearest
-anchor of each block and is replicated to every anchor within covering radius plus that share; all pairs
-of a resident and a visitor of an anchor are compared there, so no link is missed. Equal fingerprints
+Links: the 64 bits are cut into three blocks (four for more than 5 bits), and each block gets a share of the
+threshold. The shares add up to bits + 1 less the number of blocks, so two fingerprints within `bits` differ by
+at most its share in one block: otherwise they would differ by bits + 1 at least. In a block the anchors are a
+covering code of radius 1: a Hamming code on 15 bits times all values of the rest. Each fingerprint lives at
+the nearest anchor of each block and is replicated to every anchor within covering radius plus that share;
+residents and visitors of an anchor are compared there, so no link is missed. Equal fingerprints
 are one node from the start. An anchor with many residents is split into shares that all see its
 visitors; visitors are read as a stream. Instead of all pairs of a dense group an anchor reports one
-link for each matching visitor and a spanning forest of its residents.
+link for each matching visitor and a spanning forest of its residents; with the largest group that it has
+united, a visitor is compared only until it meets one member.
 
 Null texts count as empty. Repeated rows, also of one doc_id, fall into one component; a component's id
 is its smallest doc_id that isn't null. Empty tables give empty results; other columns are ignored.
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import components
 
-RADIUS, BLOCKS = 1, 3
+RADIUS = 1
 #: Residents of one anchor that a task holds; an anchor with more is split.
 RESIDENTS = 20_000
 #: Pairs compared at once.
 CHUNK = 1 << 21
+#: Residents from which on an anchor is compared by itself, and members of a united group looked at together.
+DENSE, STRIDE = 32, 256
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -67,10 +71,12 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks() -> list[tuple[int, int]]:
-    """(first bit, width) of blocks in one of which fingerprints within `bits` differ by bits // BLOCKS at most."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def blocks(bits: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, share): fingerprints within `bits` differ by at most the share in one of these blocks."""
+    n = 3 if bits <= 5 else 4
+    spare = max(0, bits + 1 - n)
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a, spare // n + (i < spare % n)) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
 def syndromes(width: int) -> tuple[np.ndarray, int]:
@@ -98,7 +104,7 @@ def placed(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Anchors, roles (0 resident, 1 visitor) and fingerprints of all places of the given ones."""
     u = fps.view(np.uint64)
     keys, roles, which = [], [], []
-    for b, (shift, width) in enumerate(blocks()):
+    for b, (shift, width, share) in enumerate(blocks(bits)):
         syn, length = syndromes(width)
         v = (u >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
         s = syn[v & ((1 << length) - 1)]
@@ -106,7 +112,7 @@ def placed(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         keys.append(home | b << 22)
         roles.append(np.zeros(len(v), np.int8))
         which.append(fps)
-        for k, changes in enumerate(reach(width, RADIUS + bits // BLOCKS)):
+        for k, changes in enumerate(reach(width, RADIUS + share)):
             own = np.flatnonzero(s == k)
             keys.append(((v[own][:, None] ^ changes) | b << 22).ravel())
             roles.append(np.ones(len(own) * len(changes), np.int8))
@@ -135,6 +141,43 @@ class AnchorLinks:
             while (deeper := self.root[self.root]).tobytes() != self.root.tobytes():
                 self.root = deeper
 
+    def _dense(self, first: int, last: int, visitors: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Links of one anchor's visitors with its residents, rows first..last, by growing shares of the visitors.
+
+        A visitor is compared with all residents outside the largest united group, and with that group's members
+        until it meets one; that it may meet itself there is right, too.
+        """
+        u, at, size, out_a, out_b = fp.view(np.uint64), 0, 16, [], []
+        others, members = np.arange(first, last), np.zeros(0, np.int64)
+        while at < len(visitors):
+            todo = visitors[at : at + max(1, min(size, CHUNK // max(STRIDE, len(others))))]
+            at, size = at + len(todo), 2 * size
+            who, which = np.nonzero(np.bitwise_count(u[todo][:, None] ^ u[others]) <= self.bits)
+            left, right = [others[which]], [todo[who]]
+            for k in range(0, len(members), STRIDE):
+                if not len(todo):
+                    break
+                some = members[k : k + STRIDE]
+                near = np.bitwise_count(u[todo][:, None] ^ u[some]) <= self.bits
+                met = near.any(1)
+                left.append(some[near[met].argmax(1)])
+                right.append(todo[met])
+                todo = todo[~met]
+            left, right = np.concatenate(left), np.concatenate(right)
+            if not len(left):
+                continue
+            right, one, again = np.unique(right, return_index=True, return_inverse=True)
+            out_a.append(fp[left[one]])
+            out_b.append(fp[right])
+            same = list(self._same(left[one][again], left))
+            if same:
+                out_a.append(fp[[x for x, _ in same]])
+                out_b.append(fp[[y for _, y in same]])
+                roots, inside, count = np.unique(self.root[first:last], return_inverse=True, return_counts=True)
+                largest = inside == count.argmax()
+                members, others = first + np.flatnonzero(largest), first + np.flatnonzero(~largest)
+        return out_a, out_b
+
     def add(self, key: np.ndarray, share: np.ndarray, role: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links that a batch adds. The residents of its last group stay for the next batch."""
         n0 = len(self.fp)
@@ -151,7 +194,14 @@ class AnchorLinks:
         out_a, out_b = [], []
         visitor = np.flatnonzero(role == 1)
         count = residents[visitor] - residents[start[visitor]]
-        visitor, count = visitor[count > 0], count[count > 0]
+        crowd = visitor[count >= DENSE]
+        at = np.flatnonzero(np.diff(start[crowd], prepend=-1))
+        for own in np.split(crowd, at[1:]) if len(crowd) else ():
+            head = int(start[own[0]])
+            a, b = self._dense(head, head + int(residents[own[0]] - residents[head]), own, fp)
+            out_a, out_b = out_a + a, out_b + b
+        few = (count > 0) & (count < DENSE)
+        visitor, count = visitor[few], count[few]
         u, at, total = fp.view(np.uint64), 0, np.cumsum(count)
         while at < len(visitor):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
@@ -173,7 +223,8 @@ class AnchorLinks:
         self.key, self.share, self.fp = key[-1], share[-1], fp[last:keep]
         self.root = self.root[last:keep] - last
         none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+        a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+        return a[a != b], b[a != b]
 
 
 def links(fps: DataFrame, bits: int) -> DataFrame:
@@ -193,7 +244,7 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
 
     places = fps.select("fp").mapInArrow(place, "anchor long, role byte, fp long")
     crowd = saved(places.filter("role = 0").groupBy("anchor").count().filter(F.col("count") > RESIDENTS), "crowded")
-    # at most 3 * rows / RESIDENTS anchors are crowded; the planner broadcasts them if they are few
+    # at most 4 * rows / RESIDENTS anchors are crowded; the planner broadcasts them if they are few
     shares = crowd.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares"))
     if crowd.isEmpty():
         spread = places.withColumn("share", F.lit(0))

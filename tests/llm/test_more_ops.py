@@ -227,3 +227,38 @@ def test_simhash_reaches_all_links_at_every_threshold(spark):
         wanted = {frozenset((int(x), int(y))) for i, x in enumerate(fps) for y in fps[i + 1 :] if (int(x) ^ int(y)).bit_count() <= bits}
         found = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.links(table, bits).collect()}
         assert wanted and found == wanted
+
+
+def test_dense_anchors_give_the_classes_of_all_pairs():
+    rng = np.random.default_rng(7)
+
+    def around(centre: int, n: int, most: int) -> list[int]:
+        return [centre ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, most + 1), replace=False)) for _ in range(n)]
+
+    def classes(n: int, pairs) -> list[int]:
+        root = list(range(n))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            a, b = find(int(a)), find(int(b))
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(n)]
+
+    for bits, batch in ((0, 500), (3, 257), (4, 10_000), (5, 999), (6, 257), (8, 10_000), (8, 300)):
+        several = [x for c in rng.integers(0, 1 << 62, 20) for x in around(int(c), 12, bits + 2)]
+        fps = np.unique(np.array(several + around(12345 << 20, 900, 3 + 2 * bits), np.uint64)).view(np.int64)
+        key, role, fp = simhash.placed(fps, bits)
+        order = np.lexsort((role, key))
+        key, role, fp = key[order], role[order], fp[order]
+        state, found = simhash.AnchorLinks(bits), []
+        for i in range(0, len(key), batch):
+            part = slice(i, i + batch)
+            found += zip(*state.add(key[part], np.zeros(len(key[part]), np.int32), role[part], fp[part]))
+        place, u = {int(x): i for i, x in enumerate(fps)}, fps.view(np.uint64)
+        wanted = zip(*np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u) <= bits, 1)))
+        assert classes(len(fps), ((place[int(a)], place[int(b)]) for a, b in found)) == classes(len(fps), wanted)
+        assert not any(a == b for a, b in found)
