@@ -161,6 +161,27 @@ def test_substring_near_lines(spark):
     assert [got[i].n_removed > 0 for i in (1, 2, 3, 4)] == [False, True, True, False] and got[3].holders == [1]
 
 
+def test_substring_keeps_every_repeated_word_once(spark):
+    """Copies that share a passage with an earlier document lose the passage only, the later copy all of it."""
+    fresh = iter(range(10**6))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    passage, other = words(70), words(90)
+    second = words(80) + passage + words(60) + other + words(80)
+    docs = [words(50) + passage + words(50), words(40) + other + words(40), second, second, words(30) + second[200:] + words(30)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in substring.dedup(table).collect()}
+    stays = collections.Counter()
+    for i, w in enumerate(docs):
+        removed = {k for s in rows[i].spans if not s.keep for k in range(s.first, s.last)}
+        assert len(removed) == rows[i].n_removed
+        stays.update(x for k, x in enumerate(w) if k not in removed)
+    assert {x for w in docs for x in w} == stays.keys()
+    assert rows[2].n_removed >= 80 and rows[3].n_removed == len(second)
+    assert all(stays[x] == 1 for s in rows[2].spans if not s.keep for x in second[s.first : s.last])
+    assert all(stays[x] == 1 for x in second[:200] if x not in passage)
+    assert rows[0].n_removed == rows[1].n_removed == 0
+
+
 def test_quality(spark):
     got = queries.op10_quality(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
