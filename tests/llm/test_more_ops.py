@@ -182,6 +182,22 @@ def test_substring_keeps_every_repeated_word_once(spark):
     assert rows[0].n_removed == rows[1].n_removed == 0
 
 
+def test_substring_embedded_passages():
+    """Every passage of over 50 words in foreign text has a matched segment of MIN_RUN words, also with few different words."""
+    rng = np.random.default_rng(3)
+    for n, most in [(51, 10**9), (51, 30), (51, 3), (55, 10**9), (60, 10**9)]:
+        word = lambda k: [f"w{x}" for x in rng.integers(0, most, k)]
+        for _ in range(300):
+            passage, found = word(n), []
+            for _ in range(2):
+                before = rng.integers(0, 40)
+                text = substring.Words(" ".join(word(before) + passage + word(rng.integers(0, 40))))
+                first, last = text.segments()
+                inside = (first >= before) & (last <= before + n)
+                found.append({(a - before, b - before, h) for a, b, h in zip(first[inside], last[inside], text.runs(first, last)[inside])})
+            assert found[0] & found[1] and all(b - a >= substring.MIN_RUN for a, b, _ in found[0] & found[1])
+
+
 def test_quality(spark):
     got = queries.op10_quality(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
