@@ -251,6 +251,30 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == private.count() == corpus_pipeline.run(spark, SF).select("doc_id").distinct().count()
 
 
+def test_near_duplicates_against_jaccard(spark):
+    """The stage against all pairs: nothing without a partner of 0.8 goes."""
+    rng = np.random.default_rng(8)
+    docs = [(None, "null id of its own"), (0, None), (1, " "), (2, "six words stand here by themselves"), (2, "six words lie there by themselves")]
+    for i in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 250)]
+        docs.append((10 + 2 * i, " ".join(w)))
+        for at in rng.choice(245, int(rng.integers(1, 11)), replace=False):
+            w[at] = "new"
+        docs.append((11 + 2 * i, " ".join(w)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {tuple(r) for r in stages.near_duplicates(spark, table, SF).collect()}
+    assert {docs[0], docs[3], docs[4]} <= kept and len({d for d in kept if d in docs[1:3]}) == 1
+
+    def jaccard(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    near = [(x, y, jaccard(x[1], y[1]) >= 0.8) for x, y in zip(docs[5::2], docs[6::2])]
+    gone = [y not in kept for _, y, similar in near if similar]
+    assert all(x in kept and (similar or y in kept) for x, y, similar in near)
+    assert len(gone) > 40 and len(near) - len(gone) > 20
+
+
 def test_simhash_reaches_all_links_at_every_threshold(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 300, np.uint64)
