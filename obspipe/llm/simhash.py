@@ -37,8 +37,8 @@ from .components import components
 from .substring import ODD, mixed
 
 RADIUS = 1
-#: Independent fingerprints of a set.
-SEEDS = 1
+#: Independent fingerprints of a set; each finds 0.4 of the pairs of Jaccard 0.8 at 8 bits, all together 0.98.
+SEEDS = 8
 #: Residents of one anchor that a task holds; an anchor with more is split.
 RESIDENTS = 20_000
 #: Pairs compared at once.
