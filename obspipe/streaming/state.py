@@ -6,30 +6,50 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 OUTPUT = "source string, identity_key string, arrival_seq long, observed_at timestamp, state_hash string, decision string"
 
 
+COLUMNS = ["arrival_seq", "observed_at", "state_hash", "is_valid", "present"]
+
+
 class Decisions(StatefulProcessor):
-    """Keeps the newest time and state hash of a key. Late rows come out as STALE instead of being dropped."""
+    """Decides by the rules of `operators.state`; late rows come out as STALE instead of being dropped.
+
+    Keeps of a key the newest time of any valid row, and of its fresh rows the last hash seen and whether the last
+    was a sighting. The rows of one key in one micro-batch are sorted in memory; the source's trigger limits them.
+    """
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("newest", "observed_at timestamp, state_hash string")
+        self.state = handle.getValueState("newest", "newest long, state_hash string, present boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.state.get() if self.state.exists() else None
-        batch = pd.concat(list(rows)).sort_values("arrival_seq", kind="stable")
-        out = []
+        newest, known, was = self.state.get() if self.state.exists() else (None, None, None)
+        batch = pd.concat([x[COLUMNS] for x in rows], ignore_index=True).sort_values("arrival_seq", kind="stable")
+        out, valid = [], False
         for r in batch.itertuples():
-            at = r.observed_at.to_pydatetime()
-            if newest is not None and at < newest[0]:
+            if pd.isna(r.is_valid):
+                continue
+            at, state_hash = (None if pd.isna(x) else x for x in (r.observed_at, r.state_hash))
+            present = None if pd.isna(r.present) else bool(r.present)
+            if not r.is_valid:
+                decision = "REJECT"
+            elif at is not None and newest is not None and at.value < newest:
                 decision = "STALE"
             else:
-                decision = "CREATE" if newest is None else "NO_CHANGE" if newest[1] == r.state_hash else "UPDATE"
-                newest = (at, r.state_hash)
-            out.append((*key, r.arrival_seq, r.observed_at, r.state_hash, decision))
-        self.state.update(newest)
+                if present is False:
+                    decision = None if known is None else "DISAPPEARED" if was else "NO_CHANGE"
+                else:
+                    decision = "CREATE" if known is None else "REAPPEARED" if was is False else "NO_CHANGE" if known == state_hash else "UPDATE"
+                newest = newest if at is None else at.value
+                known, was = state_hash if present and state_hash is not None else known, present
+                valid = True
+            if decision:
+                out.append((*key, r.arrival_seq, at, state_hash, decision))
+        if valid:
+            self.state.update((newest, known, was))
         yield pd.DataFrame(out, columns=["source", "identity_key", "arrival_seq", "observed_at", "state_hash", "decision"])
 
     def close(self) -> None:
@@ -37,5 +57,10 @@ class Decisions(StatefulProcessor):
 
 
 def state_stream(rows: DataFrame) -> DataFrame:
-    """rows: source, identity_key, arrival_seq, observed_at, state_hash. Needs the RocksDB state store provider."""
+    """rows: source, identity_key, arrival_seq, observed_at, state_hash; optional is_valid, present.
+
+    Needs the RocksDB state store provider.
+    """
+    for name in ("is_valid", "present"):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(True))
     return rows.groupBy("source", "identity_key").transformWithStateInPandas(Decisions(), OUTPUT, outputMode="append", timeMode="none")

@@ -168,3 +168,20 @@ def test_state_stream(spark, tmp_path):
     stream = state_stream(spark.readStream.schema(sightings(spark).schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert [r.decision for r in spark.read.parquet(str(tmp_path / "out")).orderBy("arrival_seq").collect()] == WANT
+
+
+def test_state_stream_equals_batch(spark, tmp_path):
+    """Absences, invalid and late rows over two micro-batches decide as in the batch."""
+    from obspipe.streaming.state import state_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    flags = [(1, "a", True, True), (2, "bad", False, True), (3, "a", True, False), (4, "a", True, False), (2, "z", True, True), (5, "a", True, True), (6, "b", True, True), (7, "b", True, False), (8, "c", True, True), (3, "x", False, True)]
+    rows = [("s", "k", AT.replace(hour=h), i, *x) for i, (h, *x) in enumerate(flags)] + [("s", "gone", AT, 20, "q", True, False), ("s", "gone", AT, 21, "q", True, True), ("s", "bad", AT, 22, "q", False, True)]
+    table = spark.createDataFrame(rows, "source string, identity_key string, observed_at timestamp, arrival_seq long, state_hash string, is_valid boolean, present boolean")
+    for part in ("arrival_seq in (0, 1, 2, 3, 20)", "arrival_seq not in (0, 1, 2, 3, 20)"):
+        table.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = state_stream(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    decided = lambda df: [tuple(r) for r in df.select("identity_key", "arrival_seq", "observed_at", "state_hash", "decision").orderBy("arrival_seq").collect()]
+    got = decided(spark.read.parquet(str(tmp_path / "out")))
+    assert got == decided(state.state_transitions(table)) and {"DISAPPEARED", "REAPPEARED", "REJECT", "STALE"} <= {x[-1] for x in got}
