@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,16 +46,25 @@ def canonical_url(c: Column) -> Column:
     return F.when(url.rlike(pattern), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often `use` reads it; works inside lambdas, too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_price(raw: Column, currency_raw: Column) -> Column:
     """Struct (amount, currency). A symbol decides the currency; a plain number needs a known currency_raw."""
     number = rf"(?U)^{SPACE}*(-)?{SPACE}*([£$])?{SPACE}*(\d+(?:\.\d+)?){SPACE}*\z"
+
+    def read(p: Column) -> Column:
+        """p: minus, symbol and digits; null where nothing matches."""
+        sign, symbol, size = p["sign"], p["symbol"], F.nullif(p["digits"], F.lit("")).try_cast("decimal(38,18)")
+        currency = F.when(symbol == "£", "GBP").when(symbol == "$", "USD").when(p["named"].isin("GBP", "USD"), p["named"])
+        amount = F.when(sign == "-", -size).otherwise(size).cast("decimal(38,18)")
+        return let(F.struct(amount.alias("amount"), currency.alias("currency")), lambda x: F.struct(
+            F.when(x["currency"].isNotNull(), x["amount"]).alias("amount"), F.when(x["amount"].isNotNull(), x["currency"]).alias("currency")))
+
     part = lambda i: F.regexp_extract(raw, number, i)
-    named = F.upper(py_strip(currency_raw))
-    currency = F.when(part(2) == "£", "GBP").when(part(2) == "$", "USD").when(named.isin("GBP", "USD"), named)
-    size = matched(raw, number, 3).try_cast("decimal(38,18)")
-    amount = F.when(part(1) == "-", -size).otherwise(size).cast("decimal(38,18)")
-    ok = currency.isNotNull() & amount.isNotNull()
-    return F.struct(F.when(ok, amount).alias("amount"), F.when(ok, currency).alias("currency"))
+    return let(F.struct(part(1).alias("sign"), part(2).alias("symbol"), part(3).alias("digits"), F.upper(py_strip(currency_raw)).alias("named")), read)
 
 
 def parse_availability(source: Column, raw: Column) -> Column:

@@ -8,19 +8,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
+from ..functions.text import let, py_strip
 from ..schemas import FAILURE, LINEAGE, OPTIONS, RAW_FIELDS, VARIANTS_RAW
+from ..session import once, prepared
 from .html import select_text
 
 
+#: What extractors need of evidence besides the body.
+LANDED = ["evidence_id", "source_url", "fetched_at"]
+
+
 def _shape(df: DataFrame, version: str, source: str, fields: dict[str, Column], error: Column) -> DataFrame:
     """Observation columns plus error_code; a row with a code is a failure."""
     cols = {f: F.lit(None).cast("string") for f in RAW_FIELDS}
     cols |= {"categories_raw": F.array().cast("array<string>"), "variants_raw": F.array().cast(VARIANTS_RAW)} | fields
-    return df.select(
-        "evidence_id", F.lit(version).alias("extractor_version"), F.lit(source).alias("source"), "source_url",
-        F.col("fetched_at").alias("observed_at"), *[c.alias(n) for n, c in cols.items()], error.alias("error_code"),
-    )
+    lineage = ["evidence_id", F.lit(version).alias("extractor_version"), F.lit(source).alias("source"), "source_url", F.col("fetched_at").alias("observed_at")]
+    return once(df, lineage, cols | {"error_code": error})
 
 
 def _one(name: str) -> Column:
@@ -62,11 +65,11 @@ def _at(v: Column, key: str) -> Column:
 
 
 def _string(v: Column, key: str) -> Column:
-    return F.when(_kind(_at(v, key)) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    return let(_at(v, key), lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def _flag(v: Column, key: str) -> Column:
-    return F.when(_kind(_at(v, key)) == "BOOLEAN", F.try_variant_get(v, f"$.{key}", "string"))
+    return let(_at(v, key), lambda x: F.when(_kind(x) == "BOOLEAN", F.try_variant_get(x, "$", "string")))
 
 
 def _number(v: Column, key: str, binary: bool = False) -> Column:
@@ -74,23 +77,29 @@ def _number(v: Column, key: str, binary: bool = False) -> Column:
 
     binary: numbers whose shortest binary form needs an exponent are null, as later steps refuse it.
     """
-    kind, value = _kind(_at(v, key)), F.try_variant_get(v, f"$.{key}", "decimal(38,18)")
-    digits = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    fits = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") if binary else F.lit(False)
-    odd = fits & (F.abs(value) > 0) & ((F.abs(value) >= F.lit("1e16").cast("decimal(38,18)")) | (F.abs(value) < F.lit("0.0001").cast("decimal(38,18)")))
-    return F.when(kind == "STRING", F.try_variant_get(v, f"$.{key}", "string")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & ~odd, digits)
+    def plain(p: Column) -> Column:
+        kind, value = p["kind"], p["value"]
+        digits = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        size = F.abs(value)
+        odd = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") & (size > 0) & ((size >= F.lit("1e16").cast("decimal(38,18)")) | (size < F.lit("0.0001").cast("decimal(38,18)")))
+        fits = ~odd if binary else F.lit(True)
+        return F.when(kind == "STRING", p["text"]).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & fits, digits)
+
+    read = lambda x: F.struct(_kind(x).alias("kind"), F.try_variant_get(x, "$", "decimal(38,18)").alias("value"), F.try_variant_get(x, "$", "string").alias("text"))
+    return let(_at(v, key), lambda x: let(read(x), plain))
 
 
 def extract_catalog_json(evidence: DataFrame) -> DataFrame:
     """A JSON catalog to one observation per product; any wrong record fails the whole catalog."""
-    rows = evidence.withColumn("doc", F.try_parse_json("body"))
-    rows = rows.withColumn("items", F.when(F.coalesce(_kind(_at(F.col("doc"), "products")).startswith("ARRAY"), F.lit(False)), F.try_variant_get("doc", "$.products", "array<variant>")))
+    prepared(evidence.sparkSession)
+    rows = once(evidence, LANDED, {"doc": F.try_parse_json("body")})
+    rows = once(rows, [*LANDED, "doc"], {"items": F.when(F.coalesce(_kind(_at(F.col("doc"), "products")).startswith("ARRAY"), F.lit(False)), F.try_variant_get("doc", "$.products", "array<variant>"))})
     bad = F.array_position(F.transform("items", lambda v: F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))), False)
     error = (
         F.when(F.col("doc").isNull(), "INVALID_JSON").when(F.col("items").isNull(), "PRODUCTS_ARRAY_NOT_FOUND")
         .when(bad > 0, F.concat(F.lit("INVALID_PRODUCT_RECORD:"), (bad - 1).cast("string")))
     )
-    rows = rows.withColumn("error", error)
+    rows = once(rows, [*LANDED, "items"], {"error": error})
     # a failed catalog is one row, an empty one none
     rows = rows.withColumn("item", F.explode(F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("variant"))).otherwise(F.col("items"))))
     v = F.col("item")
@@ -103,11 +112,12 @@ def extract_catalog_json(evidence: DataFrame) -> DataFrame:
 
 def extract_embedded_json(evidence: DataFrame) -> DataFrame:
     """The first fitting JSON object in a pre element to one observation with variants."""
-    rows = evidence.withColumn("found", select_text(F.col("body"), {"pre": {"select": ["pre"], "pick": "all", "join": ""}}))
+    prepared(evidence.sparkSession)
+    rows = evidence.select(*LANDED, select_text(F.col("body"), {"pre": {"select": ["pre"], "pick": "all", "join": ""}}).alias("found"))
     texts = F.filter("found.pre", lambda t: t.startswith("{") & F.contains(t, F.lit('"variants"')))
     parsed = F.filter(F.transform(texts, F.try_parse_json), lambda v: _kind(v).startswith("OBJECT") & _kind(_at(v, "id")).isNotNull() & _kind(_at(v, "title")).isNotNull())
-    rows = rows.withColumn("doc", F.get(parsed, F.lit(0)))
-    rows = rows.withColumn("items", F.when(F.coalesce(_kind(_at(F.col("doc"), "variants")).startswith("ARRAY"), F.lit(False)), F.try_variant_get("doc", "$.variants", "array<variant>")))
+    rows = once(rows, LANDED, {"doc": F.get(parsed, F.lit(0))})
+    rows = once(rows, [*LANDED, "doc"], {"items": F.when(F.coalesce(_kind(_at(F.col("doc"), "variants")).startswith("ARRAY"), F.lit(False)), F.try_variant_get("doc", "$.variants", "array<variant>"))})
     wrong = F.exists("items", lambda v: ~F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False)))
     error = F.when(F.col("doc").isNull(), "PRODUCT_JSON_NOT_FOUND").when(F.col("items").isNull(), "VARIANTS_NOT_LIST").when(wrong, "VARIANT_NOT_OBJECT")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,95 +16,102 @@ BLOCK = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "
 
 
 class Node:
-    __slots__ = ("tag", "classes", "children", "parent")
+    """An element; what lies inside are the tree's items from `start` to `end`."""
 
-    def __init__(self, tag: str, classes: frozenset, parent: Node | None):
-        self.tag, self.classes, self.parent, self.children = tag, classes, parent, []
+    __slots__ = ("tag", "classes", "start", "end")
 
-    def walk(self):
-        for x in self.children:
-            if isinstance(x, Node):
-                yield x
-                yield from x.walk()
+    def __init__(self, tag: str, classes: frozenset, start: int):
+        self.tag, self.classes, self.start, self.end = tag, classes, start, start
 
-    def texts(self):
-        for x in self.children:
-            if isinstance(x, str):
-                yield x
-            elif x.tag not in HIDDEN:
-                yield from x.texts()
-
-    def text(self, between: str) -> str:
-        return between.join(t for t in (t.strip() for t in self.texts()) if t)
-
-    def inside(self, step: re.Match) -> bool:
-        tag, *classes = step.split(".")
-        return tag in ("", self.tag) and self.classes.issuperset(classes)
+    def fits(self, step: list[str]) -> bool:
+        """step: a tag, which may be empty, and classes."""
+        return step[0] in ("", self.tag) and self.classes.issuperset(step[1:])
 
 
 class Tree(HTMLParser):
-    """Elements and texts; unclosed p and li end where HTML says."""
+    """Elements and texts in document order; unclosed p and li end where HTML says. Depth costs nothing."""
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", frozenset(), None)
+        self.items: list[Node | str] = []
+        self.root = Node("", frozenset(), 0)
+        self.stack = [self.root]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
         self.feed(page)
         self.close()
-
-    def _close(self, tag: str, within: set[str]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag in within:
-                return
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        self._drop(0)
+
+    def _drop(self, to: int) -> None:
+        """End the open elements from place `to` on."""
+        while len(self.stack) > to:
+            node = self.stack.pop()
+            node.end = len(self.items)
+            if self.stack:
+                self.places[node.tag].pop()
+
+    def _end(self, tag: str, within: set[str]) -> None:
+        """End the innermost open element of a tag, unless one of `within` stands between."""
+        at = self.places[tag][-1] if self.places[tag] else 0
+        if at and not any(self.places[w] and self.places[w][-1] > at for w in within):
+            self._drop(at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
-            self._close("p", {"div", "li", "td", "body", "section", "article"} - {tag})
+            self._end("p", {"div", "li", "td", "body", "section", "article"} - {tag})
         if tag == "li":
-            self._close("li", {"ul", "ol"})
-        node = Node(tag, frozenset((dict(attrs).get("class") or "").split()), self.at)
-        self.at.children.append(node)
+            self._end("li", {"ul", "ol"})
+        node = Node(tag, frozenset((dict(attrs).get("class") or "").split()), len(self.items) + 1)
+        self.items.append(node)
         if tag not in VOID:
-            self.at = node
+            self.places[tag].append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent
+            self._drop(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        self._close(tag, set())
+        self._end(tag, set())
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """Descendants that match steps of tag.class.class, in document order."""
-    steps = selector.split()
-    found = []
-    for node in root.walk():
-        if not node.inside(steps[-1]):
-            continue
-        up, rest = node.parent, steps[:-1]
-        while rest and up is not None:
-            if up.inside(rest[-1]):
-                rest = rest[:-1]
-            if up is root:
-                break
-            up = up.parent
-        if not rest:
-            found.append(node)
-    return found
-
-
-def pick(root: Node, rule: dict) -> list[str] | None:
+        self.items.append(data)
+
+    def text(self, node: Node, between: str) -> str:
+        found, at = [], node.start
+        while at < node.end:
+            x = self.items[at]
+            at += 1
+            if isinstance(x, str):
+                found.append(x.strip())
+            elif x.tag in HIDDEN:
+                at = x.end
+        return between.join(filter(None, found))
+
+    def select(self, root: Node, selector: str) -> list[Node]:
+        """Descendants that match steps of tag.class.class, in document order."""
+        *outer, last = (step.split(".") for step in selector.split())
+        met = int(bool(outer) and root.fits(outer[0]))
+        found, around = [], [(root.end, met)]  # ends of the elements around, and how many outer steps they match
+        for x in self.items[root.start : root.end]:
+            if isinstance(x, str):
+                continue
+            while x.start > around[-1][0]:
+                around.pop()
+            met = around[-1][1]
+            if met == len(outer):
+                if x.fits(last):
+                    found.append(x)
+            elif x.fits(outer[met]):
+                met += 1
+            around.append((x.end, met))
+        return found
+
+
+def pick(tree: Tree, rule: dict) -> list[str] | None:
     """Texts that a rule selects: selectors are fallbacks; `of` first narrows down to the first node it finds."""
     for scope in rule.get("of", [None]):
-        place = root if scope is None else next(iter(select(root, scope)), None)
+        place = tree.root if scope is None else next(iter(tree.select(tree.root, scope)), None)
         if place is not None:
             break
     else:
@@ -114,14 +121,14 @@ def pick(root: Node, rule: dict) -> list[str] | None:
     if not rule.get("select"):
         return [""]
     for selector in rule["select"]:
-        if nodes := select(place, selector):
+        if nodes := tree.select(place, selector):
             wanted = {"first": nodes[:1], "last": nodes[-1:]}.get(rule.get("pick", "first"), nodes)
-            return [t for n in wanted if (t := n.text(rule.get("join", " ")))]
+            return [t for n in wanted if (t := tree.text(n, rule.get("join", " ")))]
     return []
 
 
 def select_text(html: Column, rules: dict[str, dict]) -> Column:
-    """A map from each rule's name to the texts it selects; a null entry where its scope is missing.
+    """A map from each rule's name to the texts it selects; a null entry where its scope is missing, null for pages that can't be read.
 
     rules: name -> {"select": [selectors], "of": [scopes], "pick": "first" | "last" | "all", "join": text}.
     """
@@ -130,8 +137,12 @@ def select_text(html: Column, rules: dict[str, dict]) -> Column:
     def chosen(pages: pd.Series) -> pd.Series:
         out = []
         for page in pages:
-            root = Tree(page or "").root
-            out.append({k: pick(root, r) for k, r in rules.items()})
+            try:
+                tree = Tree(page or "")
+            except AssertionError:  # the parser's word for a declaration that it doesn't know
+                out.append(None)
+                continue
+            out.append({k: pick(tree, r) for k, r in rules.items()})
         return pd.Series(out)
 
     return chosen.asNondeterministic()(html)  # otherwise filters on its fields run it twice

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, canonical_url, parse_availability, parse_price, py_strip
 from ..schemas import OPTIONS, VARIANTS
+from ..session import once
 
 
 def merge_categories(categories: Column, category: Column) -> Column:
@@ -35,12 +36,12 @@ def normalize_variants(source: Column, variants: Column, currency_raw: Column) -
 
 def normalize(observed: DataFrame) -> DataFrame:
     """Observations to normalised rows; lineage passes through."""
-    # struct results are computed once here and only read below
     c = F.col
-    ready = observed.select(
-        "*", parse_price(c("price_raw"), c("currency_raw")).alias("_price"), parse_price(c("compare_at_price_raw"), c("currency_raw")).alias("_compare"),
-        parse_availability(c("source"), c("availability_raw")).alias("_stock"), blank_to_null(c("source_record_id_raw")).alias("_rid"),
-    )
+    ready = once(observed, ["*"], {
+        "_price": parse_price(c("price_raw"), c("currency_raw")), "_compare": parse_price(c("compare_at_price_raw"), c("currency_raw")),
+        "_stock": parse_availability(c("source"), c("availability_raw")), "_rid": blank_to_null(c("source_record_id_raw")),
+        "_variants": normalize_variants(c("source"), c("variants_raw"), c("currency_raw")),
+    })
     raw_url = c("canonical_product_url_raw")
     url = F.when(raw_url.isNotNull(), canonical_url(raw_url)).when(c("_rid").isNull(), canonical_url(c("source_url")))
     return ready.select(
@@ -50,5 +51,5 @@ def normalize(observed: DataFrame) -> DataFrame:
         c("_price.currency").alias("currency"), c("_stock.availability").alias("availability"), c("_stock.quantity").alias("quantity"),
         blank_to_null(c("category_raw")).alias("category"), blank_to_null(c("sku_raw")).alias("sku"),
         merge_categories(c("categories_raw"), c("category_raw")).alias("categories"),
-        normalize_variants(c("source"), c("variants_raw"), c("currency_raw")).alias("variants"),
+        c("_variants").alias("variants"),
     )

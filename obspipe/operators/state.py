@@ -8,18 +8,24 @@ rows are REJECT. All of it is derived from the observation table and can be rebu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATE = ("title", "price", "compare_at_price", "currency", "availability", "quantity", "category", "sku", "categories", "variants")
 
 
 def with_state_hash(df: DataFrame, fields: tuple[str, ...] = STATE) -> DataFrame:
-    return df.withColumn("state_hash", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
+    """Add state, a struct of the fields, and its digest state_hash."""
+    return df.withColumn("state", F.struct(*fields)).withColumn("state_hash", F.sha2(F.to_json("state", {"ignoreNullFields": "false"}), 256))
 
 
 def state_transitions(rows: DataFrame, keys: tuple[str, ...] = ("source", "identity_key")) -> DataFrame:
-    """Add decision, previous_hash. rows: keys, observed_at, arrival_seq, state_hash; optional is_valid, present."""
+    """Add decision, previous_hash, and previous_state if rows have a column state.
+
+    rows: keys, observed_at, arrival_seq, state_hash; optional is_valid, present, state. Other columns, as the
+    errors of a rejected row, stay.
+    """
+    told = [(c, f"previous_{c.removeprefix('state_')}") for c in ("state_hash", "state") if c in rows.columns]
     rows = rows if "is_valid" in rows.columns else rows.withColumn("is_valid", F.lit(True))
     rows = rows if "present" in rows.columns else rows.withColumn("present", F.lit(True))
     order = Window.partitionBy(*keys).orderBy("arrival_seq")
@@ -27,10 +33,8 @@ def state_transitions(rows: DataFrame, keys: tuple[str, ...] = ("source", "ident
     good = rows.filter("is_valid").withColumn("stale", F.coalesce(F.col("observed_at") < newest, F.lit(False)))
     fresh = Window.partitionBy(*keys, "stale").orderBy("arrival_seq")
     earlier = fresh.rowsBetween(Window.unboundedPreceding, -1)
-    good = good.withColumns({
-        "previous_hash": F.last(F.when(F.col("present"), F.col("state_hash")), ignorenulls=True).over(earlier),
-        "was_present": F.lag("present").over(fresh),
-    })
+    before = {new: F.last(F.when(F.col("present"), F.col(c)), ignorenulls=True).over(earlier) for c, new in told}
+    good = good.withColumns(before | {"was_present": F.lag("present").over(fresh)})
     seen = F.col("previous_hash").isNotNull()
     decision = (
         F.when(F.col("stale"), "STALE")
@@ -39,7 +43,7 @@ def state_transitions(rows: DataFrame, keys: tuple[str, ...] = ("source", "ident
         .when(F.col("previous_hash") == F.col("state_hash"), "NO_CHANGE").otherwise("UPDATE")
     )
     good = good.withColumn("decision", decision).filter("decision is not null").drop("stale", "was_present")
-    good = good.withColumn("previous_hash", F.when(F.col("decision") != "STALE", F.col("previous_hash")))
+    good = good.withColumns({new: F.when(F.col("decision") != "STALE", F.col(new)) for _, new in told})
     return good.unionByName(rows.filter("not is_valid").withColumn("decision", F.lit("REJECT")), allowMissingColumns=True)
 
 
@@ -50,12 +54,28 @@ def current_state(transitions: DataFrame, keys: tuple[str, ...] = ("source", "id
     every = [c for c in fresh.columns if c not in keys]
     # one aggregation, combined before its shuffle
     newest = fresh.groupBy(*keys).agg(F.max_by(F.struct(*every), "arrival_seq").alias("_row"), F.max_by(changed, F.when(changed.isNotNull(), F.col("arrival_seq"))).alias("updated_at"))
-    return newest.select(*keys, "_row.*", "updated_at").drop("decision", "previous_hash")
+    return newest.select(*keys, "_row.*", "updated_at").drop("decision", "previous_hash", "previous_state")
 
 
 def history(transitions: DataFrame) -> DataFrame:
-    """Changes only, with the state before and after."""
-    return transitions.filter("decision in ('CREATE', 'UPDATE', 'DISAPPEARED', 'REAPPEARED')").withColumn("changed_at", F.col("observed_at"))
+    """Changes only: previous_hash and new_hash, and the states behind them if known; a product that is gone has no new one."""
+    changes = transitions.filter("decision in ('CREATE', 'UPDATE', 'DISAPPEARED', 'REAPPEARED')").withColumn("changed_at", F.col("observed_at"))
+    there = F.col("decision") != "DISAPPEARED"
+    return changes.withColumns({f"new_{c.removeprefix('state_')}": F.when(there, F.col(c)) for c in ("state_hash", "state") if c in changes.columns})
+
+
+def transition_rows(validated: DataFrame, arrival_seq: Column) -> DataFrame:
+    """The decision on every validated row: lineage, keys, decision, validation_errors, and the states before and after.
+
+    A rejected row has its errors, no key, and changes nothing.
+    """
+    rows = with_state_hash(validated.withColumn("arrival_seq", arrival_seq))
+    decided = state_transitions(rows.withColumnRenamed("errors", "validation_errors"))
+    kept = F.col("decision").isin("CREATE", "UPDATE", "NO_CHANGE", "REAPPEARED")
+    return decided.select(
+        "evidence_id", "source", "identity_key", "observed_at", "arrival_seq", "decision", "validation_errors",
+        "previous_state", F.when(kept, F.col("state")).alias("new_state"),
+    )
 
 
 def detect_disappearances(current: DataFrame, seen: DataFrame, observed_at, arrival_seq, keys: tuple[str, ...] = ("source", "identity_key")) -> DataFrame:

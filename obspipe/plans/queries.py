@@ -11,8 +11,12 @@ from ..operators.extract import extract, extraction_failures, observations
 from ..operators.html import select_text
 from ..operators.normalize import normalize
 from ..operators.validate import validate
-from ..sources.evidence import capture_evidence
+from ..schemas import VARIANTS
+from ..session import new_folder
+from ..sources.evidence import capture_evidence, read_evidence
 from ..sources.lookup import route_source
+from ..sources.outputs import TABLES, stream_outputs
+from ..streaming.state import state_stream
 from . import render
 
 
@@ -132,11 +136,73 @@ def disappearances(spark, d):
     return gone.select("identity_key", "state_hash", "present")
 
 
+def state_changes(spark, d):
+    return state.history(state.state_transitions(_sightings(spark, d))).select("event_id", "decision", "previous_hash", "new_hash")
+
+
+def _direct(spark, d):
+    """Normalised rows with the faults that no page of ours can have."""
+    one = lambda key, price, stock: f"named_struct('key', {key}, 'sku', null, 'options', null, 'price', {price}, 'availability', {stock})"
+    cols = {
+        "evidence_id": "cast(p_partkey as string)", "extractor_version": "'direct'", "source": "'books_to_scrape'",
+        "source_url": "case p_partkey % 4 when 0 then '' when 1 then null else concat('https://books.toscrape.com/s/', p_partkey) end",
+        "canonical_product_url": "if(p_partkey % 3 = 0, null, concat('https://books.toscrape.com/c/', p_partkey))",
+        "source_record_id": "if(p_partkey % 3 = 1, null, concat('r', p_partkey))", "observed_at": "timestamp'2026-09-05 00:00:00'", "title": "p_name",
+        "price": "cast(p_retailprice as decimal(38,18))", "compare_at_price": "cast(case p_partkey % 14 when 0 then -1 when 1 then 0.5 end as decimal(38,18))", "currency": "'GBP'",
+        "availability": "if(p_partkey % 5 < 2, 'OUT_OF_STOCK', 'IN_STOCK')", "quantity": "cast(case p_partkey % 10 when 0 then 0 when 1 then 7 when 2 then -2 when 5 then null when 6 then -1 else p_size end as bigint)",
+        "category": "p_type", "sku": "cast(null as string)", "categories": "array(p_type)",
+        "variants": f"""cast(case p_partkey % 12 when 0 then array({one('null', '1', "'IN_STOCK'")}, {one("'a'", '1', "'IN_STOCK'")}) when 1 then array({one("''", '1', "'IN_STOCK'")}) when 2 then array({one("'a'", '-1', "'IN_STOCK'")})
+          when 3 then array({one("'a'", 'null', "'IN_STOCK'")}, {one("'a'", '1', "'IN_STOCK'")}) when 4 then array({one("'a'", '1', 'null')}) when 5 then array({one("'a'", '0', "'IN_STOCK'")}) end as {VARIANTS})""",
+    }
+    return _t(spark, d, "part").select(*[F.expr(e).alias(c) for c, e in cols.items()])
+
+
+def validation_direct(spark, d):
+    return validate(_direct(spark, d)).select("evidence_id", F.array_join("errors", "|").alias("errors"), "is_valid")
+
+
+def accepted_identity(spark, d):
+    return validate(_direct(spark, d)).filter("is_valid").select("evidence_id", "source_url", "identity.source", "identity.canonical_product_url", "identity.source_record_id", "identity_key")
+
+
+def transition_results(spark, d):
+    """Three sightings of each product: the first, a later one with some prices changed, and one that comes late."""
+    seen = _direct(spark, d).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    raised = F.when((F.col("n") == 1) & (F.col("evidence_id").cast("long") % 4 == 0), F.col("price") + 1).otherwise(F.col("price"))
+    seen = seen.withColumns({"price": raised.cast("decimal(38,18)"), "observed_at": F.timestamp_seconds(F.get(F.array(F.lit(200), F.lit(300), F.lit(100)), "n"))})
+    rows = state.transition_rows(validate(seen), F.col("n").cast("long"))
+    cents = lambda c: F.col(f"{c}.price").cast("decimal(18,2)")
+    return rows.select("evidence_id", "arrival_seq", "decision", F.array_join("validation_errors", "|").alias("errors"), cents("previous_state").alias("old_price"), cents("new_state").alias("new_price"))
+
+
+def streamed_decisions(spark, d):
+    """The decisions of state_decisions, made on a stream of three micro-batches in order of arrival."""
+    rows, folder = _sightings(spark, d).drop("event_id"), new_folder(spark, "stream")
+    edges = rows.agg(F.percentile_approx("arrival_seq", [1 / 3, 2 / 3], 1000)).first()[0] or [0, 0]
+    place = (F.col("arrival_seq") > edges[0]).cast("int") + (F.col("arrival_seq") > edges[1]).cast("int")
+    for i in range(3):
+        rows.filter(place == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    found = state_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.expr("arrival_seq % 100000000").alias("event_id"), "identity_key", "decision")
+
+
+def streamed_outputs(spark, d):
+    """Evidence from files as a stream, routed, extracted, validated and written to the three tables; their rows by source."""
+    part, folder = _t(spark, d, "part"), new_folder(spark, "outputs")
+    render.books(part).unionByName(render.woo(part)).unionByName(render.embedded(part)).drop("source").write.parquet(f"{folder}/in")
+    routed = route_source(read_evidence(spark, f"{folder}/in", streaming=True))
+    stream_outputs(extract(routed), f"{folder}/out", f"{folder}/at").awaitTermination()
+    each = [spark.read.parquet(f"{folder}/out/{t}").groupBy("source").agg(F.count("*").alias("n")).withColumn("kind", F.lit(t)) for t in TABLES]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("kind", "source", "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_capture, canonical_urls, route_sources, html_select, books_extract, woo_extract, catalog_explode, embedded_variants, all_failures,
         extractor_registry, normalized_rows, validation_errors, error_histogram, accepted_pages, state_decisions, current_state, state_history, disappearances,
+        state_changes, validation_direct, accepted_identity, transition_results, streamed_decisions, streamed_outputs,
     )
 }
 
@@ -144,14 +210,14 @@ _P = "cast(cast(p_retailprice as decimal(18,2)) as varchar)"
 _K = "cast(p_partkey as varchar)"
 _BOOKS = f"""select 'books_to_scrape-' || {_K} as evidence_id, p_name as title_raw, '£ ' || {_P} as price_raw,
   case when p_partkey % 5 <> 0 then 'In stock (' || p_size || ' available)' end as availability_raw, p_brand as category_raw from part where p_partkey % 11 <> 0"""
-_CATALOG = f"""select 'scrapify_js-' || p_brand as evidence_id, case when p_partkey % 7 <> 0 then 'p-' || {_K} end as source_record_id_raw, p_name as title_raw,
+_CATALOG = f"""select 'scrapify_js-' || p_brand || '-' || p_partkey // 1000 as evidence_id, case when p_partkey % 7 <> 0 then 'p-' || {_K} end as source_record_id_raw, p_name as title_raw,
   case when p_partkey % 3 = 0 then {_P} else regexp_replace(regexp_replace({_P}, '0+$', ''), '\\.$', '') end as price_raw, 'USD' as currency_raw,
   case when p_size % 2 = 0 then 'true' else 'false' end as availability_raw, p_type as category_raw from part where p_brand not in ('Brand#1', 'Brand#2', 'Brand#3')"""
 _FAILURES = f"""select 'books_to_scrape-' || {_K} as evidence_id, 'books-to-scrape-v1' as extractor_version, 'books_to_scrape' as source, 'PRODUCT_MAIN_NOT_FOUND' as error_code from part where p_partkey % 11 = 0
   union all select 'scrapeme_live-' || {_K}, 'scrapeme-live-v2', 'scrapeme_live', 'PRODUCT_SUMMARY_NOT_FOUND' from part where p_partkey % 13 = 0
   union all select 'scraping_sandbox-' || {_K}, 'scraping-sandbox-json-v1', 'scraping_sandbox', case p_partkey % 10 when 0 then 'VARIANTS_NOT_LIST' else 'VARIANT_NOT_OBJECT' end from part where p_partkey % 10 in (0, 1)
-  union all select 'scrapify_js-' || p_brand, 'scrapify-js-json-v1', 'scrapify_js', case p_brand when 'Brand#1' then 'INVALID_JSON' when 'Brand#2' then 'PRODUCTS_ARRAY_NOT_FOUND' else 'INVALID_PRODUCT_RECORD:' || count(*) end
-    from part where p_brand in ('Brand#1', 'Brand#2', 'Brand#3') group by p_brand"""
+  union all select 'scrapify_js-' || p_brand || '-' || p_partkey // 1000, 'scrapify-js-json-v1', 'scrapify_js', case p_brand when 'Brand#1' then 'INVALID_JSON' when 'Brand#2' then 'PRODUCTS_ARRAY_NOT_FOUND' else 'INVALID_PRODUCT_RECORD:' || count(*) end
+    from part where p_brand in ('Brand#1', 'Brand#2', 'Brand#3') group by p_brand, p_partkey // 1000"""
 _NORMAL = f"""select p_partkey as k, {_K} as evidence_id, case when p_partkey % 17 = 0 then 'other' when p_partkey % 3 = 0 then 'books_to_scrape' when p_partkey % 3 = 1 then 'scrapeme_live' else 'scrapify_js' end as source,
   case when p_partkey % 19 = 0 then '' else p_name end as title,
   cast(case p_partkey % 8 when 0 then p_retailprice when 1 then -5 when 2 then p_retailprice when 3 then p_retailprice when 6 then -p_retailprice end as decimal(18,2)) as price,
@@ -211,3 +277,23 @@ ORACLE_SQL = {
 ORACLE_SQL["disappearances"] = ORACLE_SQL["current_state"].replace("from events", "from (select * from events where event_id <= (select max(event_id) // 100 * 99 from events))")
 ORACLE_SQL["disappearances"] = f"""select identity_key, state_hash, false as present from ({ORACLE_SQL["disappearances"]})
   where identity_key not in (select cast(user_id as varchar) from events where event_id > (select max(event_id) // 100 * 99 from events))"""
+
+_DIRECT = """select p_partkey as k, cast(p_partkey as varchar) as evidence_id, concat_ws('|', case k % 14 when 0 then 'NEGATIVE_COMPARE_AT_PRICE' when 1 then 'COMPARE_AT_BELOW_PRICE' end,
+  case when k % 10 in (2, 6) then 'NEGATIVE_QUANTITY' end, case when k % 10 in (1, 6) then 'INCONSISTENT_AVAILABILITY_QUANTITY' end,
+  case k % 12 when 0 then 'MISSING_VARIANT_IDENTITY' when 1 then 'MISSING_VARIANT_IDENTITY' when 2 then 'INVALID_VARIANT_PRICE' when 3 then 'INVALID_VARIANT_PRICE|DUPLICATE_VARIANT_IDENTITY' when 4 then 'INVALID_VARIANT_AVAILABILITY' end) as errors,
+  case when k % 3 <> 0 then 'https://books.toscrape.com/c/' || k end as url, case when k % 3 <> 1 then 'r' || k end as rid,
+  case when k % 4 > 1 then 'https://books.toscrape.com/s/' || k end as own, cast(p_retailprice as decimal(18,2)) as price from (select *, p_partkey as k from part)"""
+ORACLE_SQL |= {
+    "state_changes": f"select event_id, decision, previous_hash, case when decision <> 'DISAPPEARED' then event_type end as new_hash from ({_DECIDED}) where decision in ('CREATE', 'UPDATE', 'DISAPPEARED', 'REAPPEARED')",
+    "validation_direct": f"select evidence_id, errors, errors = '' as is_valid from ({_DIRECT})",
+    "accepted_identity": f"""select evidence_id, coalesce(own, url, '') as source_url, 'books_to_scrape' as source, url as canonical_product_url, rid as source_record_id,
+      coalesce('id:' || rid, 'url:' || url) as identity_key from ({_DIRECT}) where errors = ''""",
+    "transition_results": f"""select evidence_id, n as arrival_seq, case when errors <> '' then 'REJECT' when n = 0 then 'CREATE' when n = 2 then 'STALE' when k % 4 = 0 then 'UPDATE' else 'NO_CHANGE' end as decision, errors,
+      case when errors = '' and n = 1 then price end as old_price, case when errors = '' and n < 2 then cast(price + case when n = 1 and k % 4 = 0 then 1 else 0 end as decimal(18,2)) end as new_price
+      from ({_DIRECT}), (values (cast(0 as bigint)), (1), (2)) t(n)""",
+    "streamed_decisions": f"select event_id, identity_key, decision from ({_DECIDED})",
+    "streamed_outputs": """select kind, source, count(*) as n from (
+      select case when p_partkey % 11 = 0 then 'extraction_failures' when p_partkey % 5 = 0 then 'rejected' else 'accepted' end as kind, 'books_to_scrape' as source from part
+      union all select case when p_partkey % 13 = 0 then 'extraction_failures' else 'accepted' end, 'scrapeme_live' from part
+      union all select case when p_partkey % 10 in (0, 1) then 'extraction_failures' when p_partkey % 6 = 0 then 'rejected' else 'accepted' end, 'scraping_sandbox' from part) group by 1, 2""",
+}

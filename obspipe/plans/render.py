@@ -31,13 +31,13 @@ def woo(part: DataFrame) -> DataFrame:
 
 
 def catalogs(part: DataFrame) -> DataFrame:
-    """One JSON catalog per brand; Brand#1 is cut off, Brand#2 has no array, Brand#3 holds a number."""
+    """JSON catalogs of a brand's parts, of 1000 part keys each; Brand#1's are cut off, Brand#2's have no array, Brand#3's hold a number."""
     item = f"""concat('{{"id":', if(p_partkey % 7 = 0, cast(p_partkey as string), concat('"p-', p_partkey, '"')), ',"title":"', p_name, '","category":"', p_type,
       '","price":', if(p_partkey % 3 = 0, concat('"', {PRICE}, '"'), {PRICE}), ',"currency":"USD","in_stock":', if(p_size % 2 = 0, 'true', 'false'), '}}')"""
-    rows = part.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.expr(item).alias("j")))), lambda x: x["j"]), ",").alias("items"))
+    rows = part.groupBy("p_brand", F.expr("p_partkey div 1000").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.expr(item).alias("j")))), lambda x: x["j"]), ",").alias("items"))
     body = """case p_brand when 'Brand#1' then '{"products":[' when 'Brand#2' then '{"products":5}'
       when 'Brand#3' then concat('{"products":[', items, ',7]}') else concat('{"meta":{},"products":[', items, ']}') end"""
-    return _evidence(rows, "'https://scrapifydatalabs.com/data/products.json'", body, "scrapify_js", "p_brand")
+    return _evidence(rows, "'https://scrapifydatalabs.com/data/products.json'", body, "scrapify_js", "p_brand, '-', page")
 
 
 def embedded(part: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Evidence from landed responses or files, and the sinks of accepted and rejected rows."""
+"""Evidence from landed responses or files."""
 
 from __future__ import annotations
 
@@ -42,9 +42,3 @@ def read_evidence(spark: SparkSession, path: str, fmt: str = "parquet", streamin
             F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("fetched_at"))
         return capture_evidence(files)
     return reader.format(fmt).schema(EVIDENCE).load(path)
-
-
-def write_outputs(validated: DataFrame, failures: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet tables accepted, rejected and extraction_failures under path, partitioned by source."""
-    for name, df in (("accepted", validated.filter("is_valid")), ("rejected", validated.filter("not is_valid")), ("extraction_failures", failures)):
-        df.write.mode(mode).partitionBy("source").parquet(f"{path}/{name}")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 OUTPUT = "source string, identity_key string, arrival_seq long, observed_at timestamp, state_hash string, decision string"
-
-
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = ["arrival_seq", "observed_at", "state_hash", "is_valid", "present"]
 
 
@@ -59,8 +58,9 @@ class Decisions(StatefulProcessor):
 def state_stream(rows: DataFrame) -> DataFrame:
     """rows: source, identity_key, arrival_seq, observed_at, state_hash; optional is_valid, present.
 
-    Needs the RocksDB state store provider.
+    Sets the session's state store to RocksDB, which keeps states on disk and which these states need.
     """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     for name in ("is_valid", "present"):
         rows = rows if name in rows.columns else rows.withColumn(name, F.lit(True))
     return rows.groupBy("source", "identity_key").transformWithStateInPandas(Decisions(), OUTPUT, outputMode="append", timeMode="none")
