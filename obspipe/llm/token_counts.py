@@ -7,6 +7,9 @@ follows up to the next space) whose tokens never cross. The table of a text is t
 at every unit's end; inside a unit a second table holds the count at every character. That inner table
 is filled left to right: the encoding of a prefix ends with the one piece that forms a valid pair with
 the last piece of the shorter prefix, and a pair is valid if merging its characters gives back the pair.
+Pieces of several marks merge after all others, so a run of marks keeps apart from a word whose own mark has
+merged, and takes that mark in where it has not; counts of a run repeat with the longest such piece, which is
+looked up once in the library.
 
 Null and empty texts have no tokens and empty tables. Long texts are handled unit by unit; repeated
 rows give repeated results; a null doc_id stays null; other columns of the input are ignored.
@@ -28,6 +31,8 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries that a worker's memo holds at most; beyond that, counts are computed again.
 MEMO = 800_000
+#: Characters of the longest unit that the memo holds.
+SHORT = 64
 #: Characters of the texts whose units are learnt together.
 LEARN = 1 << 22
 
@@ -51,6 +56,9 @@ class PrefixCounter:
         self.pairs: dict[tuple[str, str], bool] = {}
         #: pieces that merging their characters gives back
         self.usable = {piece for piece in self.score if self.merge(piece) == [piece]}
+        #: counts of runs of marks, up to two lengths of the longest piece of marks alone
+        self.blank = max(n for n in range(1, self.longest + 1) if MARK * n in self.score)
+        self.blanks = np.array([0, 1, *(len(lib.encode(" " * n)) for n in range(1, 2 * self.blank))])
         self.units: dict[str, int] = {}
         self.fresh: dict[str, int] = {}
 
@@ -74,14 +82,25 @@ class PrefixCounter:
         found = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return found
 
-    def unit(self, u: str) -> list[int]:
+    def run(self, n: np.ndarray) -> np.ndarray:
+        """Tokens of n marks alone."""
+        more = np.maximum(0, n // self.blank - 1)
+        return self.blanks[n - more * self.blank] + more
+
+    def unit(self, u: str) -> np.ndarray:
         """Counts at every prefix of one unit, its word-start marks included."""
-        if u.startswith(MARK * 2):  # runs of spaces merge by ties; the library answers for each prefix
-            return [0] + [len(self.library.encode(u[1:i])) if i > 1 else 1 for i in range(1, len(u) + 1)]
+        n = len(u) - len(u.lstrip(MARK)) - 1  # marks before the word's own
         last: list[str | None] = [None]
         count = [0]
-        self.extend(u, last, count)
-        return count
+        self.extend(u[n:], last, count)
+        if not n:
+            return np.array(count)
+        alone = [False]  # whether the word's mark is a piece by itself
+        for i in range(1, len(count)):
+            before = i - (len(last[i]) if last[i] else 1)
+            alone.append(alone[before] if before else last[i] == MARK)
+        ends = np.array(count[1:]) + np.where(alone[1:], self.run(np.array(n + 1)) - 1, self.run(np.array(n)))
+        return np.concatenate([self.run(np.arange(n + 1)), ends])
 
     def extend(self, u: str, last: list, count: list) -> None:
         """Go on with the table (last piece and count of each prefix) of a prefix of u to the end of u."""
@@ -118,7 +137,7 @@ class PrefixCounter:
             del last[n + 2 :], count[n + 2 :]  # the mark counts too
             self.extend(MARK + u, last, count)
             before = u
-            (known if len(known) < MEMO else self.fresh)[u] = count[-1]
+            (known if len(known) < MEMO and len(u) <= SHORT else self.fresh)[u] = count[-1]
 
     def irregular(self, text: str) -> bool:
         return not text or "  " in text or MARK in text or text[0] == " " or text[-1] == " "
@@ -126,8 +145,8 @@ class PrefixCounter:
     def total(self, u: str) -> int:
         found = self.units.get(u) or self.fresh.get(u)
         if found is None:
-            found = self.unit(MARK + u if not u.startswith(MARK) else u)[-1]
-            if len(self.units) < MEMO:
+            found = int(self.unit(MARK + u if not u.startswith(MARK) else u)[-1])
+            if len(self.units) < MEMO and len(u) <= SHORT:
                 self.units[u] = found
         return found
 
@@ -160,7 +179,7 @@ class PrefixCounter:
         if at == chars or i + 1 >= len(units):
             return before
         u = units[i + 1]
-        return before + self.unit(u if u.startswith(MARK) else MARK + u)[chars - at]
+        return before + int(self.unit(u if u.startswith(MARK) else MARK + u)[chars - at])
 
     def longest_prefix(self, units: list[str], ends: np.ndarray, counts: np.ndarray, limit: int) -> int:
         """Characters of the longest prefix with at most `limit` tokens."""
@@ -170,7 +189,7 @@ class PrefixCounter:
             return max(at, 0)
         u = units[i]
         inner = self.unit(u if u.startswith(MARK) else MARK + u)
-        return max([0] + [at + k for k, c in enumerate(inner) if before + c <= limit])
+        return max(0, at + int(np.flatnonzero(before + inner <= limit)[-1]))
 
 
 def prefix_tables(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
