@@ -39,11 +39,13 @@ class Encoder:
 
     Texts of plain Latin letters go word by word through a memo: the tokenizer's pattern always cuts
     before a single space between two other characters. Words that the memo lacks are merged by the
-    rank file of the same vocabulary. All other texts go to the tokenizer as they are.
+    rank file of the same vocabulary. All other texts go to the tokenizer as they are, also those with a run of
+    BLANKS white-space characters or more, which the other library can't take.
     """
 
     PLAIN = re.compile("[^\n\x20-\x7e\xa1-\u024f]")
     OTHER = re.compile("[^\x00-\u024f]")
+    BLANKS = re.compile(r"\s{10000}")
     SPECIAL = "<|endoftext|>"
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
@@ -67,10 +69,11 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.PLAIN.search(text) and self.OTHER.search(text) or self.SPECIAL in text:
+        odd = self.PLAIN.search(text)
+        spaced = odd or "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or text[0] == " " or text[-1] == " "
+        if odd and self.OTHER.search(text) or self.SPECIAL in text or spaced and self.BLANKS.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        spaced = "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " "
-        if spaced or self.PLAIN.search(text):
+        if spaced:
             return np.array(self.words.encode_ordinary(text), np.uint32).tobytes()
         first, *rest = text.split(" ")
         known, word = self.memo.get, self.word
