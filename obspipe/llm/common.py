@@ -1,17 +1,18 @@
-"""Helpers that the corpus operators share: tables, the shared folder, row ids."""
+"""Helpers that the corpus operators share: tables, saved tables, row numbers."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -20,32 +21,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a temporary folder is made, but only for a local master,
-    whose one process needs no shared storage.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("obspipe.local.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local") or "cluster" in conf.get("spark.master", ""):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="spark-obspipe-")
-    spark.conf.set("obspipe.local.dir", found)
-    return found
+#: Folders of the tables saved in each open `temporary` block.
+_blocks: list[list[str]] = []
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
-    Lost executors then cost a re-read of files, never a recomputation of what came before.
+    Lost executors then cost a re-read of files, never a recomputation of what came before. Tables that a result
+    still reads stay in the shared folder; `discard` and `temporary` delete the others.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/obspipe-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
+    for block in _blocks:
+        block.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `saved` returned, which nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.saved_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose saved tables are deleted at its end, but for those given to the function that it yields."""
+    made: list[str] = []
+    keep: set[str] = set()
+
+    def kept_table(df: DataFrame) -> DataFrame:
+        keep.add(df.saved_at)
+        return df
+
+    _blocks.append(made)
+    try:
+        yield kept_table
+    finally:
+        _blocks.remove(made)
+        for path in set(made) - keep:
+            _delete(spark, path)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df doesn't have, whatever the case of letters."""
+    there = {c.lower() for c in df.columns}
+    while wanted.lower() in there:
+        wanted += "_"
+    return wanted
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written, with a number of each row in one more column, and that column's name.
+
+    The numbers are fixed with the table: a task that runs again reads the same ones, which ids made on the fly don't ensure.
+    """
+    uid = free_name(df, "uid")
+    return saved(df.withColumn(uid, F.monotonically_increasing_id()), name), uid
+
+
+def joined_if_small(side: DataFrame, rows: int) -> DataFrame:
+    """side, with the broadcast hint if it has at most `rows` rows."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
 def ascii_lower(text):

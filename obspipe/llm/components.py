@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Every round is a few joins and aggregations over the links and ends in a written table, so lineage
-stays short and a lost executor costs a re-read. A node of very high degree is pre-aggregated before
+stays short and a lost executor costs a re-read; the table of the round before is deleted then. A node of very high degree is pre-aggregated before
 its shuffle, and its links are joined in SALTS shares.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 SALTS = 8
 
@@ -21,10 +21,11 @@ def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     return links.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(shares, ["u", "share"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node that occurs in links (a, b); root is the least node reachable.
 
-    Links may repeat, be reversed or join a node to itself; an empty table gives an empty result.
+    Links may repeat, be reversed or join a node to itself; an empty table gives an empty result. Rounds grow with
+    the logarithm of the longest path; if `rounds` of them don't do, it raises an error and gives no result.
     """
     pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = saved(pairs, "links")
@@ -39,7 +40,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = saved(small.union(least.select("u", "m")).distinct(), "links")
+        before, pairs = pairs, saved(small.union(least.select("u", "m")).distinct(), "links")
+        discard(before)
+    else:
+        raise RuntimeError(f"components aren't final after {rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         pairs.select("v", "v").distinct()
     )

@@ -15,8 +15,7 @@ visitors; visitors are read as a stream. Instead of all pairs of a dense group a
 link for each matching visitor and a spanning forest of its residents; with the largest group that it has
 united, a visitor is compared only until it meets one member.
 
-`one_of_each` is stricter: it takes the sets of shingles, gives each SEEDS independent fingerprints, and counts
-a pair within `bits` in any of them only if the exact Jaccard similarity of the sets reaches the wanted one.
+`similar.one_of_each` works on sets of shingles and verifies its links; this module's links are those of fingerprints.
 
 Null texts count as empty. Repeated rows, also of one doc_id, fall into one component; a component's id
 is its smallest doc_id that isn't null. Empty tables give empty results; other columns are ignored.
@@ -34,11 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
-from .substring import ODD, mixed
 
 RADIUS = 1
-#: Independent fingerprints of a set; each finds 0.4 of the pairs of Jaccard 0.8 at 8 bits, all together 0.98.
-SEEDS = 8
 #: Residents of one anchor that a task holds; an anchor with more is split.
 RESIDENTS = 20_000
 #: Pairs compared at once.
@@ -234,18 +230,12 @@ class AnchorLinks:
 
 
 def links(fps: DataFrame, bits: int) -> DataFrame:
-    """Links (a, b) that connect all of the distinct fingerprints fp within `bits` of each other.
-
-    Fingerprints of different `seed`, a column that may be absent, aren't compared.
-    """
-    fps = fps.select("fp", "seed" if "seed" in fps.columns else F.lit(0).alias("seed"))
+    """Links (a, b) that connect all of the distinct fingerprints fp within `bits` of each other."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, seeds = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            for seed in np.unique(seeds):
-                key, role, fp = placed(fps[seeds == seed], bits)
-                yield pa.RecordBatch.from_arrays([pa.array(key | seed << 24), pa.array(role), pa.array(fp)], names=["anchor", "role", "fp"])
+            key, role, fp = placed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), pa.array(fp)], names=["anchor", "role", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = AnchorLinks(bits)
@@ -254,7 +244,7 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
                 a, b = state.add(*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("anchor", "share", "role", "fp")))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    places = fps.mapInArrow(place, "anchor long, role byte, fp long")
+    places = fps.select("fp").mapInArrow(place, "anchor long, role byte, fp long")
     crowd = saved(places.filter("role = 0").groupBy("anchor").count().filter(F.col("count") > RESIDENTS), "crowded")
     # at most 4 * rows / RESIDENTS anchors are crowded; the planner broadcasts them if they are few
     shares = crowd.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares"))
@@ -280,135 +270,3 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame
     ids = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = saved(known.join(ids, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    import xxhash
-
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = [b" ".join(w)] if 0 < len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words))))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(g, 42) for g in grams], np.uint64))
-
-
-def set_fingerprints(h: np.ndarray, seeds: int = SEEDS) -> np.ndarray:
-    """Independent fingerprints of a set of shingles."""
-    bits = np.zeros((seeds, 64), np.int64)
-    for at in range(0, len(h), 1 << 14):
-        for seed in range(seeds):
-            x = mixed(h[at : at + (1 << 14)] * ODD + np.uint64(seed))
-            bits[seed] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * bits > len(h), axis=1, bitorder="little").view(np.int64).ravel()
-
-
-def sets(docs: DataFrame, words: int, whole: bool) -> DataFrame:
-    """(key, doc_id, node) for each row of docs (key, doc_id, text), with its fingerprints, or its shingles if `whole`.
-
-    Texts of the same set are one node; 0 stands for texts without words.
-    """
-    name = "shingles" if whole else "fps"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            found = [shingle_set(t.as_py(), words) for t in batch.column(2)]
-            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) if len(h) else 0 for h in found], np.uint64).view(np.int64)
-            lists = [h.view(np.int64) if whole else set_fingerprints(h) for h in found]
-            arrays = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "node", name])
-
-    return docs.select("key", "doc_id", "text").mapInArrow(run, f"key long, doc_id long, node long, {name} array<long>")
-
-
-def pairs_between(nodes: DataFrame, bits: int) -> DataFrame:
-    """All pairs (a, b) of nodes of different root that are within `bits` in a fingerprint; nodes: node, root, seed, fp."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, root, seeds, fps = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-            for i in range(len(fps)):
-                key, role, fp = placed(fps[i : i + 1], bits)
-                same = [np.full(len(key), x) for x in (node[i], root[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key | seeds[i] << 24, role, fp, *same)], names=["anchor", "role", "fp", "node", "root"])
-
-    def compare(group: pa.Table) -> pa.Table:
-        role, fp, node, root = (group.column(k).to_numpy() for k in ("role", "fp", "node", "root"))
-        own, visitors = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        out_a, out_b, u = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], fp.view(np.uint64)
-        step = max(1, CHUNK // max(1, len(own)))
-        for at in range(0, len(visitors) if len(own) else 0, step):
-            v = visitors[at : at + step]
-            x, y = np.nonzero((np.bitwise_count(u[v][:, None] ^ u[own]) <= bits) & (root[v][:, None] != root[own]))
-            out_a.append(node[v[x]])
-            out_b.append(node[own[y]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    places = nodes.select("node", "root", "seed", "fp").mapInArrow(place, "anchor long, role byte, fp long, node long, root long")
-    return places.groupBy("anchor").applyInArrow(compare, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with ok: whether the sets (node, shingles) of both have the Jaccard similarity."""
-    one, other = shingles.toDF("a", "s"), shingles.toDF("b", "t")
-    both = F.size(F.array_intersect("s", "t"))
-    ok = both >= similarity * (F.size("s") + F.size("t") - both) - 1e-9
-    return pairs.join(one, "a").join(other, "b").select("a", "b", ok.alias("ok"))
-
-
-def similar_sets(docs: DataFrame, rows: DataFrame, bits: int, words: int, similarity: float) -> DataFrame:
-    """(node, root) of all nodes with a partner of at least the Jaccard similarity; rows: see `sets`.
-
-    A forest of the candidates is verified first. Where it has refuted links, others may hold what it
-    connected: there all candidate pairs between the groups so far are verified, too.
-    """
-    each = rows.filter("node <> 0").groupBy("node").agg(F.min(F.struct("key", "doc_id")).alias("row"), F.first("fps").alias("fps"))
-    each = saved(each, "nodes")
-    prints = each.select("node", F.posexplode("fps").alias("seed", "fp"))
-    least = saved(prints.groupBy("seed", "fp").agg(F.min("node").alias("least")), "prints")
-    found = links(least, bits)
-    # a fingerprint that occurs under two seeds makes more candidates only
-    ends = least.groupBy("fp").agg(F.min("least").alias("least"))
-    forest = found.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
-    again = least.join(ends.withColumnRenamed("least", "y"), "fp").select(F.col("least").alias("x"), "y")
-    equal = prints.join(least, ["seed", "fp"]).select(F.col("node").alias("x"), F.col("least").alias("y"))
-    forest = forest.union(equal).union(again).filter("x <> y")
-    forest = saved(forest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "forest")
-
-    def known(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-        wanted = each.join(nodes, "node", "left_semi").select("row.key", "row.doc_id")
-        same = F.col("d.key").eqNullSafe(F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-        texts = docs.alias("d").join(wanted.alias("w"), same, "left_semi")
-        return verified(pairs, sets(texts, words, True).groupBy("node").agg(F.first("shingles").alias("shingles")), similarity)
-
-    first = saved(known(forest), "verified")
-    good = first.filter("ok").select("a", "b")
-    groups = saved(components(good), "groups")
-    loose = saved(components(forest).withColumnRenamed("root", "loose"), "loose")
-    refuted = first.filter("not ok").join(loose, F.col("a") == F.col("node")).select("loose").distinct()
-    open_ = loose.join(refuted, "loose", "left_semi").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    more = saved(pairs_between(open_.join(prints, "node"), bits).join(forest, ["a", "b"], "left_anti"), "more")
-    second = saved(known(more).filter("ok").select("a", "b"), "verified")
-    return saved(components(good.union(second)), "groups")
-
-
-def one_of_each(docs: DataFrame, bits: int = 8, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs of every group of texts that are linked by the Jaccard similarity of their shingles.
-
-    It is the one of the smallest doc_id, null being the last. Texts without words are one group.
-    """
-    from pyspark.sql import Window
-
-    keyed = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(sets(keyed, words, False), "sets")
-    groups = similar_sets(keyed, rows, bits, words, similarity)
-    rooted = rows.select("key", "doc_id", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
-    keep = saved(least.select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key")), "kept")
-    own = F.xxhash64("text").eqNullSafe(F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = docs.join(keep, own, "left_semi")
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
-    return kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*[f"`{c}`" for c in docs.columns])
