@@ -1,28 +1,42 @@
 """Personal data by candidate gradient boosting, with SQL functions and Spark's own trees only.
 
-Base spans come from fixed patterns with checks (part values, Luhn, digit counts); they always stay.
-Generators of high recall propose further, overlapping candidates: addresses with "at" and "dot" spelled
-out, dotted or spaced quads, long digit groups, and digit groups like a telephone number's. Candidates are
-described by format (digits, groups, separators, length) and context (neighbouring characters, words before)
-but not by what the base patterns test. A candidate counts as positive in training if it overlaps a base span
-of its kind. Equal descriptions are counted together, over all documents, so the table that gradient-boosted
-trees are fitted to is bounded by the number of descriptions. The cut on the score is calibrated on documents
-of another fold: the lowest score from which on at least PRECISION of the candidates are positive. Candidates
-above it that overlap no base span of their kind are added.
-
-Null texts count as empty. Repeated rows are handled each for itself; nothing is added where a class is
-missing in training. Very long runs are matched without recursion. Other columns are ignored.
+Base spans come from fixed patterns with checks (part values, Luhn, digit counts); they always stay. Generators of
+high recall propose further, overlapping candidates: addresses with "at" and "dot" spelled out, dotted or spaced
+quads, long digit groups, and digit groups like a telephone number's. Candidates are described by format (digits,
+groups, separators, value checks) and context (neighbouring characters, words before).
+
+Labels come from disguises, as nobody has labelled such spans. Every base span, written in the ways in which the
+patterns miss it (marks spelled out, digits grouped or in another order, no plus), is a positive in its own context.
+The same spans spoilt (parts too large, digits cut off, sentence ends for dots) are negatives, and so are the
+generators' candidates that overlap no base span, unless their description is also that of a positive: those are
+what is looked for, and count as unlabelled. Equal descriptions are counted together, over all documents, so the
+table to which gradient-boosted trees are fitted is bounded by the number of descriptions. For each kind the cut on
+the score is calibrated on a fold of texts left out in fitting: the lowest score from which on at least PRECISION of
+the labelled candidates are positive. Candidates above their kind's cut that overlap no base span are added, of
+overlapping ones the best-scored. The fitted trees and cuts are a Column expression, so finding and replacing work on
+each row by itself.
+
+Null texts count as empty. Repeated rows and rows without doc_id are handled each for itself; nothing is added of a
+kind that has no base span in the fitting fold. Very long runs are matched without recursion. Other columns stay as
+they are in `redacted`, whatever their names, and are ignored elsewhere; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from ..session import once
+from .common import discard, free_name, saved
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.95
+#: Descriptions that are fitted in one task; more are fitted where they lie.
+ONE_TASK = 1_000_000
 #: The base patterns, with possessive repeats and look-behinds that change no match but its cost.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -40,7 +54,23 @@ WORDS = {
     "email": "mail|contact|write|reach", "ip": "ip|host|server|address|addr",
     "card": "card|visa|pay|credit|account", "phone": "call|phone|tel|mobile|fax|contact",
 }
-FEATURES = ("kind_no", "digits", "letters", "groups", "longest", "length", "left", "right", "hinted", "brackets", "spaces")
+FEATURES = (
+    "kind_no", "digits", "groups", "longest", "shortest", "length", "left", "right", "hinted", "spaces", "capitals", "at", "dot", "tail", "octets", "checked",
+)
+#: Ways of writing a base span that its pattern misses: (pattern, replacement) in turn; and ways of spoiling it.
+DISGUISED = {
+    "email": (((r"\.(?=[^@]*$)", " dot "), (r"@", " at ")), ((r"\.(?=[^@]*$)", "[dot]"), (r"@", "[at]")), ((r"@", " (at) "),), ((r"@", " @ "),)),
+    "ip": (((r"\.", " . "),), ((r"\.", "[.]"),), ((r"\.", ","),)),
+    "card": (((r"[^0-9]", ""), (r"(.)(.)", "$2$1")), ((r"[^0-9]", ""), (r"(....)(?=.)", "$1.")), ((r"[^0-9]", ""), (r"(....)(?=.)", "$1/"))),
+    "phone": (((r"^\+[0-9]{1,3} ?", ""),), ((r"^\+[0-9]{1,3} ?", ""), (r"[^0-9]+", " "), (r"^ | $", "")), ((r"[^0-9]+", "."), (r"^\.", ""))),
+}
+SPOILT = {
+    "email": (((r"\.([^@]*)$", ". T$1"), (r"@", " at ")), ((r"^.*@", "them at "), (r"\..*$", ". And"))),
+    "ip": (((r"\.[0-9]+\.", ".777."),), ((r"^[0-9]+", "999"), (r"\.", ",")), ((r"\.[0-9]+$", ".486"), (r"\.", " . "))),
+    "card": (((r"[^0-9]", ""), (r"^(.{9}).*$", "$1")), ((r"[^0-9]", ""), (r"^(....)(...).*$", "$1.$2")), ((r"[^0-9]", ""), (r"(.{8}).*", "$1/$1/$1"))),
+    "phone": (((r"[^0-9]", ""), (r"^.*(...)(....)$", "$1-$2")), ((r"[^0-9]", ""), (r"^(..)(..)(..).*$", "$1.$2.$3")), ((r"[^0-9]", ""), (r"^(....).*$", "$1-$1-$1-$1-$1"))),
+}
+SPAN = "struct<start:int,kind_no:int,end:int>"
 
 
 def places(text: Column, pattern: str, possible: Column) -> Column:
@@ -84,96 +114,173 @@ def valid(kind: str, what: Column) -> Column:
     return F.lit(True)
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, base, wide): base spans by start and kind, and the generators' candidates, described."""
-    text = F.col("text")
+def described(no: int, what: Column, before: Column, left: Column, right: Column) -> Column:
+    """FEATURES of a candidate of kind `no`, as a struct of ints."""
+    kind = KINDS[no]
+
+    def side(c: Column) -> Column:
+        return F.when(c == "", 0).when(c.rlike("[A-Za-z0-9]"), 1).when(c.rlike(r"\s"), 2).otherwise(3)
+
+    def features(x: Column) -> Column:
+        sizes = F.transform(x["runs"], F.length)
+        digits = F.least(F.length(x["digits"]), F.lit(20))
+        f = {
+            "kind_no": F.lit(no), "digits": digits, "groups": F.least(F.size(x["runs"]), F.lit(6)),
+            "longest": F.least(F.coalesce(F.array_max(sizes), F.lit(0)), F.lit(17)), "shortest": F.least(F.coalesce(F.array_min(sizes), F.lit(0)), F.lit(5)),
+            "length": F.least(F.floor(F.length(what) / 4), F.lit(8)), "left": side(left), "right": side(right),
+            "hinted": F.lower(before).rlike(WORDS[kind]), "spaces": F.contains(what, F.lit(" ")), "capitals": what.rlike("[A-Z]"),
+            "at": F.lit(0), "dot": F.lit(0), "tail": F.lit(0), "octets": F.lit(0), "checked": F.lit(0),
+        }
+        if kind == "email":
+            f["at"] = F.when(what.rlike(r"[\[(] ?at"), 2).when(F.contains(what, F.lit(" at ")), 3).otherwise(1)
+            f["dot"] = F.when(what.rlike(r"[\[(] ?dot| dot "), 2).when(what.rlike(r"\. "), 3).otherwise(1)
+            f["tail"] = F.least(F.length(F.regexp_extract(what, "[A-Za-z]*$", 0)), F.lit(7))
+        if kind in ("ip", "phone"):
+            f["octets"] = F.forall(x["runs"], lambda r: (F.length(r) < 3) | ((F.length(r) == 3) & (r <= "255")))
+        if kind == "card":
+            f["checked"] = digits.between(12, 19)
+        return F.struct(*[f[n].cast("int").alias(n) for n in FEATURES])
+
+    runs = F.filter(F.split(what, "[^0-9]+"), lambda r: r != "")
+    return F.get(F.transform(F.array(F.struct(runs.alias("runs"), F.regexp_replace(what, "[^0-9]", "").alias("digits"))), features), F.lit(0))
+
+
+def around(m: Column) -> tuple[Column, Column, Column]:
+    """What stands before a match in `_text`, and the characters to its left and right."""
+    text = F.col("_text")
+    before = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
+    return before, F.when(m["start"] == 0, "").otherwise(F.substring(text, m["start"], F.lit(1))), F.substring(text, m["end"] + 1, F.lit(1))
+
+
+def rewritten(what: Column, ways: tuple) -> list[Column]:
+    out = []
+    for way in ways:
+        x = what
+        for pattern, by in way:
+            x = F.regexp_replace(x, pattern, by)
+        out.append(x)
+    return out
+
+
+def marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more struct column, and its name: base spans by start and kind, candidates clear of them, and what to learn from.
+
+    base: SPANs; wide: start, end and description; train: label and description.
+    """
+    text, marks = F.col("_text"), free_name(docs, "marks")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # docs' own columns travel in one struct, so that no name of theirs can meet one of these
+    rows = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     digit = text.rlike("[0-9]")
     possible = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
     wide = {"email": F.contains(text, F.lit("@")) | text.rlike(r" at |[\[(] ?at ?[\])]"), "ip": digit, "card": digit, "phone": digit}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    rows = rows.withColumns({f"b_{k}": places(text, BASE[k], possible[k]) for k in KINDS} | {f"w_{k}": places(text, WIDE[k], wide[k]) for k in KINDS})
+    found = {f"_b_{k}": F.filter(places(text, BASE[k], possible[k]), lambda m: valid(k, m["what"])) for k in KINDS}
+    rows = once(rows, ["_row", "_text"], found | {f"_w_{k}": places(text, WIDE[k], wide[k]) for k in KINDS})
+    span = lambda m, no: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end")).cast(SPAN)
+    base = F.array_sort(F.concat(*[F.transform(f"_b_{k}", lambda m: span(m, no)) for no, k in enumerate(KINDS)]))
 
-    def base(no: int, k: str) -> Column:
-        good = F.filter(f"b_{k}", lambda m: valid(k, m["what"]))
-        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end")))
+    def clear(m: Column) -> Column:
+        return ~reduce(Column.__or__, [F.exists(f"_b_{k}", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) for k in KINDS])
+
+    def candidates(no: int, k: str) -> Column:
+        return F.transform(F.filter(f"_w_{k}", clear), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), described(no, m["what"], *around(m)).alias("f")))
+
+    def examples(no: int, k: str) -> Column:
+        """Labels 1 and 0 of a base span's disguises and spoilt forms, as far as the generator proposes them."""
+        whole = f"^(?:{WIDE[k]})$"
+
+        def of(m: Column) -> Column:
+            each = [(1, x) for x in rewritten(m["what"], DISGUISED[k])] + [(0, x) for x in rewritten(m["what"], SPOILT[k])]
+            forms = F.filter(F.array(*[F.struct(F.lit(y).alias("label"), x.alias("what")) for y, x in each]), lambda z: z["what"].rlike(whole))
+            return F.transform(forms, lambda z: F.struct(z["label"].alias("label"), described(no, z["what"], *around(m)).alias("f")))
+
+        return F.flatten(F.transform(f"_b_{k}", of))
+
+    each = [("base", base), ("wide", F.concat(*[candidates(i, k) for i, k in enumerate(KINDS)])), ("train", F.concat(*[examples(i, k) for i, k in enumerate(KINDS)]))]
+    fold = F.pmod(F.xxhash64("_text"), F.lit(4)).alias("fold")
+    rows = once(rows, ["_row", fold], {n: c for n, c in each})
+    return rows.select("_row.*", F.struct("fold", "base", "wide", "train").alias(marks)), marks
 
-    def side(c: Column) -> Column:
-        return F.when(c == "", 0).when(c.rlike("[A-Za-z0-9]"), 1).when(c.rlike(r"\s"), 2).otherwise(3)
 
-    def described(no: int, k: str) -> Column:
-        def one(m: Column) -> Column:
-            what = m["what"]
-            runs = F.transform(F.filter(F.split(what, "[^0-9]+"), lambda x: x != ""), lambda x: F.length(x))
-            before = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
-            clashes = F.exists(f"b_{k}", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]) & valid(k, b["what"]))
-            f = {
-                "kind_no": F.lit(no),
-                "digits": F.least(F.length(F.regexp_replace(what, "[^0-9]", "")), F.lit(20)),
-                "letters": F.least(F.length(F.regexp_replace(what, "[^A-Za-z]", "")), F.lit(1)),
-                "groups": F.least(F.size(runs), F.lit(6)),
-                "longest": F.least(F.coalesce(F.array_max(runs), F.lit(0)), F.lit(9)),
-                "length": F.least(F.floor(F.length(what) / 4).cast("int"), F.lit(8)),
-                "left": side(F.when(m["start"] == 0, "").otherwise(F.substring(text, m["start"], F.lit(1)))),
-                "right": side(F.substring(text, m["end"] + 1, F.lit(1))),
-                "hinted": F.lower(before).rlike(WORDS[k]).cast("int"),
-                "brackets": what.rlike(r"[\[\](){}]").cast("int"),
-                "spaces": F.contains(what, F.lit(" ")).cast("int"),
-            }
-            parts = [F.lit("start"), m["start"], F.lit("end"), m["end"], F.lit("base"), clashes.cast("int")]
-            return F.named_struct(*parts, *[x for n in FEATURES for x in (F.lit(n), f[n].cast("int"))])
-
-        return F.transform(f"w_{k}", one)
-
-    return rows.select(
-        "uid", "doc_id",
-        F.array_sort(F.concat(*[base(i, k) for i, k in enumerate(KINDS)])).alias("base"),
-        F.concat(*[described(i, k) for i, k in enumerate(KINDS)]).alias("wide"),
-    )
-
-
-def accepted(candidates: DataFrame, precision: float) -> DataFrame | None:
-    """The descriptions whose candidates are added; None if the model can't be fitted.
-
-    candidates: uid, base (0/1) and FEATURES. All tables here are bounded by the number of descriptions.
+def margin(model, f: Column) -> Column:
+    """The boosted trees' score of a description, as a Column."""
+    def node(lines: Iterator[str]) -> Column:
+        line = next(lines)
+        if line.startswith("Predict:"):
+            return F.lit(float(line.split()[1]))
+        number, value = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+        low = node(lines)
+        next(lines)  # the same condition's else
+        return F.when(f[FEATURES[int(number)]] <= float(value), low).otherwise(node(lines))
+
+    trees = [node(x.strip() for x in t.toDebugString.splitlines()[1:]) * w for t, w in zip(model.trees, model.treeWeights)]
+    return reduce(Column.__add__, trees)
+
+
+class Judge:
+    """What the trees learnt: a score, and the cut of each kind."""
+
+    def __init__(self, model, cuts: dict[int, float]):
+        self.model, self.cuts = model, cuts
+
+    def spans(self, marks: str) -> Column:
+        """Base spans and the added ones, as an array of SPANs by start and kind."""
+        base = F.col(marks)["base"]
+        scored = F.transform(F.col(marks)["wide"], lambda m: F.struct((-margin(self.model, m["f"])).alias("less"), m["start"].alias("start"), m["f"]["kind_no"].alias("kind_no"), m["end"].alias("end")))
+        cuts = F.array(*[F.lit(-self.cuts.get(i, float("inf"))) for i in range(len(KINDS))])
+        good = F.array_sort(F.filter(scored, lambda m: m["less"] <= F.element_at(cuts, m["kind_no"] + 1)))
+
+        def take(acc: Column, m: Column) -> Column:
+            new = F.array(F.struct(m["start"].alias("start"), m["kind_no"].alias("kind_no"), m["end"].alias("end")).cast(SPAN))
+            meets = F.exists(acc, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))
+            return F.when(meets, acc).otherwise(F.concat(acc, new))
+
+        added = F.aggregate(good, F.array().cast(f"array<{SPAN}>"), take)
+        return F.when(F.size(good) == 0, base).otherwise(F.array_sort(F.concat(base, added)))
+
+
+def judge(rows: DataFrame, marks: str, precision: float = PRECISION) -> Judge | None:
+    """Fit trees and cuts to the marks of all rows; None if one of the classes is missing.
+
+    All tables here are bounded by the number of descriptions.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    held = (F.pmod(F.xxhash64("uid"), F.lit(4)) == 0).cast("int")
-    cells = candidates.groupBy(held.alias("held"), "base", *FEATURES).agg(F.count("*").alias("n"))
-    cells = saved(cells, "cells").coalesce(1)
-    if cells.filter("held = 0").select("base").distinct().count() < 2:
-        return None
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(cells)
-    trees = GBTClassifier(featuresCol="x", labelCol="base", weightCol="n", maxIter=8, maxDepth=4, seed=1)
-    model = trees.fit(table.filter("held = 0"))
-    scored = model.transform(table).select("held", "base", "n", *FEATURES, vector_to_array("probability")[1].alias("p"))
-    scored = saved(scored, "scored")
-    from pyspark.sql import Window
-
-    above = Window.orderBy(F.col("p").desc())  # over descriptions of the held-out fold, not over candidates
-    level = scored.filter("held = 1").groupBy("p").agg(F.sum(F.col("n") * F.col("base")).alias("good"), F.sum("n").alias("all"))
-    level = level.select("p", (F.sum("good").over(above) / F.sum("all").over(above)).alias("precision"))
-    cut = level.filter(F.col("precision") >= precision).agg(F.min("p")).first()[0]
-    if cut is None:
+    fold = (F.col(marks)["fold"] == 0).cast("int").alias("held")
+    taught = rows.select(fold, F.inline(F.col(marks)["train"])).select("held", "label", "f.*")
+    met = rows.select(fold, F.inline(F.col(marks)["wide"])).select("held", F.lit(-1).alias("label"), "f.*")
+    cells = saved(taught.union(met).groupBy("held", "label", *FEATURES).agg(F.count("*").alias("n")), "cells")
+    alike = cells.filter("label = 1").select(*FEATURES).distinct()
+    unknown = cells.filter("label = -1").join(alike, list(FEATURES), "left_anti").withColumn("label", F.lit(0))
+    table = saved(cells.filter("label >= 0").unionByName(unknown.select(*cells.columns)), "table")
+    discard(cells)
+    if table.filter("held = 0").select("label").distinct().count() < 2:
         return None
-    return scored.filter(F.col("p") >= cut).select(*FEATURES).distinct()
-
-
-def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """(uid, doc_id, base, spans): base spans and all spans of each row, as structs (start, kind_no, end)."""
-    rows = saved(marked(docs), "marked")
-    candidates = rows.select("uid", F.inline("wide"))
-    good = accepted(candidates, precision)
-    if good is None:
-        return rows.select("uid", "doc_id", "base", F.col("base").alias("spans"))
-    good = F.broadcast(good)  # descriptions are bounded by their features' values
-    added = candidates.filter("base = 0").join(good, list(FEATURES), "left_semi")
-    added = added.groupBy("uid").agg(F.collect_set(F.struct("start", "kind_no", "end")).alias("added"))
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.array_union("base", "added")))
-    return rows.join(added, "uid", "left").select("uid", "doc_id", "base", spans.alias("spans"))
+    table = table.coalesce(1) if table.count() <= ONE_TASK else table
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(table)
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="n", maxIter=12, maxDepth=5, minInstancesPerNode=1, maxBins=32, seed=1).fit(data.filter("held = 0"))
+    known = [r[0] for r in table.filter("held = 0 and label = 1").select("kind_no").distinct().collect()]
+    score = margin(model, F.struct(*FEATURES)).alias("score")
+    level = table.filter("held = 1").select("kind_no", score, "label", "n").groupBy("kind_no", "score").agg(F.sum(F.col("n") * F.col("label")).alias("good"), F.sum("n").alias("all"))
+    above = Window.partitionBy("kind_no").orderBy(F.col("score").desc())  # over scores of descriptions
+    level = level.select("kind_no", "score", (F.sum("good").over(above) / F.sum("all").over(above)).alias("precision"))
+    cuts = level.filter(F.col("precision") >= precision).groupBy("kind_no").agg(F.min("score").alias("cut")).collect()  # a row for each kind
+    return Judge(model, {r.kind_no: r.cut for r in cuts if r.kind_no in known})
+
+
+def find(docs: DataFrame, precision: float = PRECISION, texts: bool = True) -> DataFrame:
+    """docs with one more column, a struct `found` of base, the base spans, and spans, all spans of the row.
+
+    texts: whether the result needs the texts, which are written with the marks then.
+    """
+    rows, marks = marked(docs)
+    docs = docs if texts else docs.drop("text")
+    rows = saved(rows if texts else rows.drop("text"), "marked")
+    judged = judge(rows, marks, precision)
+    base = F.col(marks)["base"]
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*names, F.struct(base.alias("base"), (judged.spans(marks) if judged else base).alias("spans")).alias(free_name(docs, "found")))
 
 
 def written(spans: str) -> Column:
@@ -185,18 +292,21 @@ def written(spans: str) -> Column:
 def report(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """doc_id, counts of base spans by kind, the digest of base spans, and all spans as text."""
     def count(no: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind_no"] == no)).cast("long")
+        return F.size(F.filter("found.base", lambda s: s["kind_no"] == no)).cast("long")
 
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return find(docs, precision).select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = find(ids, precision, texts=False)
+    return rows.select("doc_id", *counts, F.sha2(written("found.base"), 256).alias("base_sha256"), written("found.spans").alias("spans"))
 
 
 def redacted(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """docs with every span of its text replaced by its kind in brackets. doc_id must be unique where not null.
+    """docs with every span of its text replaced by its kind in brackets.
 
-    Overlapping spans are cut out once, under the kind of the first. Rows without doc_id keep base spans only by pattern.
+    Each row is handled by itself, also without doc_id or with a repeated one. Overlapping spans are cut out once,
+    under the kind of the first. A null text stays null.
     """
-    found = find(docs, precision).filter("size(spans) > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    rows, found = find(docs, precision), free_name(docs, "found")
     name = lambda no: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), no + 1)
     kind = "struct<at:int,out:string>"
 
@@ -206,7 +316,6 @@ def redacted(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
             F.struct(s["end"].alias("at"), F.concat(acc["out"], between, name(s["kind_no"])).alias("out"))
         ).cast(kind)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind)
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
-    joined = docs.join(found, docs["doc_id"] == F.col("_id"), "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    spans, start = F.col(found)["spans"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind)
+    text = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
+    return rows.select(*[F.when(F.size(spans) == 0, F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
