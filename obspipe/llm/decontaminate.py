@@ -7,7 +7,8 @@ document window of a needed length looks itself up, and a hit is verified word b
 functions are used.
 
 Null texts have no words; an item without words has no windows. Repeated rows are judged each for
-itself, repeated item ids count once, null item ids are ignored. Very long texts are one row of arrays.
+itself, repeated item ids count once, null item ids are ignored. Very long texts are one row of arrays. Columns of
+other names and types are ignored, or kept as they are where rows of docs come back.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, free_name, joined_if_small, numbered, saved
 
-#: Benchmark windows that are broadcast at most.
+#: Benchmark windows, with the items that have them, that are broadcast at most; rows of other small sides.
 BROADCAST = 1_000_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -46,12 +47,17 @@ def benchmark_windows(items: DataFrame, n: int) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, items (sorted) and spans of hit words."""
+def hits(docs: DataFrame, items: DataFrame, n: int = 13, ident: Column | None = None) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_hit, items (sorted) and spans of hit words.
+
+    ident: what stands in the column doc_id instead of the document's own.
+    """
     grams = benchmark_windows(items, n)
     lengths = sorted(r[0] for r in grams.select("wk").distinct().collect())  # at most n numbers
-    side = F.broadcast(grams) if grams.count() <= BROADCAST else grams
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    # what would be broadcast: windows, and the items that have them
+    size = grams.agg(F.coalesce(F.sum(1 + F.size("items")), F.lit(0))).first()[0]
+    side = F.broadcast(grams) if size <= BROADCAST else grams
+    doc = docs.select((F.col("doc_id").cast("long") if ident is None else ident).alias("doc_id"), words(F.col("text")).alias("w"))
     doc = doc.withColumn("uid", F.monotonically_increasing_id())
     # the last struct, without a hash, stands for the document itself
     own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("h")))
@@ -71,23 +77,30 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
+def judged(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20, ident: Column | None = None) -> DataFrame:
     """hits() with the verdict: contaminated if hit words are at least one in `share`."""
     bad = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return hits(docs, items, n).withColumn("contaminated", bad)
+    return hits(docs, items, n, ident).withColumn("contaminated", bad)
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
-    """docs without those whose doc_id is contaminated; rows without doc_id stay only if all such rows are clean."""
-    bad = judged(docs, items, n, share).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without those whose text is contaminated. Texts are known by two hashes, so doc_id may be null or repeat."""
+    key = lambda text: (F.xxhash64(text), F.xxhash64(F.lit("second"), text))
+    text = F.col("text")
+    names = [free_name(docs, x) for x in ("one", "other")]
+    found = judged(docs, items, n, share, F.struct(*key(text))).filter("contaminated").select("doc_id.*").toDF(*names)
+    bad = saved(found.distinct(), "contaminated")
+    same = (key(text)[0] == F.col(names[0])) & (key(text)[1] == F.col(names[1]))
+    return docs.join(joined_if_small(bad, BROADCAST), same, "left_anti")
 
 
 def without_spans(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
-    """(doc_id, text): the texts with all hit words and what stands before them cut out. doc_id must be unique."""
-    found = hits(docs, items, n).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), "spans")
+    """docs, their texts without all hit words and what stands before each; each row by itself, all columns kept."""
+    rows, uid = numbered(docs, "numbered")
+    spans = free_name(rows, "spans")
+    found = hits(rows, items, n, F.col(uid)).filter("n_hit > 0").select(F.col("doc_id").alias(uid), F.col("spans").alias(spans))
     each = F.regexp_extract_all("text", F.lit(f"(?i){BREAK}*{WORD}+".replace("\\x3A-\\x60", ":-@\\[-`")), F.lit(0))
     tail = F.regexp_extract("text", f"{BREAK}*\\z".replace("\\x3A-\\x60", ":-@\\[-`"), 0)
-    left = F.filter(each, lambda _, i: ~F.exists("spans", lambda s: (i >= s["pos"]) & (i < s["end"])))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(left, ""), tail))
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", text.alias("text"))
+    left = F.filter(each, lambda _, i: ~F.exists(spans, lambda s: (i >= s["pos"]) & (i < s["end"])))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(left, ""), tail))
+    return rows.join(found, uid, "left").select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
