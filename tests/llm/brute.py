@@ -68,3 +68,22 @@ def contamination(docs, items, n=13):
 
 def crc_of_ids(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    def ok(kind, what):
+        d = [int(c) for c in what if c.isdigit()]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in what.split("."))
+        if kind == "card":
+            return 12 <= len(d) <= 19 and sum(n if i % 2 == 0 else sum(divmod(2 * n, 10)) for i, n in enumerate(d[::-1])) % 10 == 0
+        return kind == "email" or 9 <= len(d) <= 15
+
+    found = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(KINDS.items()) for m in re.finditer(p, text or "") if ok(k, m[0])]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]

@@ -1,5 +1,7 @@
 """Operators 1, 2, 3 and 5 against plain restatements, on whole tables."""
 
+import time
+
 import brute
 import numpy as np
 import pytest
@@ -7,7 +9,13 @@ from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from obspipe.llm import decontaminate, packing, queries, simhash, token_counts
+from obspipe.llm import decontaminate, packing, queries, simhash, similar, token_counts
+
+
+def encoder():
+    import public_tokenizers as P
+
+    return packing.Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
 def counter():
@@ -34,6 +42,38 @@ def test_prefix_counts_equal_the_library(text):
         assert c.count(text, i) == len(c.library.encode(text[:i])), (text, i)
 
 
+BLANKS = st.text(st.sampled_from(" \n\ta▁é."), max_size=60).map(lambda s: s.replace("\n", " " * 17).replace("\t", " " * 5))
+
+
+@settings(max_examples=60, deadline=None)
+@given(BLANKS)
+def test_runs_of_spaces_equal_the_library(text):
+    c = counter.__dict__.setdefault("kept", counter())
+    for i in range(len(text) + 1):
+        assert c.count(text, i) == len(c.library.encode(text[:i])), (text, i)
+
+
+LONG = [" ", "\n", "\t", "\xa0", "\r\n"]
+
+
+def test_long_blanks_in_linear_time():
+    """A million and more blanks, alone and between words; twice as many take about twice the time."""
+    c = counter.__dict__.setdefault("kept", counter())
+    e = counter.__dict__.setdefault("encoder", encoder())
+    for blank in LONG:
+        for text in (blank * 1_000_000, "a" + blank * 1_000_000 + "b"):
+            assert e.ids(text) == np.array(e.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    for text in (" " * 5_000_000, "a" + " " * 5_000_000 + "b", "\n" * 300_000, "a" + "\t" * 300_000):
+        assert c.count(text) == len(c.library.encode(text))
+    took = []
+    for n in (500_000, 1_000_000, 2_000_000):
+        start = time.process_time()
+        units, ends, counts = c.table("a" + " " * n + "b\n" * (n // 10))
+        c.longest_prefix(units, ends, counts, 4096)
+        took.append(time.process_time() - start)
+    assert took[2] < 8 * max(took[0], 0.05)
+
+
 def test_longest_prefix(texts):
     c = counter()
     for _, text in texts[:12]:
@@ -103,9 +143,7 @@ def check_packing(rows, ids):
 @settings(max_examples=80, deadline=None)
 @given(TEXTS)
 def test_encoder_equals_the_tokenizer(text):
-    import public_tokenizers as P
-
-    e = counter.__dict__.setdefault("encoder", packing.Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    e = counter.__dict__.setdefault("encoder", encoder())
     assert e.ids(text) == np.array(e.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
@@ -144,9 +182,9 @@ def test_odd_rows(spark, odd, none):
     assert len(near) == len(ids)
     group = {r.doc_id: r.component_id for r in near}
     assert group[4] == group[5] == 4 and group[1] == group[2] == group[10] == 1
-    kept = simhash.one_of_each(odd)
+    kept = similar.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 7, 8, 9]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, 7, 8, 9, None]
     packed = queries.pack(odd).collect()
     assert {r.doc_id: r.length for r in packed if r.start == 0 and r.doc_id in (1, 2)} == {1: 1, 2: 1}
     bench = spark.createDataFrame([(0, "same text of words here")], "item_id long, text string")

@@ -9,31 +9,13 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from brute import KINDS, base_spans
 from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from obspipe.llm import fingerprint, lm, pii, quality, queries, sharding, simhash, stages, substring
 
-KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-}
-
-
-def base_spans(text):
-    def ok(kind, what):
-        d = [int(c) for c in what if c.isdigit()]
-        if kind == "ip":
-            return all(int(x) <= 255 for x in what.split("."))
-        if kind == "card":
-            return 12 <= len(d) <= 19 and sum(n if i % 2 == 0 else sum(divmod(2 * n, 10)) for i, n in enumerate(d[::-1])) % 10 == 0
-        return kind == "email" or 9 <= len(d) <= 15
-
-    found = [(m.start(), i, k, m.end()) for i, (k, p) in enumerate(KINDS.items()) for m in re.finditer(p, text or "") if ok(k, m[0])]
-    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
-
-
 HARD = ["a@b.c_d@e.f x@foo@bar.com", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0255", "4111 1111-1111 1111 4111111111111112", "+1 (988) 555-2485) +1(((( +12", "😀 é a.b@c-d.e.f. 10.0.0.1", "a@b@c.d.", "12345678901234567890 1"]
 
 
@@ -48,12 +30,6 @@ def test_pii_base(spark, texts):
         assert set(want) <= set(r.spans.split(",")) | {""}
 
 
-def test_pii_redaction(spark):
-    df = spark.createDataFrame([(1, "é me@x.org or 10.0.0.1!", "k"), (2, None, "k"), (3, "nothing", None)], "doc_id long, text string, spans string")
-    got = {r.doc_id: r.text for r in pii.redacted(df).collect()}
-    assert got == {1: "é [EMAIL] or [IP]!", 2: None, 3: "nothing"} and pii.redacted(df).columns == df.columns
-
-
 def test_lm(spark, texts):
     tok = {i: (t or "").translate(brute.UP).split() + ["</e>"] for i, t in texts}
     tok = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(brute.UP)) + ["</e>"] for i, t in texts}
@@ -191,7 +167,7 @@ def test_substring_embedded_passages():
             passage, found = word(n), []
             for _ in range(2):
                 before = rng.integers(0, 40)
-                text = substring.Words(" ".join(word(before) + passage + word(rng.integers(0, 40))))
+                text = substring.Units(" ".join(word(before) + passage + word(rng.integers(0, 40))))
                 first, last = text.segments()
                 inside = (first >= before) & (last <= before + n)
                 found.append({(a - before, b - before, h) for a, b, h in zip(first[inside], last[inside], text.runs(first, last)[inside])})
@@ -251,30 +227,6 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == private.count() == corpus_pipeline.run(spark, SF).select("doc_id").distinct().count()
 
 
-def test_near_duplicates_against_jaccard(spark):
-    """The stage against all pairs: nothing without a partner of 0.8 goes, and few pairs of 0.8 stay."""
-    rng = np.random.default_rng(8)
-    docs = [(None, "null id of its own"), (0, None), (1, " "), (2, "six words stand here by themselves"), (2, "six words lie there by themselves")]
-    for i in range(150):
-        w = [f"w{x}" for x in rng.integers(0, 10**9, 250)]
-        docs.append((10 + 2 * i, " ".join(w)))
-        for at in rng.choice(245, int(rng.integers(1, 11)), replace=False):
-            w[at] = "new"
-        docs.append((11 + 2 * i, " ".join(w)))
-    table = spark.createDataFrame(docs, "doc_id long, text string")
-    kept = {tuple(r) for r in stages.near_duplicates(spark, table, SF).collect()}
-    assert {docs[0], docs[3], docs[4]} <= kept and len({d for d in kept if d in docs[1:3]}) == 1
-
-    def jaccard(a, b):
-        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
-        return len(x & y) / len(x | y)
-
-    near = [(x, y, jaccard(x[1], y[1]) >= 0.8) for x, y in zip(docs[5::2], docs[6::2])]
-    gone = [y not in kept for _, y, similar in near if similar]
-    assert all(x in kept and (similar or y in kept) for x, y, similar in near)
-    assert len(gone) > 40 and len(near) - len(gone) > 20 and np.mean(gone) >= 0.95
-
-
 def test_simhash_reaches_all_links_at_every_threshold(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 300, np.uint64)
