@@ -19,22 +19,49 @@ def with_state_hash(df: DataFrame, fields: tuple[str, ...] = STATE) -> DataFrame
     return df.withColumn("state", F.struct(*fields)).withColumn("state_hash", F.sha2(F.to_json("state", {"ignoreNullFields": "false"}), 256))
 
 
-def state_transitions(rows: DataFrame, keys: tuple[str, ...] = ("source", "identity_key")) -> DataFrame:
+def _before(rows: DataFrame, keys: tuple[str, ...], cols: dict[str, tuple[str, Column]]) -> DataFrame:
+    """rows with, for each new column, ("max" or "last", value): that of the values which aren't null in the key's earlier rows.
+
+    With a column _block, which orders a key's rows before arrival_seq does, a key is split: its blocks are summed up
+    in a row each, and a row sees its own block's earlier rows and what the blocks before come to.
+    """
+    split = "_block" in rows.columns
+    own = Window.partitionBy(*keys, *["_block"] * split).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+    value = {n: F.max(c) if how == "max" else F.last(c, ignorenulls=True) for n, (how, c) in cols.items()}
+    if not split:
+        return rows.withColumns({n: v.over(own) for n, v in value.items()})
+    last = {n: F.max(c) if how == "max" else F.max_by(c, F.when(c.isNotNull(), F.col("arrival_seq"))) for n, (how, c) in cols.items()}
+    blocks = rows.groupBy(*keys, "_block").agg(*[c.alias(n) for n, c in last.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    told = {f"_{n}": (F.max(n) if how == "max" else F.last(n, ignorenulls=True)).over(earlier) for n, (how, _) in cols.items()}
+    blocks = blocks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_of"), *[c.alias(n) for n, c in told.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rows = rows.withColumns({n: v.over(own) for n, v in value.items()}).join(blocks, [*same, F.col("_block") == F.col("_of")], "left")
+    both = {n: F.greatest(n, f"_{n}") if how == "max" else F.coalesce(n, f"_{n}") for n, (how, _) in cols.items()}
+    return rows.withColumns(both).drop("_of", *told, *[f"_{k}" for k in keys])
+
+
+def state_transitions(rows: DataFrame, keys: tuple[str, ...] = ("source", "identity_key"), blocks: int = 1) -> DataFrame:
     """Add decision, previous_hash, and previous_state if rows have a column state.
 
     rows: keys, observed_at, arrival_seq, state_hash; optional is_valid, present, state. Other columns, as the
-    errors of a rejected row, stay.
+    errors of a rejected row, stay. blocks: into how many tasks a key with very many rows is split, by quantiles of
+    arrival_seq; the items of a catalog without ids, for one, all have the catalog's URL as their key.
     """
     told = [(c, f"previous_{c.removeprefix('state_')}") for c in ("state_hash", "state") if c in rows.columns]
     rows = rows if "is_valid" in rows.columns else rows.withColumn("is_valid", F.lit(True))
     rows = rows if "present" in rows.columns else rows.withColumn("present", F.lit(True))
-    order = Window.partitionBy(*keys).orderBy("arrival_seq")
-    newest = F.max("observed_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    good = rows.filter("is_valid").withColumn("stale", F.coalesce(F.col("observed_at") < newest, F.lit(False)))
-    fresh = Window.partitionBy(*keys, "stale").orderBy("arrival_seq")
-    earlier = fresh.rowsBetween(Window.unboundedPreceding, -1)
-    before = {new: F.last(F.when(F.col("present"), F.col(c)), ignorenulls=True).over(earlier) for c, new in told}
-    good = good.withColumns(before | {"was_present": F.lag("present").over(fresh)})
+    good = rows.filter("is_valid")
+    if blocks > 1:
+        marks = good.agg(F.percentile_approx("arrival_seq", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
+        edges = F.array(*[F.lit(m) for m in sorted(set(marks))]).cast("array<long>")
+        good = good.withColumn("_block", F.size(F.filter(edges, lambda m: m <= F.col("arrival_seq"))))
+    good = _before(good, keys, {"_newest": ("max", F.col("observed_at"))})
+    good = good.withColumn("stale", F.coalesce(F.col("observed_at") < F.col("_newest"), F.lit(False))).drop("_newest")
+    fresh = ~F.col("stale")
+    # structs keep a null inside apart from no row at all
+    states = {new: ("last", F.when(fresh & F.col("present") & F.col("state_hash").isNotNull(), F.col(c))) for c, new in told}
+    good = _before(good, keys, states | {"_was": ("last", F.when(fresh, F.struct("present")))}).withColumn("was_present", F.col("_was.present")).drop("_was", "_block")
     seen = F.col("previous_hash").isNotNull()
     decision = (
         F.when(F.col("stale"), "STALE")
