@@ -7,6 +7,9 @@ its shuffle, and its links are joined in SALTS shares.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +50,38 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         pairs.select("v", "v").distinct()
     )
+
+
+def verified_groups(nodes: DataFrame, propose: Callable[[DataFrame, int], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(node, root) of all nodes with a verified link; None if there are none.
+
+    nodes: node, in one row or several, and what `propose` needs. propose(nodes with root, turn) gives pairs (a, b) of
+    nodes of different roots, a number that grows with the nodes and not with its square; check(pairs) gives
+    (a, b, ok). A refuted pair may stand for another that wasn't proposed: the groups with refuted members propose
+    again, in another turn, until no pair is refuted or a turn brings no link.
+    """
+    asking, refuted, good, found, turn = nodes.withColumn("root", F.col("node")), None, [], None, 0
+    while True:
+        pairs = propose(asking, turn)
+        pairs = pairs if refuted is None else pairs.join(refuted, ["a", "b"], "left_anti")
+        checked = saved(check(saved(pairs, "pairs")), "checked")
+        new, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
+        refuted = bad if refuted is None else refuted.union(bad)
+        if new.isEmpty():
+            return found
+        good.append(new)
+        found = saved(components(reduce(DataFrame.union, good)), "groups")
+        if refuted.isEmpty():
+            return found
+        rooted = saved(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        ends = refuted.select(F.col("a").alias("node")).union(refuted.select("b")).distinct()
+        asking = rooted.join(rooted.join(ends, "node", "left_semi").select("root").distinct(), "root", "left_semi")
+        turn += 1
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with ok: whether the sets (node, shingles) of both have the Jaccard similarity."""
+    one, other = sets.toDF("a", "s"), sets.toDF("b", "t")
+    both = F.size(F.array_intersect("s", "t"))
+    ok = both >= similarity * (F.size("s") + F.size("t") - both) - 1e-9
+    return pairs.join(one, "a").join(other, "b").select("a", "b", ok.alias("ok"))
