@@ -4,10 +4,11 @@ Fingerprint: A-Z are lower-cased, words are runs of characters other than ASCII
 are `words` consecutive words (a shorter text is one shingle, a text without words has fingerprint
 zero); bit i is set if more than half of the shingles' XXH64 values (seed 42) have it.
 
-Links: the 64 bits are cut into three blocks (four for more than 5 bits), and each block gets a share of the
-threshold. The shares add up to bits + 1 less the number of blocks, so two fingerprints within `bits` differ by
-at most its share in one block: otherwise they would differ by bits + 1 at least. In a block the anchors are a
-covering code of radius 1: a Hamming code on 15 bits times all values of the rest. Each fingerprint lives at
+Links: the 64 bits are cut into blocks, and each block gets a share of the threshold. The shares add up to
+bits + 1 less the number of blocks, so two fingerprints within `bits` differ by at most its share in one block:
+otherwise they would differ by bits + 1 at least. In a block the anchors are a covering code of radius 1: a Hamming
+code on the first bits times all values of the rest. `layout` chooses blocks and code by the number of fingerprints,
+so that anchors stay sparsely settled. Each fingerprint lives at
 the nearest anchor of each block and is replicated to every anchor within covering radius plus that share;
 residents and visitors of an anchor are compared there, so no link is missed. Equal fingerprints
 are one node from the start. An anchor with many residents is split into shares that all see its
@@ -24,7 +25,9 @@ is its smallest doc_id that isn't null. Empty tables give empty results; other c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from .common import saved
 from .components import components
 
 RADIUS = 1
+#: What a place costs, in comparisons: it is found, shuffled and sorted.
+PLACE = 500
 #: Residents of one anchor that a task holds; an anchor with more is split.
 RESIDENTS = 20_000
 #: Pairs compared at once.
@@ -73,50 +78,62 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks(bits: int) -> list[tuple[int, int, int]]:
-    """(first bit, width, share): fingerprints within `bits` differ by at most the share in one of these blocks."""
-    n = 3 if bits <= 5 else 4
-    spare = max(0, bits + 1 - n)
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a, spare // n + (i < spare % n)) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-
-
-def syndromes(width: int) -> tuple[np.ndarray, int]:
-    """Syndromes of all words of the longest Hamming code that fits into width bits, and its length."""
-    length = max(n for n in (1, 3, 7, 15) if n <= width)
-    v = np.arange(1 << length)
-    out = np.zeros(1 << length, np.int64)
-    for i in range(length):
-        out ^= np.where(v >> i & 1, i + 1, 0)
-    return out, length
-
-
-def reach(width: int, radius: int) -> list[np.ndarray]:
-    """For each syndrome, the changes of at most `radius` bits that lead to an anchor."""
-    syn, length = syndromes(width)
-    found: list[list[int]] = [[] for _ in range(length + 1)]
-    for k in range(radius + 1):
-        for bits in combinations(range(width), k):
-            change = sum(1 << b for b in bits)
-            found[syn[change & ((1 << length) - 1)]].append(change)
-    return [np.array(x, np.int64) for x in found]
-
-
-def placed(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, roles (0 resident, 1 visitor) and fingerprints of all places of the given ones."""
-    u = fps.view(np.uint64)
+class Block:
+    """Bits shift..shift+width of a fingerprint, with a Hamming code on the first 2**checks - 1 of them, and a share of the threshold."""
+
+    def __init__(self, shift: int, width: int, checks: int, share: int):
+        self.shift, self.width, self.share = shift, width, share
+        self.length = (1 << checks) - 1
+        self.masks = [sum(1 << i for i in range(self.length) if i + 1 >> j & 1) for j in range(checks)]
+        #: for each syndrome, the changes of at most RADIUS + share bits that lead to an anchor
+        found: list[list[int]] = [[] for _ in range(self.length + 1)]
+        for k in range(RADIUS + share + 1):
+            for bits in combinations(range(width), k):
+                at = 0
+                for i in bits:
+                    at ^= i + 1 if i < self.length else 0
+                found[at].append(sum(1 << i for i in bits))
+        self.changes = [np.array(x, np.int64) for x in found]
+        self.places = sum(map(len, found)) / len(found)
+        self.anchors = 1 << width - checks
+
+    def values(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block's bits of each fingerprint, and their syndrome: the number of the wrong bit, 0 at an anchor."""
+        v = (fps.view(np.uint64) >> np.uint64(self.shift)).astype(np.int64) & ((1 << self.width) - 1)
+        return v, sum((np.bitwise_count(v & m).astype(np.int64) & 1) << j for j, m in enumerate(self.masks))
+
+
+@lru_cache(1000)
+def layout(bits: int, rows: int) -> list[Block]:
+    """The cheapest blocks for so many distinct fingerprints.
+
+    Whatever the number n of blocks, their shares add up to bits + 1 - n, so fingerprints within `bits` differ by at
+    most its share in one of them. Fewer and wider blocks have more places for a fingerprint, and far more anchors;
+    so the number of comparisons for each fingerprint needn't grow with the number of fingerprints.
+    """
+    def laid(n: int, checks: int) -> list[Block]:
+        spare, edges = bits + 1 - n, [64 * i // n for i in range(n + 1)]
+        return [Block(a, b - a, checks, spare // n + (i < spare % n)) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+    def cost(found: list[Block]) -> float:
+        return sum(b.places * (PLACE + rows / b.anchors) for b in found)
+
+    # codes that fit the width, and no more changes than can be listed
+    fits = [laid(n, c) for n in range(2, min(bits + 1, 8) + 1) for c in range(2, 6) if (1 << c) - 1 <= 64 // n and comb(64 // n + 1, RADIUS + -(-(bits + 1 - n) // n)) <= 300_000]
+    return min(fits or [[Block(0, 32, 3, bits)]], key=cost)  # equal ones are equal in any bits
+
+
+def placed(fps: np.ndarray, blocks: list[Block], visits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, roles (0 resident, 1 visitor) and fingerprints of all places of the given ones, or of their homes only."""
     keys, roles, which = [], [], []
-    for b, (shift, width, share) in enumerate(blocks(bits)):
-        syn, length = syndromes(width)
-        v = (u >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
-        s = syn[v & ((1 << length) - 1)]
-        home = v ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0)
-        keys.append(home | b << 22)
+    for number, b in enumerate(blocks):
+        v, s = b.values(fps)
+        keys.append((v ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0)) | number << 40)
         roles.append(np.zeros(len(v), np.int8))
         which.append(fps)
-        for k, changes in enumerate(reach(width, RADIUS + share)):
+        for k, changes in enumerate(b.changes if visits else ()):
             own = np.flatnonzero(s == k)
-            keys.append(((v[own][:, None] ^ changes) | b << 22).ravel())
+            keys.append(((v[own][:, None] ^ changes) | number << 40).ravel())
             roles.append(np.ones(len(own) * len(changes), np.int8))
             which.append(np.repeat(fps[own], len(changes)))
     return np.concatenate(keys), np.concatenate(roles), np.concatenate(which)
@@ -229,13 +246,17 @@ class AnchorLinks:
         return a[a != b], b[a != b]
 
 
-def links(fps: DataFrame, bits: int) -> DataFrame:
-    """Links (a, b) that connect all of the distinct fingerprints fp within `bits` of each other."""
+def links(fps: DataFrame, bits: int, rows: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all of the distinct fingerprints fp within `bits` of each other; rows: their number."""
+    blocks = layout(bits, fps.count() if rows is None else rows)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, role, fp = placed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), pa.array(fp)], names=["anchor", "role", "fp"])
+    def place(visits: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, role, fp = placed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), blocks, visits)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), pa.array(fp)], names=["anchor", "role", "fp"])
+
+        return fps.select("fp").mapInArrow(run, "anchor long, role byte, fp long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = AnchorLinks(bits)
@@ -244,9 +265,9 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
                 a, b = state.add(*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("anchor", "share", "role", "fp")))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    places = fps.select("fp").mapInArrow(place, "anchor long, role byte, fp long")
-    crowd = saved(places.filter("role = 0").groupBy("anchor").count().filter(F.col("count") > RESIDENTS), "crowded")
-    # at most 4 * rows / RESIDENTS anchors are crowded; the planner broadcasts them if they are few
+    places = place(True)
+    crowd = saved(place(False).groupBy("anchor").count().filter(F.col("count") > RESIDENTS), "crowded")
+    # at most len(blocks) * rows / RESIDENTS anchors are crowded; the planner broadcasts them if they are few
     shares = crowd.select("anchor", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("shares"))
     if crowd.isEmpty():
         spread = places.withColumn("share", F.lit(0))
