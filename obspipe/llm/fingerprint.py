@@ -13,7 +13,7 @@ without any lexicon term has one signature of all its terms at that level instea
 equal signatures among those that aren't empty in both, at the levels that both texts have; texts of
 levels more than one apart have none.
 
-Only SQL functions are used. Null texts count as empty. Order is (doc_id, text), nulls first; repeated
+Only SQL functions are used. Null texts count as empty. Order is (doc_id, hash of the text), nulls first; repeated
 rows follow one another. Empty tables give empty results; other columns are ignored.
 """
 
@@ -28,8 +28,9 @@ from .common import ascii_lower, saved
 
 LOW, HIGH = 0.0005, 0.05
 GROUPS = 16
-#: Ranges of doc_id in which rows look for their successor.
-RANGES = 400
+#: Bytes of the texts of a range in which rows look for their successor, about; how many ranges there are at most
+#: (at 100 TB, a range has 100 MB then); and quantiles of doc_id that are asked for.
+RANGE, MOST_RANGES, MARKS = 1 << 21, 1 << 20, 64
 #: Terms of the lexicon that are broadcast at most.
 BROADCAST = 4_000_000
 
@@ -103,30 +104,45 @@ def likeness(x: Column, y: Column) -> Column:
     )
 
 
+def ranged(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with h, the text's hash, and r, a range in the order (doc_id, h), nulls first.
+
+    The number of ranges follows from the bytes of all texts. Ranges are cut at quantiles of doc_id, between two
+    quantiles evenly, and a doc_id that is a quantile itself, as one that many rows have, is cut by h.
+    """
+    asked = F.percentile_approx("doc_id", [i / MARKS for i in range(1, MARKS)], 10_000)
+    size, marks, least, most = rows.agg(F.sum(F.octet_length("text") + 64), asked, F.min("doc_id"), F.max("doc_id")).first()
+    edges = sorted({least, *(marks or [])} - {None})
+    fine = max(1, min(MOST_RANGES, (size or 0) // RANGE) // max(1, len(edges)))
+    # the edges at or below a doc_id; none for null
+    at = F.array(*[F.lit(m) for m in edges]).cast("array<long>")
+    c = F.coalesce(F.size(F.filter(at, lambda m: m <= F.col("doc_id"))), F.lit(0))
+    lo, up = F.get(at, c - 1).cast("double"), F.coalesce(F.get(at, c), F.lit(most)).cast("double")
+    part = lambda x: F.least(F.floor(x * fine), F.lit(fine - 1))
+    by_hash = part(F.xxhash64("text").cast("double") / 2.0**64 + 0.5)
+    by_id = fine + part((F.col("doc_id").cast("double") - lo) / (up - lo + 1))
+    # the edge itself comes first in its interval, then its other ids
+    inside = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == F.get(at, c - 1)), by_hash).otherwise(by_id)
+    return rows.withColumns({"h": F.xxhash64("text"), "r": c.cast("long") * (2 * fine) + inside})
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """Rows (doc_id, text, ghost, r), and the order in which a row's successor is the next one.
 
-    Rows are dealt out by ranges of doc_id; the first row of each range also stands, as a ghost, at the
-    end of the range before (that of the smallest at the end of the largest).
+    Rows are dealt out by the ranges of `ranged`; the first row of each range also stands, as a ghost, at the end of
+    the range before (that of the smallest at the end of the largest).
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # at most RANGES - 1 numbers; the range of a doc_id is how many of them are at or below it
-    marks = rows.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
-    marks = F.array(*[F.lit(m) for m in sorted(set(marks or []))]).cast("array<long>")
-    place = F.coalesce(F.size(F.filter(marks, lambda m: m <= F.col("doc_id"))), F.lit(0))
-    found = rows.groupBy(place.alias("r")).agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("lost")).collect()
-    firsts = sorted((r["r"], None if r["lost"] else r["first"]) for r in found)
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    pairs = [F.lit(x) for d, r in before.items() if d is not None for x in (d, r)]
-    ghost = F.try_element_at(F.create_map(*pairs).cast("map<long,int>"), F.col("doc_id")) if pairs else F.lit(None).cast("int")
-    if None in before:
-        ghost = F.when(F.col("doc_id").isNull(), before[None]).otherwise(ghost)
-    rows = rows.withColumn("r", place).withColumn("g", ghost)
-    copies = F.when(F.col("g").isNull(), F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("ghost")))).otherwise(
-        F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("ghost")), F.struct(F.col("g").alias("r"), F.lit(1).alias("ghost")))
-    )
-    rows = rows.select("doc_id", "text", F.inline(copies))
-    return rows, Window.partitionBy("r").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
+    rows = ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    # a row for each range, 2 * MOST_RANGES about at most
+    firsts = saved(rows.groupBy("r").agg(F.min(F.struct("doc_id", "h")).alias("first")), "firsts")
+    last = firsts.agg(F.max("r")).first()[0]
+    before = F.coalesce(F.lag("r").over(Window.orderBy("r")), F.lit(last))
+    ghosts = firsts.select(F.col("first.doc_id").alias("gd"), F.col("first.h").alias("gh"), before.alias("g"))
+    rows = rows.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("gd")) & (F.col("h") == F.col("gh")), "left")
+    own = F.struct(F.col("r").alias("r"), F.lit(0).alias("ghost"))
+    copies = F.when(F.col("g").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("g").alias("r"), F.lit(1).alias("ghost"))))
+    rows = rows.select("doc_id", "text", "h", F.inline(copies))
+    return rows, Window.partitionBy("r").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h", "text")
 
 
 def edited(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
