@@ -1,21 +1,24 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
-Tokens: A-Z lower-cased, runs of non-space characters, then one end token; the first token's context is a
-start mark. The model is a bigram model with absolute discounting, interpolated with the smoothed unigram
-p(w) = (c + 0.5) / (N + 0.5 * (V + 1)), whose last share stands for all unknown words:
-    p(w | u) = max(c(u, w) - D, 0) / c(u) + D * t(u) / c(u) * p(w)
-with t(u) the different successors of u; an unseen context falls back to p(w).
-
-Documents are dealt into blocks by doc_id. A block sends to each shard (a range of context hashes) one
-compressed message: its different words and word pairs there, with their training counts. So a hot word or
-pair travels once a block, and what is sent grows with the corpus. A shard adds up the counts and builds its
-part of the trie: a level of words with pointers to a level of successors. Both levels and the pointers are
-monotone sequences in Elias-Fano form (successors relative to their context, offset by the context's number),
-and probabilities are quantised to 16 bits of their logarithm. The levels lie in an anonymous memory map that
-a lost executor simply builds again. The shard looks up every block's words and pairs by successor search
-within the context and answers in the order asked, and a block adds up the scores of its documents.
-
-Words are known by 64-bit hashes, a pair's second word by the upper 40 bits. Null texts count as empty (the
+Tokens: A-Z lower-cased, runs of non-space characters, then one end token; before the first token stand start marks.
+The model has contexts of up to order - 1 words and absolute discounting; each level is interpolated with the one
+below it, down to the smoothed unigram p(w) = (c + 0.5) / (N + 0.5 * (V + 1)), whose last share stands for all
+unknown words:
+    p(w | h) = max(c(h, w) - D, 0) / c(h) + D * t(h) / c(h) * p(w | h without its first word)
+with t(h) the different successors of h; an unseen context gives the level below.
+
+Documents are dealt into blocks by doc_id. A block sends to each shard (a level, and a range of context hashes) one
+compressed message: its different contexts and their successors there, with their training counts. So a hot word or
+pair travels once a block, and what is sent grows with the corpus. Beyond FAN shards a block's messages go by relays:
+one to a group of shards, which sends on to each of its shards what RELAY blocks have for it, so that messages stay
+large however many blocks and shards there are. A shard adds up the counts and builds its part of the trie: a level
+of contexts with pointers to a level of successors. Both levels and the pointers are monotone sequences in Elias-Fano
+form (successors relative to their context, offset by the context's number), and probabilities are quantised to 16
+bits of their logarithm. The levels lie in an anonymous memory map that a lost executor simply builds again. The shard
+looks up every block's contexts and successors by successor search within the context and answers in the order asked,
+and a block adds up the scores of its documents.
+
+Contexts are known by 64-bit hashes, their successors by the upper 40 bits of theirs. Null texts count as empty (the
 end token alone); a null doc_id is the text "null" for the split and stays null. Repeated rows are scored and
 counted each. Empty tables give empty results; other columns are ignored.
 """
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import mmap
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, saved
+from .hashing import ODD, mixed
 
 DISCOUNT = 0.75
 #: Characters of text in a block, about, and in a shard's input.
 BLOCK, SHARD = 1 << 23, 1 << 24
+#: Shards to which a block sends by itself at most; beyond that, groups of shards and blocks that a relay serves.
+FAN, RELAY = 1024, 512
 START, STOP = b" start", b" end"
 STEP = 1 / 4096
 NONE = 0xFFFF
@@ -193,13 +198,31 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-MESSAGE = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32)
+class Level:
+    """Contexts of one length (sorted by hash) and their successors among a block's tokens."""
+
+    def __init__(self, keys: np.ndarray, context: np.ndarray, follower: np.ndarray, words: np.ndarray):
+        """keys: hash of each context; context, follower: numbers for each token; words: sorted hashes of followers."""
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        self.keys, self.words, self.context = keys[order], words, rank[context]
+        self.pairs, self.pair_of = np.unique(self.context * len(words) + follower, return_inverse=True)
+
+    def counts(self, on: np.ndarray) -> np.ndarray:
+        """How often each pair occurs in the tokens that `on` marks."""
+        return np.bincount(self.pair_of[on], minlength=len(self.pairs))
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each pair: the contexts of the next level."""
+        context, follower = np.divmod(self.pairs, len(self.words))
+        return mixed(self.keys[context] * ODD + self.words[follower])
 
 
 class Block:
-    """Words (sorted by hash) and word pairs of a block's texts."""
+    """The tokens of a block's texts, as numbers of words (sorted by hash), and the levels of their contexts."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], order: int):
         import xxhash
 
         number: dict[bytes, int] = {START: 0, STOP: 1}
@@ -210,32 +233,38 @@ class Block:
             flat.append(1)
             sizes.append(len(w) + 1)
         h = np.array([xxhash.xxh64_intdigest(x) for x in number], np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.words = h[order]
+        by = np.argsort(h, kind="stable")
+        self.words = h[by]
         rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h))
+        rank[by] = np.arange(len(h))
         self.tokens = rank[np.array(flat, np.int64)]
         self.sizes = np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
+        first = np.cumsum(self.sizes) - self.sizes
+        self.first = first
         before = np.concatenate([[0], self.tokens[:-1]])
-        before[np.concatenate([[0], self.ends[:-1]])] = rank[0]
-        pair = before * len(h) + self.tokens
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        self.start = rank[0]
-
-    def counts(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        on = np.repeat(training, self.sizes)
-        return np.bincount(self.tokens[on], minlength=len(self.words)), np.bincount(self.pair_of[on], minlength=len(self.pairs))
-
-
-def message(block: Block, words: np.ndarray, pairs: np.ndarray, lo: int, hi: int) -> bytes:
-    """Words lo..hi of a block with their counts, numbers of successors, the successors and their counts."""
-    n = len(block.words)
-    a, b = np.searchsorted(block.pairs, [lo * n, hi * n])
-    context, follower = np.divmod(block.pairs[a:b], n)
-    upper = block.words[follower] >> np.uint64(24)
+        before[first] = rank[0]
+        self.levels = [Level(self.words, before, self.tokens, self.words)]
+        for length in range(2, order):
+            low = self.levels[-1]
+            # one context more, of start marks alone
+            keys = np.append(low.hashes(), np.uint64(xxhash.xxh64_intdigest(START, length)))
+            before = np.concatenate([[0], low.pair_of[:-1]])
+            before[first] = len(keys) - 1
+            self.levels.append(Level(keys, before, self.tokens, self.words))
+
+
+MESSAGE = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32)
+ANSWER = (np.uint64, np.uint16, np.uint16)
+
+
+def message(level: Level, counts: np.ndarray, pairs: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+    """Contexts lo..hi of a level with counts of them as tokens, numbers of successors, the successors and their counts."""
+    n = len(level.words)
+    a, b = np.searchsorted(level.pairs, [lo * n, hi * n])
+    context, follower = np.divmod(level.pairs[a:b], n)
+    upper = level.words[follower] >> np.uint64(24)
     kinds = np.bincount(context - lo, minlength=hi - lo)
-    return pack(block.words[lo:hi], words[lo:hi].astype(np.uint32), kinds.astype(np.uint32), (upper >> np.uint64(8)).astype(np.uint32), upper.astype(np.uint8), pairs[a:b].astype(np.uint32))
+    return level.keys[lo:hi], counts[lo:hi].astype(np.uint32), kinds.astype(np.uint32), (upper >> np.uint64(8)).astype(np.uint32), upper.astype(np.uint8), pairs[a:b].astype(np.uint32)
 
 
 def opened(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -263,56 +292,122 @@ def build(blobs: list[bytes]) -> Trie:
 
 def answer(trie: Trie, blob: bytes) -> bytes:
     w, _, kinds, follower, _ = opened(blob)
-    at, _ = trie.find(w)  # every word of a message is in its shard's trie
+    at, _ = trie.find(w)  # every context of a message is in its shard's trie
     return pack(trie.counts[at].astype(np.uint64), trie.back[at], trie.follow(np.repeat(at, kinds), follower))
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+def joined(parts_: list[tuple[np.ndarray, ...]]) -> bytes:
+    """Several messages or answers as one, with the length of each array."""
+    sizes = np.array([[len(x) for x in p] for p in parts_], np.int64)
+    return pack(sizes.ravel(), *(np.concatenate(x) for x in zip(*parts_)))
+
+
+def parted(blob: bytes, kinds: tuple) -> list[tuple[np.ndarray, ...]]:
+    sizes, *arrays = unpack(blob, np.int64, *kinds)
+    ends = np.cumsum(sizes.reshape(-1, len(kinds)), axis=0)
+    return [tuple(x[e - n : e] for x, e, n in zip(arrays, end, size)) for end, size in zip(ends, sizes.reshape(-1, len(kinds)))]
+
+
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; order: words of an n-gram, 2 at least."""
     text = F.coalesce("text", F.lit(""))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 5 == 1
     size = docs.agg(F.coalesce(F.sum(F.char_length("text") + 64), F.lit(0))).first()[0]
-    blocks, shards = parts(size, BLOCK), parts(size, SHARD)
+    blocks, ranges = parts(size, BLOCK), parts(size, SHARD)
+    shards, lengths = ranges * (order - 1), range(order - 1)
+    group = max(1, -(-shards // FAN))  # shards of a group
+    relayed = group > 1
     # the row's text takes part, so that many rows of one doc_id don't meet in a block
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
-    edge = [(s << 64) // shards for s in range(1, shards)]
-
-    def ask(key: tuple, group: pa.Table) -> pa.Table:
-        block = Block(group.column("text").to_pylist())
-        words, pairs = block.counts(~group.column("held_out").to_numpy(zero_copy_only=False))
-        cuts = [0, *np.searchsorted(block.words, np.array(edge, np.uint64)), len(block.words)]
-        out = [(s, message(block, words, pairs, lo, hi)) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int32()), "shard": pa.array([s for s, _ in out], pa.int32()), "ask": pa.array([m for _, m in out], pa.binary())})
-
-    def reply(key: tuple, group: pa.Table) -> pa.Table:
-        blobs = group.column("ask").to_pylist()
-        trie = build(blobs)
-        tokens, kinds = int(trie.counts.sum()), int((trie.counts > 0).sum())
-        n = len(blobs)
+    edge = np.array([(s << 64) // ranges for s in range(1, ranges)], np.uint64)
+
+    def cuts(level: Level) -> list[int]:
+        return [0, *np.searchsorted(level.keys, edge), len(level.keys)]
+
+    def sent(block: int, found: list[tuple[int, tuple]], kind: str, name: str) -> pa.Table:
+        """One row for each (number, arrays)."""
+        return pa.table({"block": pa.array([block] * len(found), pa.int32()), kind: pa.array([s for s, _ in found], pa.int32()), name: pa.array([x if isinstance(x, bytes) else pack(*x) for _, x in found], pa.binary())})
+
+    def ask(key: tuple, group_: pa.Table) -> pa.Table:
+        own = Block(group_.column("text").to_pylist(), order)
+        on = np.repeat(~group_.column("held_out").to_numpy(zero_copy_only=False), own.sizes)
+        out: list[tuple[int, tuple]] = []
+        for k, level in enumerate(own.levels):
+            counts = np.bincount(own.tokens[on], minlength=len(level.keys)) if k == 0 else np.zeros(len(level.keys), np.int64)
+            pairs, at = level.counts(on), cuts(level)
+            out += [(k * ranges + s, message(level, counts, pairs, lo, hi)) for s, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
+        if relayed:  # a message for each group: its shards' messages in order, empty ones too
+            by = dict(out)
+            none = tuple(np.zeros(0, t) for t in MESSAGE)
+            out = [(g, joined([by.get(s, none) for s in range(g * group, min(shards, (g + 1) * group))])) for g in sorted({s // group for s in by})]
+        return sent(key[0].as_py(), out, "shard", "ask")
+
+    def relay(key: tuple, rows_: pa.Table) -> pa.Table:
+        """What RELAY blocks have for the shards of a group, sent on to each shard; a block of the result stands for all of them."""
+        g, some = (x.as_py() for x in key)
+        order_ = np.argsort(rows_.column("block").to_numpy())
+        each = [parted(rows_.column("ask")[int(i)].as_py(), MESSAGE) for i in order_]
+        return sent(some, [(g * group + j, joined([m[j] for m in each])) for j in range(len(each[0])) if any(len(m[j][0]) for m in each)], "shard", "ask")
+
+    def reply(key: tuple, rows_: pa.Table) -> pa.Table:
+        packs = rows_.column("ask").to_pylist()
+        each = [[pack(*m) for m in parted(b, MESSAGE)] if relayed else [b] for b in packs]
+        trie = build([b for x in each for b in x])
+        words = int(key[0].as_py()) < ranges  # the first level tells how many tokens and different words there are
+        tokens, kinds = (int(trie.counts.sum()), int((trie.counts > 0).sum())) if words else (0, 0)
+        answers = [joined([unpack(answer(trie, b), *ANSWER) for b in x]) if relayed else answer(trie, x[0]) for x in each]
+        n = len(packs)
         return pa.table({
-            "block": group.column("block"), "shard": group.column("shard"), "reply": pa.array([answer(trie, b) for b in blobs], pa.binary()),
+            "block": rows_.column("block"), "shard": rows_.column("shard"), "reply": pa.array(answers, pa.binary()),
             "tokens": pa.array([tokens] + [0] * (n - 1), pa.int64()), "kinds": pa.array([kinds] + [0] * (n - 1), pa.int64()),
         })
 
+    def back(key: tuple, asked_: pa.Table, replies_: pa.Table) -> pa.Table:
+        """The answers of a group's shards, dealt out to the blocks that asked."""
+        g, _ = (x.as_py() for x in key)
+        blocks_ = np.sort(asked_.column("block").to_numpy())
+        found = {s: parted(b, ANSWER) for s, b in zip(replies_.column("shard").to_pylist(), replies_.column("reply").to_pylist())}
+        none = tuple(np.zeros(0, t) for t in ANSWER)
+        out = [joined([found[s][i] if s in found else none for s in range(g * group, min(shards, (g + 1) * group))]) for i in range(len(blocks_))]
+        return pa.table({"block": pa.array(blocks_, pa.int32()), "shard": pa.array([g] * len(out), pa.int32()), "reply": pa.array(out, pa.binary())})
+
     asked = rows.groupBy("block").applyInArrow(ask, "block int, shard int, ask binary")
-    replies = saved(asked.groupBy("shard").applyInArrow(reply, "block int, shard int, reply binary, tokens long, kinds long"), "replies")
+    if relayed:
+        asked = saved(asked.withColumn("some", F.expr(f"block div {RELAY}").cast("int")), "asked")
+        to_shards = asked.groupBy("shard", "some").applyInArrow(relay, "block int, shard int, ask binary")
+    else:
+        to_shards = asked
+    replies = saved(to_shards.groupBy("shard").applyInArrow(reply, "block int, shard int, reply binary, tokens long, kinds long"), "replies")
     n, v = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-
-    def add(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(group.column("text").to_pylist())
-        found = sorted(zip(answers.column("shard").to_pylist(), answers.column("reply").to_pylist()))
-        c, back, seen = map(np.concatenate, zip(*(unpack(b, np.uint64, np.uint16, np.uint16) for _, b in found)))
-        single = (c + 0.5) / (n + 0.5 * (v + 1))
-        context, word = np.divmod(block.pairs, len(block.words))
-        model = np.log10(restored(seen) + restored(back)[context] * single[word])[block.pair_of]
-        first = np.concatenate([[0], block.ends[:-1]])
-        total = lambda x: np.add.reduceat(x, first)
+    if relayed:
+        of = replies.select("block", "shard", "reply", F.expr(f"shard div {group}").cast("int").alias("g"))
+        answered = asked.select("block", "shard", "some").groupBy("shard", "some").cogroup(of.groupBy("g", "block")).applyInArrow(back, "block int, shard int, reply binary")
+    else:
+        answered = replies.select("block", "shard", "reply")
+
+    def add(key: tuple, group_: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Block(group_.column("text").to_pylist(), order)
+        found = dict(zip(answers.column("shard").to_pylist(), answers.column("reply").to_pylist()))
+        if relayed:
+            found = {g * group + j: x for g, b in found.items() for j, x in enumerate(parted(b, ANSWER))}
+        else:
+            found = {s: unpack(b, *ANSWER) for s, b in found.items()}
+        model = base = None
+        for k in lengths:
+            level = own.levels[k]
+            c, less, seen = map(np.concatenate, zip(*(found[k * ranges + s] for s in range(ranges) if k * ranges + s in found)))
+            if k == 0:
+                single = (c + 0.5) / (n + 0.5 * (v + 1))
+                model = base = single[own.tokens]
+                known = (c > 0)[own.tokens]
+            model = restored(seen)[level.pair_of] + restored(less)[level.context] * model
+        total = lambda x: np.add.reduceat(x, own.first)
         return pa.table({
-            "doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": block.sizes,
-            "n_known": total((c > 0)[block.tokens].astype(np.int64)), "train_tokens": np.full(len(first), n, np.int64),
-            "base_score": total(np.log10(single)[block.tokens]), "score": total(model),
+            "doc_id": group_.column("doc_id"), "held_out": group_.column("held_out"), "n_tokens": own.sizes,
+            "n_known": total(known.astype(np.int64)), "train_tokens": np.full(len(own.sizes), n, np.int64),
+            "base_score": total(np.log10(base)), "score": total(np.log10(model)),
         })
 
-    both = rows.groupBy("block").cogroup(replies.select("block", "shard", "reply").groupBy("block"))
+    both = rows.groupBy("block").cogroup(answered.groupBy("block"))
     return both.applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
