@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import joined_if_small, saved
 
 BITS, BIN_BITS = 52, 13
 #: Points of the ring that each shard owns.
 VIRTUAL = 64
 #: Rows of a bin that are looked at place by place.
 DETAIL = 20_000
+#: Rows of a side table that are broadcast at most.
+BROADCAST = 1_000_000
 
 
 def points(shards: int) -> list[tuple[int, int]]:
@@ -127,7 +129,8 @@ def cuts(rows: DataFrame, shards: int) -> list[tuple[int, int]]:
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, place, shard and slot of each row."""
-    rows = saved(placed(docs), "places")
+    # sorted by place, so that a look at one bin reads the row groups of that bin only
+    rows = saved(placed(docs).repartitionByRange("place").sortWithinPartitions("place"), "places")
     found = cuts(rows, shards)
     at, to = np.array([p for p, _ in found], np.int64), np.array([s for _, s in found], np.int32)
     schema = "doc_id long, size long, text_crc32 long, shard int, part int, slot long"
@@ -154,4 +157,4 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return numbered.join(F.broadcast(first), ["part", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("first")).alias("slot"))
+    return numbered.join(joined_if_small(first, BROADCAST), ["part", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("first")).alias("slot"))
