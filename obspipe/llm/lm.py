@@ -18,6 +18,9 @@ bits of their logarithm. The levels lie in an anonymous memory map that a lost e
 looks up every block's contexts and successors by successor search within the context and answers in the order asked,
 and a block adds up the scores of its documents.
 
+A word with very many successors is split: they are dealt out, by their hashes, to several contexts that stand for it,
+each with its own place in a shard, and the sums over its parts, a row for each such word, come to all blocks.
+
 Contexts are known by 64-bit hashes, their successors by the upper 40 bits of theirs. Null texts count as empty (the
 end token alone); a null doc_id is the text "null" for the split and stays null. Repeated rows are scored and
 counted each. Empty tables give empty results; other columns are ignored.
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, saved
+from .common import ascii_lower, discard, parts, saved
 from .hashing import ODD, mixed
 
 DISCOUNT = 0.75
@@ -41,6 +44,9 @@ DISCOUNT = 0.75
 BLOCK, SHARD = 1 << 23, 1 << 24
 #: Shards to which a block sends by itself at most; beyond that, groups of shards and blocks that a relay serves.
 FAN, RELAY = 1024, 512
+#: Successors of a word that lie in one shard, about; the least share of all words that is looked at for that, and the
+#: characters of the sample that tells it.
+PART, OFTEN, SAMPLE = 1 << 21, 0.001, 1 << 26
 START, STOP = b" start", b" end"
 STEP = 1 / 4096
 NONE = 0xFFFF
@@ -160,6 +166,7 @@ class Trie:
         """words: sorted 64-bit hashes; starts: where the successors of each begin (one more at the end)."""
         total = np.add.reduceat(np.append(next_counts, 0), starts[:-1]) * (np.diff(starts) > 0)
         kinds = np.diff(starts)
+        self.total, self.kinds = total, kinds
         context = np.repeat(np.arange(len(words)), kinds)
         self.words = EliasFano(words, 1 << 64).map()
         self.pointers = EliasFano(starts.astype(np.uint64), max(int(starts[-1]), 1)).map()
@@ -198,15 +205,33 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def part_key(key: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The hash of a part of a hot context."""
+    return mixed(key * ODD + share + np.uint64(1))
+
+
 class Level:
     """Contexts of one length (sorted by hash) and their successors among a block's tokens."""
 
-    def __init__(self, keys: np.ndarray, context: np.ndarray, follower: np.ndarray, words: np.ndarray):
-        """keys: hash of each context; context, follower: numbers for each token; words: sorted hashes of followers."""
+    def __init__(self, keys: np.ndarray, context: np.ndarray, follower: np.ndarray, words: np.ndarray, hot: dict[int, int]):
+        """keys: hash of each context; context, follower: numbers for each token; words: sorted hashes of followers;
+        hot: contexts whose successors are dealt out to so many contexts of their own."""
+        number = np.full(len(keys), -1)
+        if hot:
+            at, which = np.isin(keys, np.array([*hot], np.uint64)), {k: i for i, k in enumerate(hot)}
+            number[at] = [which[k] for k in keys[at].tolist()]
+            on = np.flatnonzero(number[context] >= 0)
+            share = (words[follower[on]] >> np.uint64(20)) % np.array([*hot.values()], np.uint64)[number[context[on]]]
+            more, first, again = np.unique(part_key(keys[context[on]], share), return_index=True, return_inverse=True)
+            plain, context = context, context.copy()
+            context[on] = len(keys) + again
+            number = np.concatenate([np.full(len(keys), -1), number[plain[on[first]]]])
+            keys = np.concatenate([keys, more])
         order = np.argsort(keys, kind="stable")
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
-        self.keys, self.words, self.context = keys[order], words, rank[context]
+        self.keys, self.words, self.context, self.place = keys[order], words, rank[context], rank
+        self.hot = number[order]  # the hot context whose part each context is, or -1
         self.pairs, self.pair_of = np.unique(self.context * len(words) + follower, return_inverse=True)
 
     def counts(self, on: np.ndarray) -> np.ndarray:
@@ -222,7 +247,7 @@ class Level:
 class Block:
     """The tokens of a block's texts, as numbers of words (sorted by hash), and the levels of their contexts."""
 
-    def __init__(self, texts: list[str], order: int):
+    def __init__(self, texts: list[str], order: int, hot: dict[int, int]):
         import xxhash
 
         number: dict[bytes, int] = {START: 0, STOP: 1}
@@ -243,14 +268,14 @@ class Block:
         self.first = first
         before = np.concatenate([[0], self.tokens[:-1]])
         before[first] = rank[0]
-        self.levels = [Level(self.words, before, self.tokens, self.words)]
+        self.levels = [Level(self.words, before, self.tokens, self.words, hot)]
         for length in range(2, order):
             low = self.levels[-1]
             # one context more, of start marks alone
             keys = np.append(low.hashes(), np.uint64(xxhash.xxh64_intdigest(START, length)))
             before = np.concatenate([[0], low.pair_of[:-1]])
             before[first] = len(keys) - 1
-            self.levels.append(Level(keys, before, self.tokens, self.words))
+            self.levels.append(Level(keys, before, self.tokens, self.words, {}))
 
 
 MESSAGE = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32)
@@ -308,6 +333,24 @@ def parted(blob: bytes, kinds: tuple) -> list[tuple[np.ndarray, ...]]:
     return [tuple(x[e - n : e] for x, e, n in zip(arrays, end, size)) for end, size in zip(ends, sizes.reshape(-1, len(kinds)))]
 
 
+def hot_contexts(texts: DataFrame, size: int) -> dict[int, int]:
+    """Hashes of the words that, by a sample of the texts, have over PART successors, and into how many parts those are dealt.
+
+    The sample decides only where successors lie; counts cover all of them. There are at most 1 / OFTEN such words.
+    """
+    import xxhash
+
+    some = texts.sample(min(1.0, SAMPLE / max(size, 1)), 1)
+    words = some.select(F.explode(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+")).alias("w")).groupBy("w").count()
+    words = saved(words, "words")
+    total, rows = words.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0], some.count()
+    often = words.filter((F.col("w") != "") & (F.col("count") > OFTEN * total)).collect()
+    discard(words)
+    scale = max(size / SAMPLE, 1.0) / PART
+    found = {xxhash.xxh64_intdigest(r.w.encode()): r["count"] * scale for r in often} | {xxhash.xxh64_intdigest(START): rows * scale}
+    return {k: int(np.ceil(x)) for k, x in sorted(found.items()) if x > 1}
+
+
 def score(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; order: words of an n-gram, 2 at least."""
     text = F.coalesce("text", F.lit(""))
@@ -320,6 +363,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     # the row's text takes part, so that many rows of one doc_id don't meet in a block
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
+    hot = hot_contexts(rows.select("text"), size)
     edge = np.array([(s << 64) // ranges for s in range(1, ranges)], np.uint64)
 
     def cuts(level: Level) -> list[int]:
@@ -330,11 +374,13 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         return pa.table({"block": pa.array([block] * len(found), pa.int32()), kind: pa.array([s for s, _ in found], pa.int32()), name: pa.array([x if isinstance(x, bytes) else pack(*x) for _, x in found], pa.binary())})
 
     def ask(key: tuple, group_: pa.Table) -> pa.Table:
-        own = Block(group_.column("text").to_pylist(), order)
+        own = Block(group_.column("text").to_pylist(), order, hot)
         on = np.repeat(~group_.column("held_out").to_numpy(zero_copy_only=False), own.sizes)
         out: list[tuple[int, tuple]] = []
         for k, level in enumerate(own.levels):
-            counts = np.bincount(own.tokens[on], minlength=len(level.keys)) if k == 0 else np.zeros(len(level.keys), np.int64)
+            counts = np.zeros(len(level.keys), np.int64)
+            if k == 0:
+                counts[level.place[: len(own.words)]] = np.bincount(own.tokens[on], minlength=len(own.words))
             pairs, at = level.counts(on), cuts(level)
             out += [(k * ranges + s, message(level, counts, pairs, lo, hi)) for s, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
         if relayed:  # a message for each group: its shards' messages in order, empty ones too
@@ -356,11 +402,20 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         trie = build([b for x in each for b in x])
         words = int(key[0].as_py()) < ranges  # the first level tells how many tokens and different words there are
         tokens, kinds = (int(trie.counts.sum()), int((trie.counts > 0).sum())) if words else (0, 0)
+        parts_of = []
+        if words and hot:  # of the parts of hot contexts: how often they occur, which the answers tell as their count, and how many successors
+            share = np.concatenate([np.arange(x) for x in hot.values()]).astype(np.uint64)
+            which = np.repeat(np.arange(len(hot)), [*hot.values()])
+            at, there = trie.find(part_key(np.array([*hot], np.uint64)[which], share))
+            at, which = at[there], which[there]
+            trie.counts[at] = trie.total[at]
+            parts_of = [{"k": int(k), "total": int(t), "kinds": int(s)} for k, t, s in zip(which, trie.total[at], trie.kinds[at])]
         answers = [joined([unpack(answer(trie, b), *ANSWER) for b in x]) if relayed else answer(trie, x[0]) for x in each]
         n = len(packs)
         return pa.table({
             "block": rows_.column("block"), "shard": rows_.column("shard"), "reply": pa.array(answers, pa.binary()),
             "tokens": pa.array([tokens] + [0] * (n - 1), pa.int64()), "kinds": pa.array([kinds] + [0] * (n - 1), pa.int64()),
+            "hot": pa.array([parts_of] + [[]] * (n - 1), pa.list_(pa.struct([("k", pa.int32()), ("total", pa.int64()), ("kinds", pa.int64())]))),
         })
 
     def back(key: tuple, asked_: pa.Table, replies_: pa.Table) -> pa.Table:
@@ -378,8 +433,11 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         to_shards = asked.groupBy("shard", "some").applyInArrow(relay, "block int, shard int, ask binary")
     else:
         to_shards = asked
-    replies = saved(to_shards.groupBy("shard").applyInArrow(reply, "block int, shard int, reply binary, tokens long, kinds long"), "replies")
+    replies = saved(to_shards.groupBy("shard").applyInArrow(reply, "block int, shard int, reply binary, tokens long, kinds long, hot array<struct<k int,total long,kinds long>>"), "replies")
     n, v = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    # a row for each hot context
+    sums = {r.k: (r.total, r.kinds) for r in replies.select(F.inline("hot")).groupBy("k").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).collect()}
+    hot_total, hot_kinds = (np.array([sums.get(i, (0, 0))[j] for i in range(len(hot))], float) for j in (0, 1))
     if relayed:
         of = replies.select("block", "shard", "reply", F.expr(f"shard div {group}").cast("int").alias("g"))
         answered = asked.select("block", "shard", "some").groupBy("shard", "some").cogroup(of.groupBy("g", "block")).applyInArrow(back, "block int, shard int, reply binary")
@@ -387,7 +445,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         answered = replies.select("block", "shard", "reply")
 
     def add(key: tuple, group_: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Block(group_.column("text").to_pylist(), order)
+        own = Block(group_.column("text").to_pylist(), order, hot)
         found = dict(zip(answers.column("shard").to_pylist(), answers.column("reply").to_pylist()))
         if relayed:
             found = {g * group + j: x for g, b in found.items() for j, x in enumerate(parted(b, ANSWER))}
@@ -397,11 +455,15 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         for k in lengths:
             level = own.levels[k]
             c, less, seen = map(np.concatenate, zip(*(found[k * ranges + s] for s in range(ranges) if k * ranges + s in found)))
+            less, share = restored(less), np.ones(len(c))
             if k == 0:
-                single = (c + 0.5) / (n + 0.5 * (v + 1))
-                model = base = single[own.tokens]
-                known = (c > 0)[own.tokens]
-            model = restored(seen)[level.pair_of] + restored(less)[level.context] * model
+                own_c = c[level.place[: len(own.words)]]
+                model = base = ((own_c + 0.5) / (n + 0.5 * (v + 1)))[own.tokens]
+                known = (own_c > 0)[own.tokens]
+                part, of = np.flatnonzero(level.hot >= 0), level.hot[level.hot >= 0]
+                all_ = np.maximum(hot_total[of], 1)
+                share[part], less[part] = c[part] / all_, np.where(hot_total[of] > 0, DISCOUNT * hot_kinds[of] / all_, 1.0)
+            model = restored(seen)[level.pair_of] * share[level.context] + less[level.context] * model
         total = lambda x: np.add.reduceat(x, own.first)
         return pa.table({
             "doc_id": group_.column("doc_id"), "held_out": group_.column("held_out"), "n_tokens": own.sizes,

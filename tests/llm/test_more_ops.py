@@ -76,10 +76,13 @@ def test_lm(spark, texts):
 @pytest.mark.parametrize("order,fan", [(3, 1024), (4, 1024), (2, 3), (3, 4)])
 def test_lm_orders_blocks_and_relays(spark, texts, monkeypatch, order, fan):
     """Longer contexts, many small blocks and shards, sent straight and by relays."""
-    for name, value in (("BLOCK", 120_000), ("SHARD", 150_000), ("FAN", fan), ("RELAY", 3)):
+    for name, value in (("BLOCK", 120_000), ("SHARD", 150_000), ("FAN", fan), ("RELAY", 3), ("PART", 150)):
         monkeypatch.setattr(lm, name, value)
     docs = texts[:400] + [(9001, None), (9002, ""), (9003, "a a a a a")]
-    same_scores(lm.score(spark.createDataFrame(docs, "doc_id long, text string"), order).collect(), lm_scores(docs, order))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    hot = lm.hot_contexts(table.select(F.coalesce("text", F.lit("")).alias("text")), sum(len(t or "") for _, t in docs))
+    assert len(hot) > 3 and max(hot.values()) > 3
+    same_scores(lm.score(table, order).collect(), lm_scores(docs, order))
 
 
 def test_elias_fano():
