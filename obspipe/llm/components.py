@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, saved
 
 SALTS = 8
-#: The share of new links below which a turn of proposals is the last.
-GAIN = 0.02
+#: Turns of proposals after the first one.
+TURNS = 1
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
@@ -32,23 +32,27 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     Links may repeat, be reversed or join a node to itself; an empty table gives an empty result. Rounds grow with
     the logarithm of the longest path; if `rounds` of them don't do, it raises an error and gives no result.
     """
-    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = saved(pairs, "links")
-    seen = None
-    for _ in range(rounds):
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
+    def written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        """The table, and what tells whether it has changed: its rows' number and the sum of their hashes."""
+        seen = Observation()
+        table = saved(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
+        return table, (seen.get["n"], seen.get["h"])
+
+    pairs, state = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    for _ in range(rounds if state[0] else 0):
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, pairs = pairs, saved(small.union(least.select("u", "m")).distinct(), "links")
+        before, (pairs, now) = pairs, written(small.union(least.select("u", "m")).distinct())
         discard(before)
+        if now == state:
+            break
+        state = now
     else:
-        raise RuntimeError(f"components aren't final after {rounds} rounds")
+        if state[0]:
+            raise RuntimeError(f"components aren't final after {rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         pairs.select("v", "v").distinct()
     )
@@ -60,28 +64,26 @@ def verified_groups(nodes: DataFrame, propose: Callable[[DataFrame, int], DataFr
     nodes: node, in one row or several, and what `propose` needs. propose(nodes with root, turn) gives pairs (a, b) of
     nodes of different roots, a number that grows with the nodes and not with its square; check(pairs) gives
     (a, b, ok). A refuted pair may stand for another that wasn't proposed: the groups with refuted members propose
-    again, in another turn, until no pair is refuted or a turn adds less than GAIN to the links. So a few links
-    between similar groups may stay unknown; what is lost is measured where this is used.
+    again, TURNS times at most. So a few links between groups that are nearly alike may stay unknown; what is lost is
+    measured where this is used.
     """
-    asking, refuted, good, found, turn, links = nodes.withColumn("root", F.col("node")), None, [], None, 0, 0
-    while True:
+    asking, refuted, good, found = nodes.withColumn("root", F.col("node")), None, [], None
+    for turn in range(1 + TURNS):
         pairs = propose(asking, turn)
         pairs = pairs if refuted is None else pairs.join(refuted, ["a", "b"], "left_anti")
         checked = saved(check(saved(pairs, "pairs")), "checked")
         new, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
         refuted = bad if refuted is None else refuted.union(bad)
-        more = new.count()
-        if not more:
-            return found
+        if new.isEmpty():
+            break
         good.append(new)
         found = saved(components(reduce(DataFrame.union, good)), "groups")
-        if more < GAIN * links or refuted.isEmpty():
-            return found
-        links += more
+        if turn == TURNS or refuted.isEmpty():
+            break
         rooted = saved(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         ends = refuted.select(F.col("a").alias("node")).union(refuted.select("b")).distinct()
         asking = rooted.join(rooted.join(ends, "node", "left_semi").select("root").distinct(), "root", "left_semi")
-        turn += 1
+    return found
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
