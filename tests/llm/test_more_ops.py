@@ -289,6 +289,13 @@ def test_substring_near_lines(spark):
     assert [got[i].n_removed > 0 for i in (1, 2, 3, 4)] == [False, True, True, False] and got[3].holders == [1]
 
 
+def test_substring_short_lines(spark):
+    docs = [(1, "All rights are reserved here.\nfirst text"), (2, "other\nall rights ARE reserved here.\nmore"), (3, "All rights are reserved"), (4, "All rights are reserved here.\nAll rights are reserved here.")]
+    rows = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
+    assert [rows[i].n_short for i in (1, 2, 3, 4)] == [0, 5, 0, 10] and not any(r.repeated or r.spans for r in rows.values())
+    assert [tuple(s) for s in rows[2].short_spans] == [(1, 6, False)] and [tuple(s) for s in rows[1].short_spans] == [(0, 5, True)] and not rows[3].short_spans
+
+
 def test_substring_keeps_every_repeated_word_once(spark):
     """Copies that share a passage with an earlier document lose the passage only, the later copy all of it."""
     fresh = iter(range(10**6))
