@@ -109,3 +109,10 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in there:
         there[key] = make()
     return there[key]
+
+
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in slices of so many rows at most, so that a worker holds the Python objects of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

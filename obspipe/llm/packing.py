@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, parts, saved
+from .common import kept, parts, saved, slices
 
 END = (1).to_bytes(4, "little")
 #: Entries that a worker's memo of encoded words holds at most.
-MEMO = 800_000
+MEMO = 400_000
 #: Pieces that one packing task takes, about.
 PER_TASK = 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -86,7 +86,7 @@ def cut(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, window: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(("encoder", vocabulary), lambda: Encoder(vocabulary, ranks, pattern))
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.ids(text.as_py() or "") + END

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, saved, slices
 
 #: Labelled documents that training uses, and pseudo-labels of a class, a view and a round, about.
 LABELLED, PSEUDO = 6000, 1000
@@ -170,7 +170,7 @@ def telling_words(texts: DataFrame, most: int) -> list[bytes]:
     """The words whose presence depends most on the class, by the likelihood-ratio statistic; texts: text, good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text, good in zip(batch.column(0), batch.column(1).to_pylist()):
                 known = list(set(tokens(text.as_py().encode("utf-8", "surrogatepass"))))
                 yield pa.RecordBatch.from_arrays([pa.array(known, pa.binary()), pa.array([good] * len(known), pa.int32())], names=["word", "good"])
@@ -189,7 +189,7 @@ def descriptions(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     at = {w: i for i, w in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [described(t.encode("utf-8", "surrogatepass"), *r, at) for t, *r in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
             kinds = (pa.list_(pa.float64()), pa.list_(pa.int16()), pa.int16(), pa.int16())
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
@@ -213,7 +213,7 @@ def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo
 
     def ask(model: CoTrained, v: int) -> tuple[int, list[tuple]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
                 yield batch.append_column("label", pa.array(model.sure(rows, v), pa.int32()))
 
@@ -238,15 +238,12 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
     """doc_id, text_score, meta_score, score and keep (score at least one half) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = list(zip(*(part.column(i).to_pylist() for i in range(5))))
-                a, b, c = model.predict(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= 0.5)],
-                    names=["doc_id", "text_score", "meta_score", "score", "keep"],
-                )
+        for batch in slices(batches):
+            a, b, c = model.predict(list(zip(*(batch.column(i).to_pylist() for i in range(5)))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= 0.5)],
+                names=["doc_id", "text_score", "meta_score", "score", "keep"],
+            )
 
     return needed(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
@@ -256,10 +253,8 @@ def kept(docs: DataFrame, model: CoTrained) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                col = {c: part.column(names.index(c)).to_pylist() if c in names else [None] * part.num_rows for c in ("doc_id", "text", *META)}
-                yield part.filter(pa.array(model.predict(list(zip(*col.values())))[2] >= 0.5))
+        for batch in slices(batches):
+            col = {c: batch.column(names.index(c)).to_pylist() if c in names else [None] * batch.num_rows for c in ("doc_id", "text", *META)}
+            yield batch.filter(pa.array(model.predict(list(zip(*col.values())))[2] >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
