@@ -112,7 +112,13 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def slices(batches: Iterator, rows: int = 500) -> Iterator:
-    """Arrow batches in slices of so many rows at most, so that a worker holds the Python objects of few rows at a time."""
+    """Arrow batches in slices of so many rows at most, so that a worker holds the Python objects of few rows at a time.
+
+    At the end the worker, which waits for its next task, gives back what Arrow holds for later.
+    """
+    import pyarrow as pa
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ from .common import kept, parts, saved, slices
 
 END = (1).to_bytes(4, "little")
 #: Entries that a worker's memo of encoded words holds at most.
-MEMO = 400_000
+MEMO = 150_000
 #: Pieces that one packing task takes, about.
 PER_TASK = 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
