@@ -18,7 +18,7 @@ def rows(names, found):
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
-    for t in "part pages events documents benchmark labels".split():
+    for t in "part pages events documents embeddings benchmark labels".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{SF}/{t}.parquet') else ''}'")
     return con
 
