@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, url_host
-from ..operators import state
+from ..operators import runs, state
 from ..operators.extract import extract, extraction_failures, observations
 from ..operators.html import select_text
 from ..operators.normalize import normalize
@@ -16,7 +16,9 @@ from ..session import new_folder
 from ..sources.evidence import capture_evidence, read_evidence
 from ..sources.lookup import route_source
 from ..sources.outputs import TABLES, stream_outputs
-from ..streaming.state import state_stream
+from ..streaming.current import current_stream, read_current
+from ..streaming.runs import run_stream
+from ..streaming.state import audited, state_stream, stored_state
 from . import render
 
 
@@ -175,18 +177,107 @@ def transition_results(spark, d):
     return rows.select("evidence_id", "arrival_seq", "decision", F.array_join("validation_errors", "|").alias("errors"), cents("previous_state").alias("old_price"), cents("new_state").alias("new_price"))
 
 
-def streamed_decisions(spark, d):
-    """The decisions of state_decisions, made on a stream of three micro-batches in order of arrival."""
-    rows, folder = _sightings(spark, d).drop("event_id"), new_folder(spark, "stream")
+def _thirds(spark, rows):
+    """rows in three parts by arrival."""
     edges = rows.agg(F.percentile_approx("arrival_seq", [1 / 3, 2 / 3], 1000)).first()[0] or [0, 0]
     place = (F.col("arrival_seq") > edges[0]).cast("int") + (F.col("arrival_seq") > edges[1]).cast("int")
-    for i in range(3):
-        rows.filter(place == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    found = state_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
-    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return [rows.filter(place == i) for i in range(3)]
+
+
+def _fed(spark, folder, parts, run):
+    """Write one part after the other and run a stream over what is new, so that each run goes on from the last one's checkpoint."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        run(spark.readStream.schema(part.schema).parquet(f"{folder}/in"))
+
+
+def _to(folder):
+    return lambda found: found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+
+
+def streamed_decisions(spark, d):
+    """The decisions of state_decisions, made on a stream that takes the rows in three parts in order of arrival."""
+    rows, folder = _sightings(spark, d).drop("event_id"), new_folder(spark, "stream")
+    _fed(spark, folder, _thirds(spark, rows), lambda stream: _to(folder)(state_stream(stream)))
     return spark.read.parquet(f"{folder}/out").select(F.expr("arrival_seq % 100000000").alias("event_id"), "identity_key", "decision")
 
 
+def _with_state(rows):
+    return rows.drop("event_id").withColumn("state", F.struct(F.col("state_hash").alias("kind"), F.col("present").alias("seen")))
+
+
+def streamed_changes(spark, d):
+    """state_changes with the states behind the hashes: the first third of arrival in a batch, the rest on a stream that starts from it."""
+    rows, folder = _with_state(_sightings(spark, d)), new_folder(spark, "changes")
+    early, *late = _thirds(spark, rows)
+    start = state.snapshot(early)
+    start.write.parquet(f"{folder}/start")
+    start = spark.read.parquet(f"{folder}/start")
+    _fed(spark, folder, late, lambda stream: _to(folder)(state_stream(stream, start)))
+    # what a row of the stream is has the batch's names and order
+    every = state.history(state.state_transitions(early)).unionByName(state.history(spark.read.parquet(f"{folder}/out")), allowMissingColumns=True)
+    return every.select(F.expr("arrival_seq % 100000000").alias("event_id"), "decision", F.col("previous_state.kind").alias("previous_hash"), F.col("new_state.kind").alias("new_hash"))
+
+
+def state_audit(spark, d):
+    """What the stream's state store holds against the rebuild from all rows: findings and their number."""
+    rows, folder = _with_state(_sightings(spark, d)), new_folder(spark, "audit")
+    _fed(spark, folder, _thirds(spark, rows), lambda stream: _to(folder)(state_stream(stream)))
+    return audited(stored_state(spark, f"{folder}/at"), state.snapshot(rows)).groupBy("finding").agg(F.count("*").alias("n"))
+
+
+def merged_current(spark, d):
+    """The current state kept by merging three micro-batches into bucketed files."""
+    rows, folder = _sightings(spark, d).drop("event_id"), new_folder(spark, "merged")
+    _fed(spark, folder, _thirds(spark, rows), lambda stream: current_stream(stream, f"{folder}/table", f"{folder}/at", 16).awaitTermination())
+    now = read_current(spark, f"{folder}/table").filter("state_hash is not null")
+    return now.select("identity_key", "state_hash", "present", F.unix_micros(F.col("newest").cast("timestamp")).alias("newest_us"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+
+
+def _runs(spark, d):
+    """Sightings (all present) and twenty runs of equal spans of arrival; every third run is incomplete."""
+    rows = _sightings(spark, d).withColumn("present", F.lit(True))
+    last = rows.agg(F.max("arrival_seq")).first()[0] or 0
+    number = F.least(F.lit(19), F.call_function("div", F.col("arrival_seq") * 20, F.lit(last)))
+    spans = rows.groupBy("source", number.alias("i")).agg(F.max("observed_at").alias("at"))
+    of = lambda i: F.call_function("div", i * last, F.lit(20))
+    newest = F.max("at").over(Window.partitionBy("source").orderBy("i"))
+    runs = spans.select("source", F.concat(F.lit("run-"), "i").alias("run_id"), (of(F.col("i")) + 1).alias("started_seq"), of(F.col("i") + 1).alias("ended_seq"), newest.alias("ended_at"), (F.col("i") % 3 != 1).alias("complete"))
+    return rows, runs
+
+
+def run_absences(spark, d):
+    """First and last absence of each gap between a key's sightings, over all runs at once."""
+    return runs.run_absences(*_runs(spark, d)).select("identity_key", "run_id", "arrival_seq")
+
+
+def run_decisions(spark, d):
+    """Decisions on sightings and on complete runs' ends: what disappeared in which run, and what came back."""
+    rows, spans = _runs(spark, d)
+    return runs.decided_runs(rows, spans).select("event_id", "identity_key", "run_id", "decision")
+
+
+def streamed_runs(spark, d):
+    """run_decisions on a stream that has the ends of runs as rows and is restarted twice."""
+    rows, spans = _runs(spark, d)
+    folder = new_folder(spark, "runs")
+    ends = spans.select("source", F.col("ended_at").alias("observed_at"), F.col("ended_seq").alias("arrival_seq"), "run_id", "started_seq", "complete")
+    every = rows.drop("event_id").unionByName(ends, allowMissingColumns=True)
+    _fed(spark, folder, _thirds(spark, every), lambda stream: _to(folder)(run_stream(stream, 8)))
+    sighted = F.col("run_id").isNull()
+    return spark.read.parquet(f"{folder}/out").select(F.when(sighted, F.expr("arrival_seq % 100000000")).alias("event_id"), "identity_key", "run_id", "decision")
+
+
+def state_as_of(spark, d):
+    """What was known of each key at ten times between the first and the last event."""
+    rows = _sightings(spark, d)
+    span = rows.agg(F.min(F.unix_micros(F.col("observed_at").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("observed_at").cast("timestamp"))).alias("b")).first()
+    asked = rows.select("source", "identity_key").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    asked = asked.withColumn("as_of", F.timestamp_micros(F.lit(span.a) + F.call_function("div", F.lit(span.b - span.a), F.lit(9)) * F.col("i")))
+    found = state.state_as_of(asked, state.validity(state.state_transitions(rows)))
+    return found.select("identity_key", "i", "state_hash", "present", F.unix_micros(F.col("valid_from").cast("timestamp")).alias("from_us"))
+
+
 def streamed_outputs(spark, d):
     """Evidence from files as a stream, routed, extracted, validated and written to the three tables; their rows by source."""
     part, folder = _t(spark, d, "part"), new_folder(spark, "outputs")
@@ -203,6 +294,7 @@ QUERIES = {
         evidence_capture, canonical_urls, route_sources, html_select, books_extract, woo_extract, catalog_explode, embedded_variants, all_failures,
         extractor_registry, normalized_rows, validation_errors, error_histogram, accepted_pages, state_decisions, current_state, state_history, disappearances,
         state_changes, validation_direct, accepted_identity, transition_results, streamed_decisions, streamed_outputs,
+        run_absences, run_decisions, streamed_runs, streamed_changes, state_audit, merged_current, state_as_of,
     )
 }
 
@@ -297,3 +389,35 @@ ORACLE_SQL |= {
       union all select case when p_partkey % 13 = 0 then 'extraction_failures' else 'accepted' end, 'scrapeme_live' from part
       union all select case when p_partkey % 10 in (0, 1) then 'extraction_failures' when p_partkey % 6 = 0 then 'rejected' else 'accepted' end, 'scraping_sandbox' from part) group by 1, 2""",
 }
+
+# every key against every complete run, for runs and keys are few here
+_RUNS = """with rows as (select event_id, cast(user_id as varchar) as k, ts, event_type, (event_id + (event_id * 37) % 500) * 100000000 + event_id as seq, event_id % 29 <> 0 as ok from events),
+  edge as (select max(seq) as last from rows),
+  ends as (select i, i * last // 20 + 1 as a, (i + 1) * last // 20 as b, i % 3 <> 1 as complete from edge, range(20) t(i)),
+  spans as (select least(19, seq * 20 // (select last from edge)) as i, max(ts) as newest from rows group by 1),
+  runs as (select i, 'run-' || i as run_id, a, b, complete, max(newest) over (order by i) as ended from ends join spans using (i)),
+  missed as (select k, run_id, b as seq, ended as ts, (select max(seq) from rows r where r.k = q.k and ok and r.seq < a) as before,
+    (select min(seq) from rows r where r.k = q.k and ok and r.seq > b) as after, i
+    from (select distinct k from rows where ok) q, runs where complete and not exists (select 1 from rows r where r.k = q.k and ok and seq between a and b)),
+  gone as (select * from missed where before is not null)"""
+_RUN_DECIDED = f"""{_RUNS}, taken as (select event_id, k, null as run_id, seq, ts, event_type, true as present from rows where ok union all select null, k, run_id, seq, ts, null, false from gone),
+  aged as (select *, coalesce(ts < max(ts) over (partition by k order by seq rows between unbounded preceding and 1 preceding), false) as stale from taken),
+  told as (select *, last_value(event_type ignore nulls) over (partition by k, stale order by seq rows between unbounded preceding and 1 preceding) as prev, lag(present) over (partition by k, stale order by seq) as was from aged)
+  select event_id, k as identity_key, run_id, case when stale then 'STALE' when not present and was then 'DISAPPEARED' when not present then 'NO_CHANGE' when prev is null then 'CREATE' when not was then 'REAPPEARED'
+    when prev = event_type then 'NO_CHANGE' else 'UPDATE' end as decision from told where present or (not stale and was)
+  union all select event_id, k, null, 'REJECT' from rows where not ok"""
+ORACLE_SQL |= {
+    "run_absences": f"""{_RUNS} select k as identity_key, run_id, seq as arrival_seq from gone qualify row_number() over (partition by k, before order by i) = 1 or row_number() over (partition by k, before order by i desc) = 1""",
+    "run_decisions": _RUN_DECIDED,
+    "streamed_runs": _RUN_DECIDED,
+    "streamed_changes": ORACLE_SQL["state_changes"],
+    "state_audit": "select 'equal' as finding, count(distinct user_id) as n from events where event_id % 29 <> 0",
+    "merged_current": f"""select identity_key, max_by(event_type, seq) filter (where present) as state_hash, max_by(present, seq) as present, epoch_us(max(ts)) as newest_us,
+      max_by(epoch_us(ts), seq) filter (where decision in ('CREATE', 'UPDATE', 'DISAPPEARED', 'REAPPEARED')) as updated_us from ({_DECIDED}) where decision not in ('STALE', 'REJECT') group by 1""",
+    "state_as_of": f"""with changes as (select identity_key, ts, decision <> 'DISAPPEARED' as present, case when decision = 'DISAPPEARED' then previous_hash else event_type end as state_hash, seq from ({_DECIDED})
+      where decision in ('CREATE', 'UPDATE', 'DISAPPEARED', 'REAPPEARED')), span as (select min(epoch_us(ts)) as a, max(epoch_us(ts)) as b from events),
+      asked as (select k as identity_key, cast(i as integer) as i, a + (b - a) // 9 * i as moment from (select distinct cast(user_id as varchar) as k from events), span, range(10) t(i)),
+      met as (select asked.identity_key, i, state_hash, present, epoch_us(ts) as from_us, row_number() over (partition by asked.identity_key, i order by ts desc, seq desc) as n
+        from asked left join changes c on c.identity_key = asked.identity_key and epoch_us(c.ts) <= moment)
+      select identity_key, i, state_hash, present, from_us from met where n = 1""",
+}

@@ -45,3 +45,19 @@ def once(df: DataFrame, keep: list[str | Column], cols: dict[str, Column]) -> Da
     expression. A generator over one struct isn't, and what follows reads the finished columns.
     """
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return fs.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder; nothing happens if it isn't there."""
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
