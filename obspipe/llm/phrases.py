@@ -1,10 +1,11 @@
 """Phrases of words that belong together, from count streams merged in prefix and suffix order.
 
-Texts are read once and written as blocks: the words of one language in a few megabytes of text, as small numbers with a
+Texts are read once and written as blocks: the words of one language in some megabytes of text, as small numbers with a
 list of the block's words. Counting then goes up by one word at a time. A phrase of n words is the pair of its first n-1
 words (prefix) and its last n-1 words (suffix), each known by the id it got a level below, and only where both are
-frequent can the phrase be. A block sends its pairs with their counts; sums of `least` and more get an id, and blocks
-hear which of their own pairs are among them. So every count is exact, and nothing is broadcast or held whole.
+frequent can the phrase be. A block sends its pairs with their counts, sorted and packed, to shards by a hash of the pair;
+a shard adds the counts up, gives an id to sums of `least` and more, and tells each block which of its own pairs are
+among them. So every count is exact, nothing is broadcast or held whole, and a pair costs a few bytes on its way.
 
 The streams of a level are its rows in order of the prefix's id and in order of the suffix's id. Merged in lockstep with
 the level below (sort-merge joins, which Spark's hint `merge` asks for: both sides sorted by id and walked side by side,
@@ -28,25 +29,33 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, numbered, saved
+from .common import LOWER, UPPER, discard, numbered, parts, saved
+from .hashing import ODD, mixed
 
 #: Bytes of text that a task gathers in its blocks before it gives them out.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
+#: Words or pairs of all blocks that one shard adds up, about.
+SHARD = 2_000_000
 #: Rows that one task ranks at most, beside the rows kept of each language.
 RANKED = 200_000
 
 #: Separators of pieces become line feeds, tabs become spaces, A-Z become lower case.
 FOLD = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\x0d\t", LOWER.encode() + b"\n" * 9 + b" ")
 
-PAIRS = "block long, lang string, at binary, prefix array<long>, suffix array<long>, n array<long>"
+ASKED = "block long, lang string, shard int, at binary, shards binary, keys binary, suffix binary, n binary"
+TOLD = "shard int, lang string, block long, place binary, id binary, words array<string>, prefix array<long>, suffix array<long>, a array<long>, number array<long>"
 
 
-def _packed(at: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(at.astype("<i4").tobytes())
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Integers, their bytes of equal weight together, compressed; of rising ones the differences."""
+    x = np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)) if rising else x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
+def unpacked(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.cumsum(x, dtype=kind) if rising else x
 
 
 class Numbers(dict):
@@ -72,16 +81,16 @@ class Block:
         self.at.append(0)
         return len(data)
 
-    def given(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def given(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The words, how often each occurs, and the place of each word in that list, -1 between pieces."""
         at = np.frombuffer(self.at, np.int32)
         at = at[at != 1] - 2
-        words = [w.decode("utf-8", "surrogatepass") for w in list(self.number)[2:]]
-        return words, np.bincount(at[at >= 0], minlength=len(words)), np.where(at < 0, -1, at)
+        words = list(self.number)[2:]
+        return words, np.bincount(at[at >= 0], minlength=len(words)), np.where(at < 0, -1, at).astype(np.int32)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """lang, at (places of words in the list, as bytes), words, n (their counts)."""
+    """lang, at (places of words in the list), words (by line feeds), n (their counts), distinct and total words; packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there: dict[str, Block] = {}
@@ -91,8 +100,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             for lang in list(there):
                 words, n, at = there.pop(lang).given()
                 if words:
-                    columns = [pa.array([lang]), pa.array([_packed(at)], pa.binary()), pa.array([words], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "at", "words", "n"])
+                    text = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+                    columns = [[lang], [packed(at)], [text], [packed(n)], [len(words)], [int(n.sum())]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.binary()] * 3, pa.int64(), pa.int64()))], names=["lang", "at", "words", "n", "distinct", "total"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
@@ -103,48 +113,148 @@ def blocks(docs: DataFrame) -> DataFrame:
         yield from out()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    return texts.mapInArrow(run, "lang string, at binary, words array<string>, n array<long>")
+    return texts.mapInArrow(run, "lang string, at binary, words binary, n binary, distinct long, total long")
 
 
-def paired(heard: DataFrame) -> DataFrame:
-    """The next level's pairs in each block: at and, for each of its places, prefix, suffix and n.
+def _asked(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 5]
+    for row in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["block", "lang", "shard", "at", "shards", "keys", "suffix", "n"])
+
+
+def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, with the places that it takes, in order."""
+    order = np.argsort(shard, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(own):
+            yield int(shard[own[0]]), own
+
+
+def word_messages(level: DataFrame, shards: int) -> DataFrame:
+    """A row for each block with its state (at, and the shard of each word), and one for each shard that it asks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        def rows(batch: pa.RecordBatch, i: int) -> Iterator[tuple]:
+            block, lang, at, words, n = (batch.column(k)[i].as_py() for k in range(5))
+            words, n = zstandard.ZstdDecompressor().decompress(words).split(b"\n"), unpacked(n, "i8")
+            shard = np.array([xxhash.xxh64_intdigest(w) % shards for w in words], np.int32)
+            yield block, lang, None, at, packed(shard), None, None, None
+            for s, own in _split(shard):
+                text = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[k] for k in own))
+                yield block, lang, s, None, None, text, None, packed(n[own])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _asked(rows(batch, i))
+
+    return level.select("block", "lang", "at", "words", "n").mapInArrow(run, ASKED)
 
-    heard: block, lang, at, known (struct place, id): the places of the block's list that are frequent, and their ids.
-    """
+
+def pair_messages(heard: DataFrame, shards: int) -> DataFrame:
+    """The same for the pairs of neighbours that are frequent; heard: block, lang, at, shards, known (struct shard, place, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch: pa.RecordBatch, i: int) -> Iterator[tuple]:
+            block, lang, at, shard, known = (batch.column(k)[i].as_py() for k in range(5))
+            at, shard = unpacked(at, "i4"), unpacked(shard, "i4")
+            # what the answers' places, counted within a shard, are in the block's list
+            own = dict(_split(shard))
+            place = np.concatenate([own[k["shard"]][unpacked(k["place"], "i4", True)] for k in known])
+            ids = np.concatenate([(np.int64(k["shard"]) << 32) + unpacked(k["id"], "i4", True) for k in known])
+            # frequent symbols numbered from 0 in order of their ids, -1 for others and for ends
+            order = np.argsort(ids)
+            number = np.full(len(shard) + 1, -1, np.int64)
+            number[place[order]] = np.arange(len(ids))
+            ids, symbol = ids[order], number[at]
+            both = (symbol[:-1] >= 0) & (symbol[1:] >= 0)
+            pair, found, n = np.unique(symbol[:-1][both] * len(ids) + symbol[1:][both], return_inverse=True, return_counts=True)
+            after = np.full(len(at), -1, np.int32)
+            after[:-1][both] = found
+            prefix, suffix = ids[pair // len(ids)], ids[pair % len(ids)]
+            shard = (mixed(prefix.astype(np.uint64) * ODD + suffix.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+            yield block, lang, None, packed(after), packed(shard), None, None, None
+            for s, k in _split(shard):
+                yield block, lang, s, None, None, packed(prefix[k], True), packed(suffix[k]), packed(n[k])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                at = _unpacked(batch.column(2)[i].as_py())
-                known = batch.column(3).slice(i, 1).flatten()
-                place, ids = (known.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                # frequent symbols numbered from 0, -1 for others and for ends
-                order = np.argsort(ids)
-                number = np.full(max(int(at.max(initial=0)), int(place.max(initial=0))) + 2, -1, np.int64)
-                number[place[order]] = np.arange(len(ids))
-                ids, symbol = ids[order], number[at]
-                both = (symbol[:-1] >= 0) & (symbol[1:] >= 0)
-                pair, place, n = np.unique(symbol[:-1][both] * len(ids) + symbol[1:][both], return_inverse=True, return_counts=True)
-                after = np.full(len(at), -1, "<i4")
-                after[:-1][both] = place
-                lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids[pair // max(1, len(ids))], ids[pair % max(1, len(ids))], n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([_packed(after)], pa.binary()), *lists], names=["block", "lang", "at", "prefix", "suffix", "n"])
-
-    return heard.select("block", "lang", "at", "known").mapInArrow(run, PAIRS)
-
-
-def heard(level: DataFrame, keys: list[str], frequent: DataFrame) -> DataFrame:
-    """Blocks of a level with the ids of those of its places that are frequent."""
-    own = level.select("block", "lang", F.posexplode(F.arrays_zip(*keys)).alias("place", "key"))
-    own = own.select("block", "lang", "place", *[F.col("key")[k].alias(k) for k in keys])
-    found = own.join(frequent.select("id", "lang", *keys), ["lang", *keys]).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    return level.select("block", "lang", "at").join(found, "block")
-
-
-def frequent(level: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The keys whose counts in all blocks come to `least` and more, with a and an id of each."""
-    each = level.select("lang", F.inline(F.arrays_zip(*keys, "n")))
-    return numbered(each.groupBy("lang", *keys).agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "phrases")[0].withColumnRenamed("uid", "id")
+                yield from _asked(rows(batch, i))
+
+    return heard.select("block", "lang", "at", "shards", "known").mapInArrow(run, ASKED)
+
+
+def _told(shard: int, lang: str | None, block: int | None = None, place=None, id=None, words=None, prefix=None, suffix=None, a=None, number=None) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 4]
+    row = (shard, lang, block, place, id, words, prefix, suffix, a, number)
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["shard", "lang", "block", "place", "id", "words", "prefix", "suffix", "a", "number"])
+
+
+def _replies(shard: int, asked: list[tuple], key: np.ndarray, ends: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """To each block: which of the keys it asked for are frequent, and their numbers."""
+    for (block, lang), i, j in zip(asked, [0, *ends[:-1]], ends):
+        own = number[key[i:j]]
+        place = np.flatnonzero(own >= 0)
+        if len(place):
+            yield _told(shard, lang, block, packed(place.astype(np.int32), True), packed(own[place].astype(np.int32), True))
+
+
+def answers(asked: DataFrame, least: int, words: bool) -> DataFrame:
+    """What the shards answer: rows without block list the frequent keys and their sums, the others go to blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, langs = table.column("shard")[0].as_py(), table.column("lang").to_pylist()
+        blocks, n = table.column("block").to_pylist(), [unpacked(x.as_py(), "i8") for x in table.column("n")]
+        ends, out = np.cumsum([len(x) for x in n]), []
+        if words:
+            numbers: dict[tuple, int] = {}
+            keys = []
+            for lang, x in zip(langs, table.column("keys")):
+                keys += [numbers.setdefault((lang, w), len(numbers)) for w in zstandard.ZstdDecompressor().decompress(x.as_py()).split(b"\n")]
+            key = np.array(keys, np.int64)
+        else:
+            prefix, suffix = (np.concatenate([unpacked(x.as_py(), "i8", rising) for x in table.column(c)]) for c, rising in (("keys", True), ("suffix", False)))
+            # numbered anew here, so that a pair fits in 64 bits however many ids there are
+            (first, i), (second, j) = (np.unique(x, return_inverse=True) for x in (prefix, suffix))
+            pairs, key = np.unique(i * len(second) + j, return_inverse=True)
+        total = np.zeros(int(key.max(initial=-1)) + 1, np.int64)
+        np.add.at(total, key, np.concatenate(n))
+        frequent = np.flatnonzero(total >= least)
+        if not len(frequent):
+            return pa.Table.from_batches([], schema=_told(0, None).schema)
+        number = np.full(len(total), -1, np.int64)
+        number[frequent] = np.arange(len(frequent))
+        # a pair's language is that of any block that has it
+        known = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+        lang_of = np.zeros(len(total), np.int64)
+        lang_of[key] = np.repeat([known[x] for x in langs], np.diff(ends, prepend=0))
+        names = [w for _, w in numbers] if words else []
+        for lang, k in known.items():
+            mine = frequent[lang_of[frequent] == k]
+            if not len(mine):
+                continue
+            if words:
+                what = {"words": [names[i].decode("utf-8", "surrogatepass") for i in mine]}
+            else:
+                what = {"prefix": first[pairs[mine] // len(second)], "suffix": second[pairs[mine] % len(second)]}
+            out.append(_told(shard, lang, a=total[mine], number=number[mine], **what))
+        out += _replies(shard, list(zip(blocks, langs)), key, ends, number)
+        return pa.Table.from_batches(out)
+
+    return asked.filter("shard is not null").select("shard", "lang", "block", "keys", "suffix", "n").groupBy("shard").applyInArrow(run, TOLD)
+
+
+def frequent(told: DataFrame, keys: list[str]) -> DataFrame:
+    """lang, the keys, their count a and an id of each key that is frequent."""
+    listed = told.filter("block is null").select("lang", "shard", F.inline(F.arrays_zip(*keys, "a", "number")))
+    return listed.select("lang", *keys, "a", (F.shiftleft(F.col("shard").cast("long"), 32) + F.col("number")).alias("id"))
+
+
+def heard(asked: DataFrame, told: DataFrame) -> DataFrame:
+    """Blocks with their state and what shards told them."""
+    known = told.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "place", "id")).alias("known"))
+    return asked.filter("shard is null").select("block", "lang", "at", "shards").join(known, "block")
 
 
 def extended(level: DataFrame, below: DataFrame) -> DataFrame:
@@ -195,19 +305,23 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, inside: int
     docs: lang, text. least: the count a phrase needs. inside: a phrase is dropped if a longer one around it has so many
     hundredths of its count.
     """
-    level, _ = numbered(blocks(docs), "blocks")
-    level = level.withColumnRenamed("uid", "block")
-    # the sum over words of a few blocks a language
-    totals = saved(level.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    known = frequent(level, ["words"], least)
-    levels = [known.select("id", "lang", "a", F.col("words").alias("phrase"), F.col("words").alias("last"), F.array("a").alias("starts"), F.array("a").alias("ends"))]
-    replies = heard(level, ["words"], known)
+    written, uid = numbered(blocks(docs), "blocks")
+    level = written.withColumnRenamed(uid, "block")
+    totals = saved(level.groupBy("lang").agg(F.sum("total").alias("n")), "words")
+    distinct = level.agg(F.sum("distinct")).first()[0]
+    asked = saved(word_messages(level, parts(distinct or 0, SHARD)), "asked")
+    discard(written)
+    told = saved(answers(asked, least, True), "told")
+    known = frequent(told, ["words"])
+    levels = [saved(known.select("id", "lang", "a", F.col("words").alias("phrase"), F.col("words").alias("last"), F.array("a").alias("starts"), F.array("a").alias("ends")), "level")]
     for n in range(2, longest + 1):
-        level = saved(paired(replies), "pairs")
-        known = frequent(level, ["prefix", "suffix"], least)
-        levels.append(saved(extended(known, levels[-1]), "level"))
-        if n < longest:
-            replies = heard(level, ["prefix", "suffix"], known)
+        # a level has no more pairs than the one below has occurrences
+        occurrences = levels[-1].agg(F.sum("a")).first()[0]
+        before, asked = (asked, told), saved(pair_messages(heard(asked, told), parts(occurrences or 0, SHARD)), "asked")
+        discard(*before)
+        told = saved(answers(asked, least, False), "told")
+        levels.append(saved(extended(frequent(told, ["prefix", "suffix"]), levels[-1]), "level"))
+    discard(asked, told)
     found = None
     for n in range(2, longest + 1):
         rows = scored(levels[n - 1], n)

@@ -193,18 +193,46 @@ def plain_ring(rows, shards):
     places = [p for p, _ in nodes]
     load, open_, total, out = [0] * shards, set(range(shards)), sum(b for _, b in rows), []
     for place, size in rows:
+        at = bisect.bisect_left(places, place)
+        clockwise = [nodes[(at + k) % len(nodes)][1] for k in range(len(nodes))]
+        share = lambda: (total - sum(x for s, x in enumerate(load) if s not in open_)) / len(open_)
+        large = size * sharding.LARGE > share()
         while True:
-            at = bisect.bisect_left(places, place)
-            shard = next(s for k in range(len(nodes)) if (s := nodes[(at + k) % len(nodes)][1]) in open_)
-            share = (total - sum(x for s, x in enumerate(load) if s not in open_)) / len(open_)
-            if len(open_) == 1 or load[shard] + size / 2 <= share:
+            shard = next(s for s in clockwise if s in open_)
+            if large or len(open_) == 1 or load[shard] + size / 2 <= share():
                 break
             open_.discard(shard)
+        if large:
+            room = [s for s in clockwise if s in open_ and load[s] + size / 2 <= share()]
+            shard = room[0] if room else min(open_, key=lambda s: (load[s], s))
+        full = len(open_) > 1 and load[shard] + size >= share()
         load[shard] += size
+        if large and full:
+            open_.discard(shard)
         out.append(shard)
     return out, load
 
 
+@pytest.mark.parametrize("case", ["half repeats one row", "one long text", "many long texts"])
+def test_sharding_large_rows(spark, case):
+    """Repeated rows are divided; a row beyond the share fills one shard, and the others share the rest."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "w" * int(rng.integers(30, 60))) for i in range(1500)]
+    rows += {"half repeats one row": [(-1, "again " * 8)] * 1500, "one long text": [(-1, "x" * 10_000_000)], "many long texts": [(-i, "y" * int(rng.integers(2000, 40_000))) for i in range(1, 30)]}[case]
+    result = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    load, slots = collections.Counter({s: 0 for s in range(8)}), collections.defaultdict(list)
+    for r in result:
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    sizes = sorted(load.values())
+    assert len(result) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    largest = max(len(t) + 8 for _, t in rows)
+    if case == "one long text":
+        assert sizes[-1] >= largest and sizes[-2] - sizes[0] <= 68
+    else:
+        assert sizes[-1] - sizes[0] <= largest
+
+
 def test_sharding_restated_and_movement(spark, texts):
     """Shards equal a plain walk over the ring, and one more shard moves few bytes."""
     df = spark.createDataFrame(texts[:600], "doc_id long, text string")
@@ -217,7 +245,7 @@ def test_sharding_restated_and_movement(spark, texts):
         assert sorted(r.b for r in got) == sorted(load)
         where[n] = {(p, i): s for i, ((p, _), s) in enumerate(zip(rows, want))}
     rng = np.random.default_rng(1)
-    many = sorted((int(p), int(b)) for p, b in zip(rng.integers(0, 1 << 52, 20_000), rng.integers(8, 4000, 20_000)))
+    many = sorted((int(p), int(b)) for p, b in zip(rng.integers(0, 1 << sharding.BITS, 20_000), rng.integers(8, 4000, 20_000)))
     before, load = plain_ring(many, 24)
     after, _ = plain_ring(many, 25)
     mean = sum(load) / 24

@@ -153,11 +153,11 @@ def plain_phrases(rows, longest=4, least=30, inside=80, top=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,ranked", [(8 << 20, 200_000), (20_000, 7)])
-def test_phrases(spark, monkeypatch, block, ranked):
-    """The whole table, in one block a task and in many, ranked at once and in shares."""
-    monkeypatch.setattr(phrases, "BLOCK", block)
-    monkeypatch.setattr(phrases, "RANKED", ranked)
+@pytest.mark.parametrize("block,shard,ranked", [(phrases.BLOCK, phrases.SHARD, phrases.RANKED), (50_000, 5_000, 7)])
+def test_phrases(spark, monkeypatch, block, shard, ranked):
+    """The whole table, in one block a task and in many, with one shard and many, ranked at once and in shares."""
+    for name, value in (("BLOCK", block), ("SHARD", shard), ("RANKED", ranked)):
+        monkeypatch.setattr(phrases, name, value)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = plain_phrases([(r.lang, r.text) for r in docs.collect()])
     assert len(want) > 100 and sorted(tuple(r) for r in queries.op13_phrases(spark, SF).collect()) == want
