@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 from .common import discard, saved
 
 SALTS = 8
-#: Turns of proposals after the first one.
-TURNS = 1
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
@@ -64,11 +63,11 @@ def verified_groups(nodes: DataFrame, propose: Callable[[DataFrame, int], DataFr
     nodes: node, in one row or several, and what `propose` needs. propose(nodes with root, turn) gives pairs (a, b) of
     nodes of different roots, a number that grows with the nodes and not with its square; check(pairs) gives
     (a, b, ok). A refuted pair may stand for another that wasn't proposed: the groups with refuted members propose
-    again, TURNS times at most. So a few links between groups that are nearly alike may stay unknown; what is lost is
-    measured where this is used.
+    again, as long as a turn brings a new link. What `propose` never puts forward stays unknown; that is measured where
+    this is used.
     """
     asking, refuted, good, found = nodes.withColumn("root", F.col("node")), None, [], None
-    for turn in range(1 + TURNS):
+    for turn in count():
         pairs = propose(asking, turn)
         pairs = pairs if refuted is None else pairs.join(refuted, ["a", "b"], "left_anti")
         checked = saved(check(saved(pairs, "pairs")), "checked")
@@ -78,7 +77,7 @@ def verified_groups(nodes: DataFrame, propose: Callable[[DataFrame, int], DataFr
             break
         good.append(new)
         found = saved(components(reduce(DataFrame.union, good)), "groups")
-        if turn == TURNS or refuted.isEmpty():
+        if refuted.isEmpty():
             break
         rooted = saved(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         ends = refuted.select(F.col("a").alias("node")).union(refuted.select("b")).distinct()
