@@ -6,14 +6,15 @@ quads, long digit groups, and digit groups like a telephone number's. Candidates
 groups, separators, value checks) and context (neighbouring characters, words before).
 
 Labels come from disguises, as nobody has labelled such spans. Every base span, written in the ways in which the
-patterns miss it (marks spelled out, digits grouped or in another order, no plus), is a positive in its own context.
+patterns miss it (marks spelled out, digits grouped, no plus), is a positive in its own context.
 The same spans spoilt (parts too large, digits cut off, sentence ends for dots) are negatives, and so are the
 generators' candidates that overlap no base span, unless their description is also that of a positive: those are
 what is looked for, and count as unlabelled. Equal descriptions are counted together, over all documents, so the
 table to which gradient-boosted trees are fitted is bounded by the number of descriptions. For each kind the cut on
 the score is calibrated on a fold of texts left out in fitting: the lowest score from which on at least PRECISION of
 the labelled candidates are positive. Candidates above their kind's cut that overlap no base span are added, of
-overlapping ones the best-scored. The fitted trees and cuts are a Column expression, so finding and replacing work on
+overlapping ones the best-scored. Matches, overlaps and replacements are found by running sums and maxima over arrays,
+so a text's cost grows in proportion to its matches. The fitted trees and cuts are a Column expression, so finding and replacing work on
 each row by itself.
 
 Null texts count as empty. Repeated rows and rows without doc_id are handled each for itself; nothing is added of a
@@ -24,7 +25,7 @@ they are in `redacted`, whatever their names, and are ignored elsewhere; an empt
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,7 +62,7 @@ FEATURES = (
 DISGUISED = {
     "email": (((r"\.(?=[^@]*$)", " dot "), (r"@", " at ")), ((r"\.(?=[^@]*$)", "[dot]"), (r"@", "[at]")), ((r"@", " (at) "),), ((r"@", " @ "),)),
     "ip": (((r"\.", " . "),), ((r"\.", "[.]"),), ((r"\.", ","),)),
-    "card": (((r"[^0-9]", ""), (r"(.)(.)", "$2$1")), ((r"[^0-9]", ""), (r"(....)(?=.)", "$1.")), ((r"[^0-9]", ""), (r"(....)(?=.)", "$1/"))),
+    "card": (((r"[^0-9]", ""), (r"(....)(?=.)", "$1.")), ((r"[^0-9]", ""), (r"(....)(?=.)", "$1/"))),
     "phone": (((r"^\+[0-9]{1,3} ?", ""),), ((r"^\+[0-9]{1,3} ?", ""), (r"[^0-9]+", " "), (r"^ | $", "")), ((r"[^0-9]+", "."), (r"^\.", ""))),
 }
 SPOILT = {
@@ -71,23 +72,92 @@ SPOILT = {
     "phone": (((r"[^0-9]", ""), (r"^.*(...)(....)$", "$1-$2")), ((r"[^0-9]", ""), (r"^(..)(..)(..).*$", "$1.$2.$3")), ((r"[^0-9]", ""), (r"^(....).*$", "$1-$1-$1-$1-$1"))),
 }
 SPAN = "struct<start:int,kind_no:int,end:int>"
+#: Elements of an array, or code points of a text, that are handled together.
+CHUNK = 256
+#: Neighbours to either side that a candidate is compared with; candidates are short, so more don't overlap it but in odd texts.
+NEAR = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def prefixes(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of op, associative with 0 as its neutral element, over an array of ints.
+
+    An array can't be extended in place, so chunks are run through by themselves, then the chunks' results: time and
+    copies grow in proportion to the array, not with its square.
+    """
+    def last(acc: Column) -> Column:
+        return F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+
+    def running(xs: Column) -> Column:
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(op(last(acc), x))))
+
+    def whole(xs: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+        return let(F.transform(at, lambda c: running(F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))), joined)
+
+    def joined(chunks: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), running(F.transform(chunks, last)))
+        return F.flatten(F.zip_with(chunks, F.slice(before, 1, F.size(chunks)), lambda chunk, b: F.transform(chunk, lambda x: op(b, x))))
+
+    return let(values, lambda xs: F.when(F.size(xs) <= CHUNK, running(xs)).otherwise(whole(xs)))
+
+
+def most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def added(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def places(text: Column, pattern: str, possible: Column) -> Column:
     """Structs (start, end, what) of all matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,what:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,what:string>>").alias("out")).cast(kind)
+    kind = "array<struct<start:int,end:int,what:string>>"
+
+    def located(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.char_length(x))
+        ends = prefixes(F.zip_with(gaps, found, lambda g, m: g + F.char_length(m)), added)
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("what"))).cast(kind)
+
+    each = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(located(found)))
+    return F.when(possible, each).otherwise(F.array().cast(kind))
+
+
+def chunked(text: Column) -> Column:
+    """The text in chunks of CHUNK code points, so that a part of it is found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+
+
+def piece(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a chunked text."""
+    first = F.floor(a / CHUNK).cast("int")
 
-    def step(acc: Column, z: Column) -> Column:
-        a = acc["at"] + z["gap"]
-        b = a + F.char_length(z["what"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), z["what"].alias("what")))).alias("out")).cast(kind)
+    def cut(chunk: Column, j: Column) -> Column:
+        at = (first + j) * CHUNK
+        low = F.greatest(a - at, F.lit(0))
+        return F.substring(chunk, low + 1, F.least(b - at, F.lit(CHUNK)) - low)
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("what"), g.alias("gap")))
-    each = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(possible, each).otherwise(F.array().cast("array<struct<start:int,end:int,what:string>>"))
+    count = F.floor((b - 1) / CHUNK).cast("int") - first + 1
+    return F.when(b <= a, "").otherwise(F.array_join(F.transform(F.slice(chunks, first + 1, count), cut), ""))
+
+
+def clear(wide: Column, base: Column) -> Column:
+    """Those of the matches `wide`, which don't overlap each other, that overlap no span of base."""
+    event = "struct<at:int,base:int,value:int,match:struct<start:int,end:int,what:string>>"
+    ends = F.transform(wide, lambda m: F.struct(m["end"], F.lit(0), F.lit(0), m).cast(event))
+    starts = F.transform(base, lambda b: F.struct(b["start"], F.lit(1), b["end"], F.lit(None).cast("struct<start:int,end:int,what:string>")).cast(event))
+
+    def met(events: Column) -> Column:
+        # at a match's end: how far the base spans that start before it reach
+        reach = prefixes(F.transform(events, lambda e: e["value"]), most)
+        pairs = F.zip_with(events, reach, lambda e, r: F.struct(e["match"].alias("match"), (r <= e["match"]["start"]).alias("free")))
+        return F.transform(F.filter(pairs, lambda x: F.coalesce(x["free"], F.lit(False))), lambda x: x["match"])
+
+    return F.when((F.size(wide) == 0) | (F.size(base) == 0), wide).otherwise(let(F.array_sort(F.concat(ends, starts)), met))
 
 
 def luhn(digits: Column) -> Column:
@@ -138,7 +208,7 @@ def described(no: int, what: Column, before: Column, left: Column, right: Column
         if kind in ("ip", "phone"):
             f["octets"] = F.forall(x["runs"], lambda r: (F.length(r) < 3) | ((F.length(r) == 3) & (r <= "255")))
         if kind == "card":
-            f["checked"] = digits.between(12, 19)
+            f["checked"] = digits.between(12, 19) & luhn(x["digits"])
         return F.struct(*[f[n].cast("int").alias(n) for n in FEATURES])
 
     runs = F.filter(F.split(what, "[^0-9]+"), lambda r: r != "")
@@ -146,10 +216,9 @@ def described(no: int, what: Column, before: Column, left: Column, right: Column
 
 
 def around(m: Column) -> tuple[Column, Column, Column]:
-    """What stands before a match in `_text`, and the characters to its left and right."""
-    text = F.col("_text")
-    before = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
-    return before, F.when(m["start"] == 0, "").otherwise(F.substring(text, m["start"], F.lit(1))), F.substring(text, m["end"] + 1, F.lit(1))
+    """What stands before a match, and the characters to its left and right, from `_chunks`."""
+    part = lambda a, b: piece(F.col("_chunks"), F.greatest(a, F.lit(0)), b)
+    return part(m["start"] - 24, m["start"]), part(m["start"] - 1, m["start"]), part(m["end"], m["end"] + 1)
 
 
 def rewritten(what: Column, ways: tuple) -> list[Column]:
@@ -178,12 +247,10 @@ def marked(docs: DataFrame) -> tuple[DataFrame, str]:
     rows = once(rows, ["_row", "_text"], found | {f"_w_{k}": places(text, WIDE[k], wide[k]) for k in KINDS})
     span = lambda m, no: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end")).cast(SPAN)
     base = F.array_sort(F.concat(*[F.transform(f"_b_{k}", lambda m: span(m, no)) for no, k in enumerate(KINDS)]))
-
-    def clear(m: Column) -> Column:
-        return ~reduce(Column.__or__, [F.exists(f"_b_{k}", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) for k in KINDS])
+    rows = once(rows, ["_row", "_text", *[f"_{x}_{k}" for x in "bw" for k in KINDS]], {"base": base, "_chunks": F.when(reduce(Column.__or__, [F.size(f"_{x}_{k}") > 0 for x in "bw" for k in KINDS]), chunked(text))})
 
     def candidates(no: int, k: str) -> Column:
-        return F.transform(F.filter(f"_w_{k}", clear), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), described(no, m["what"], *around(m)).alias("f")))
+        return F.transform(clear(F.col(f"_w_{k}"), F.col("base")), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), described(no, m["what"], *around(m)).alias("f")))
 
     def examples(no: int, k: str) -> Column:
         """Labels 1 and 0 of a base span's disguises and spoilt forms, as far as the generator proposes them."""
@@ -196,9 +263,9 @@ def marked(docs: DataFrame) -> tuple[DataFrame, str]:
 
         return F.flatten(F.transform(f"_b_{k}", of))
 
-    each = [("base", base), ("wide", F.concat(*[candidates(i, k) for i, k in enumerate(KINDS)])), ("train", F.concat(*[examples(i, k) for i, k in enumerate(KINDS)]))]
+    each = [("wide", F.concat(*[candidates(i, k) for i, k in enumerate(KINDS)])), ("train", F.concat(*[examples(i, k) for i, k in enumerate(KINDS)]))]
     fold = F.pmod(F.xxhash64("_text"), F.lit(4)).alias("fold")
-    rows = once(rows, ["_row", fold], {n: c for n, c in each})
+    rows = once(rows, ["_row", fold, "base"], {n: c for n, c in each})
     return rows.select("_row.*", F.struct("fold", "base", "wide", "train").alias(marks)), marks
 
 
@@ -226,17 +293,19 @@ class Judge:
     def spans(self, marks: str) -> Column:
         """Base spans and the added ones, as an array of SPANs by start and kind."""
         base = F.col(marks)["base"]
-        scored = F.transform(F.col(marks)["wide"], lambda m: F.struct((-margin(self.model, m["f"])).alias("less"), m["start"].alias("start"), m["f"]["kind_no"].alias("kind_no"), m["end"].alias("end")))
         cuts = F.array(*[F.lit(-self.cuts.get(i, float("inf"))) for i in range(len(KINDS))])
+        scored = F.transform(F.col(marks)["wide"], lambda m: F.struct(m["start"].alias("start"), (-margin(self.model, m["f"])).alias("less"), m["f"]["kind_no"].alias("kind_no"), m["end"].alias("end")))
         good = F.array_sort(F.filter(scored, lambda m: m["less"] <= F.element_at(cuts, m["kind_no"] + 1)))
 
-        def take(acc: Column, m: Column) -> Column:
-            new = F.array(F.struct(m["start"].alias("start"), m["kind_no"].alias("kind_no"), m["end"].alias("end")).cast(SPAN))
-            meets = F.exists(acc, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))
-            return F.when(meets, acc).otherwise(F.concat(acc, new))
+        def best(found: Column) -> Column:
+            def beaten(m: Column, i: Column) -> Column:
+                rank = lambda x: F.struct(x["less"], x["start"], x["kind_no"])
+                near = F.slice(found, F.greatest(i - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR + 1))
+                return F.exists(near, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]) & (rank(x) < rank(m)))
+
+            return F.transform(F.filter(found, lambda m, i: ~beaten(m, i)), lambda m: F.struct(m["start"].alias("start"), m["kind_no"].alias("kind_no"), m["end"].alias("end")).cast(SPAN))
 
-        added = F.aggregate(good, F.array().cast(f"array<{SPAN}>"), take)
-        return F.when(F.size(good) == 0, base).otherwise(F.array_sort(F.concat(base, added)))
+        return F.when(F.size(F.col(marks)["wide"]) == 0, base).otherwise(F.array_sort(F.concat(base, let(good, best))))
 
 
 def judge(rows: DataFrame, marks: str, precision: float = PRECISION) -> Judge | None:
@@ -308,14 +377,13 @@ def redacted(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """
     rows, found = find(docs, precision), free_name(docs, "found")
     name = lambda no: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), no + 1)
-    kind = "struct<at:int,out:string>"
+    spans = F.col(found)["spans"]
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], between, name(s["kind_no"])).alias("out"))
-        ).cast(kind)
+    def replaced(x: Column) -> Column:
+        # what stands between a span and how far those before it reach, then the span's kind
+        since = F.concat(F.array(F.lit(0)), F.slice(x["reach"], 1, F.size(spans) - 1))
+        parts = F.zip_with(spans, since, lambda s, p: F.when(s["start"] < p, "").otherwise(F.concat(piece(x["chunks"], p, s["start"]), name(s["kind_no"]))))
+        return F.concat(F.array_join(parts, ""), piece(x["chunks"], F.element_at(x["reach"], -1), F.char_length("text")))
 
-    spans, start = F.col(found)["spans"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind)
-    text = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
+    text = let(F.struct(chunked(F.col("text")).alias("chunks"), prefixes(F.transform(spans, lambda s: s["end"]), most).alias("reach")), replaced)
     return rows.select(*[F.when(F.size(spans) == 0, F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
