@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import discard, saved, slices
 
 # fixed values: the patterns of the contract
 PATTERNS = {
@@ -119,7 +119,10 @@ def dictionary(docs: DataFrame, entries: int = ENTRIES, size: int = DICTIONARY)
 
     counted = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").mapInArrow(run, "word string, n long")
     widespread = counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "word").limit(entries)
-    words = [w.encode() for w, _ in widespread.collect()]  # `entries` rows at most
+    # written first: collected straight away, each partition would send its own most widespread words to the driver
+    widespread = saved(widespread, "identifiers")
+    words = [w.encode() for w, _ in sorted(widespread.collect(), key=lambda r: (-r.n, r.word))]  # `entries` rows at most
+    discard(widespread)
     if len(words) < LEAST:
         return b" ".join(reversed(words)).rjust(8)
     samples = [b" ".join(words[i :: len(words) // SAMPLE]) for i in range(len(words) // SAMPLE)]

@@ -230,7 +230,8 @@ def test_sharding_large_rows(spark, case):
     if case == "one long text":
         assert sizes[-1] >= largest and sizes[-2] - sizes[0] <= 68
     else:
-        assert sizes[-1] - sizes[0] <= largest
+        # of 1500 equal rows a few share one of the 1024 places
+        assert sizes[-1] - sizes[0] <= 5 * largest if case == "half repeats one row" else sizes[-1] - sizes[0] <= largest
 
 
 def test_sharding_restated_and_movement(spark, texts):
@@ -369,15 +370,75 @@ def test_quality(spark):
     assert np.mean(good) > 0.93 and np.mean([r.keep for r in both if r.quality == 1 and not r.toxic]) > 0.97
 
 
-def test_quality_held_out(spark):
-    """Fitted on two thirds of the labels, judged on the rest; pseudo-labels of all unlabelled documents move in both directions."""
+def test_quality_held_out(spark, monkeypatch):
+    """Fitted on two thirds of the labels, judged on the rest. Both views hand labels over; the metadata view gains by it."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
-    model = quality.trained(docs, labels.filter(~part))
-    both = quality.scored(docs, model).join(labels.filter(part), "doc_id").collect()
+    loss, right = {}, {}
+    for rounds in (1, quality.ROUNDS):
+        monkeypatch.setattr(quality, "ROUNDS", rounds)
+        model = quality.trained(docs, labels.filter(~part))
+        both = quality.scored(docs, model).join(labels.filter(part), "doc_id").collect()
+        y = np.array([r.quality == 1 and not r.toxic for r in both])
+        for c in ("text_score", "meta_score", "score"):
+            p = np.clip([r[c] for r in both], 1e-6, 1 - 1e-6)
+            loss[rounds, c], right[rounds, c] = -np.log(np.where(y, p, 1 - p)).mean(), ((p > 0.5) == y).mean()
     kept = lambda f: np.mean([r.keep for r in both if f(r)])
     assert kept(lambda r: r.quality == 1 and not r.toxic) > 0.97 and kept(lambda r: r.quality == 0) < 0.1 and kept(lambda r: r.quality == 1 and r.toxic) < 0.1
-    assert any(v == 0 and total > 500 and used > 200 for _, v, total, used in model.exchanged)
+    assert {v for _, v, total, used in model.exchanged if used} == {0, 1} and any(v == 0 and used > 2000 for _, v, _, used in model.exchanged)
+    assert loss[3, "meta_score"] < loss[1, "meta_score"] - 0.02
+    # the text view, nearly always right by itself, neither gains nor loses
+    assert right[3, "text_score"] >= right[1, "text_score"] - 0.003 and right[3, "score"] >= right[1, "score"] - 0.003
+
+
+def test_quality_samples(spark):
+    """A sample has its size at any number of rows, and equal descriptions are one row for the driver."""
+    rate = spark.range(2_000_000).filter(quality.sampled(10**7, 2 * 10**10, 5, "id")).count()
+    assert 850 < rate < 1150 and (1000 << 63) // (2 * 10**10) > 0
+    assert spark.range(50).filter(quality.sampled(1000, 50, 5, "id")).count() == 50
+    hot = spark.range(100_000).selectExpr("array(0.5D, 1D) as numbers", "array(1S) as words", "1S as source", "2S as lang", "1 as label")
+    cold = spark.range(30).selectExpr("array(0.5D, cast(id as double) + 2) as numbers", "array(1S) as words", "1S as source", "2S as lang", "0 as label")
+    n, rows = quality.handed(hot.union(cold), 1000, 3)
+    assert n == 100_030 and len(rows) == 31 and sorted(r[4] for r in rows) == [1] * 30 + [100_000]
+
+
+def test_quality_restated(spark, texts):
+    """Regressions are at their optimum; cuts, exchanged labels and scores equal plain restatements on a small table."""
+    rng = np.random.default_rng(6)
+    x, y, w = rng.normal(0, 2, (200, 5)), rng.integers(0, 2, 200).astype(float), rng.uniform(0.2, 2, 200)
+    m = quality.Logistic(x, y, w)
+    z = np.hstack([(x - x.mean(0)) / x.std(0), np.ones((200, 1))])
+    assert np.abs(z.T @ (w * (y - 1 / (1 + np.exp(-z @ m.beta)))) - np.array([1.0] * 5 + [1e-6]) * m.beta).max() < 1e-2
+    odds, good = np.round(rng.normal(0, 3, 300), 1), rng.integers(0, 2, 300)
+    odds[good == 1] += 5
+    found = []
+    for sign in (-1, 1):
+        best = sign * np.inf
+        for cut in sorted({o for o in odds if sign * o > 0}, key=lambda o: -sign * o):
+            own = [g == (sign > 0) for o, g in zip(odds, good) if sign * o >= sign * cut]
+            p, n = np.mean(own), len(own)
+            if (p + 0.5 / n - math.sqrt(p * (1 - p) / n + 0.25 / n**2)) / (1 + 1 / n) >= quality.RIGHT:
+                best = cut
+        found.append(best)
+    assert quality.confident(odds, good) == pytest.approx(tuple(found)) and np.isfinite(found).any()
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.trained(docs, labels, pseudo=10**9)
+    vocabulary = list(model.vocabulary)
+    rows = {r.doc_id: quality.described((r.text or "").encode(), r.lang, r.source, r.n_chars, model.vocabulary) for r in docs.collect()}
+    known = {r.doc_id: int(r.quality == 1 and r.toxic == 0) for r in labels.collect()}
+    fold = {r.doc_id: r.h for r in labels.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) >= 8).alias("h")).collect()}
+    ids = sorted(known)
+    open_ = collections.Counter(tuple(map(repr, r)) for i, r in rows.items() if i not in known)
+    of = {tuple(map(repr, r)): r for r in rows.values()}
+
+    def ask(m, v):
+        sure = [k for k in open_ if m.sure([of[k]], v)[0] >= 0]
+        return sum(open_[k] for k in sure), sorted((*of[k], open_[k]) for k in sure)
+
+    plain = quality.CoTrained(vocabulary).fit([rows[i] for i in ids], np.array([fold[i] for i in ids]), np.array([known[i] for i in ids]), ask)
+    assert plain.exchanged == model.exchanged and plain.exchanged
+    scores = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    assert [scores[i] for i in rows] == pytest.approx(list(plain.judged(list(rows.values()))[2]), abs=1e-6)
 
 
 def test_quality_pseudo_labels_teach_the_other_view():
@@ -394,7 +455,7 @@ def test_quality_pseudo_labels_teach_the_other_view():
 
     def ask(model, v):
         found = model.sure(open_, v)
-        return int((found >= 0).sum()), [r for r, s in zip(open_, found) if s >= 0]
+        return int((found >= 0).sum()), [(*r, 1) for r, s in zip(open_, found) if s >= 0]
 
     taught = quality.CoTrained([]).fit(few, held, y, ask)
     alone = quality.CoTrained([]).fit(few, held, y, lambda model, v: (0, []))
