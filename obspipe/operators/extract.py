@@ -18,7 +18,7 @@ from .html import select_text
 LANDED = ["evidence_id", "source_url", "fetched_at"]
 
 
-def _shape(df: DataFrame, version: str, source: str, fields: dict[str, Column], error: Column) -> DataFrame:
+def shaped(df: DataFrame, version: str, source: str, fields: dict[str, Column], error: Column) -> DataFrame:
     """Observation columns plus error_code; a row with a code is a failure."""
     cols = {f: F.lit(None).cast("string") for f in RAW_FIELDS}
     cols |= {"categories_raw": F.array().cast("array<string>"), "variants_raw": F.array().cast(VARIANTS_RAW)} | fields
@@ -38,7 +38,7 @@ def extract_books(evidence: DataFrame) -> DataFrame:
     }
     rows = evidence.withColumn("found", select_text(F.col("body"), rules))
     fields = {"title_raw": _one("title"), "price_raw": _one("price"), "availability_raw": _one("stock"), "category_raw": _one("category")}
-    return _shape(rows, "books-to-scrape-v1", "books_to_scrape", fields, F.when(F.col("found.main").isNull(), "PRODUCT_MAIN_NOT_FOUND"))
+    return shaped(rows, "books-to-scrape-v1", "books_to_scrape", fields, F.when(F.col("found.main").isNull(), "PRODUCT_MAIN_NOT_FOUND"))
 
 
 def extract_woo(evidence: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def extract_woo(evidence: DataFrame) -> DataFrame:
         "title_raw": _one("title"), "price_raw": _one("price"), "availability_raw": _one("stock"), "sku_raw": _one("sku"),
         "categories_raw": F.coalesce(F.col("found.tags"), F.array().cast("array<string>")),
     }
-    return _shape(rows, "scrapeme-live-v2", "scrapeme_live", fields, F.when(F.col("found.main").isNull(), "PRODUCT_SUMMARY_NOT_FOUND"))
+    return shaped(rows, "scrapeme-live-v2", "scrapeme_live", fields, F.when(F.col("found.main").isNull(), "PRODUCT_SUMMARY_NOT_FOUND"))
 
 
 def _kind(v: Column) -> Column:
@@ -107,7 +107,7 @@ def extract_catalog_json(evidence: DataFrame) -> DataFrame:
         "title_raw": _string(v, "title"), "price_raw": _number(v, "price"), "availability_raw": _flag(v, "in_stock"),
         "category_raw": _string(v, "category"), "currency_raw": _string(v, "currency"), "source_record_id_raw": _string(v, "id"),
     }
-    return _shape(rows, "scrapify-js-json-v1", "scrapify_js", fields, F.col("error"))
+    return shaped(rows, "scrapify-js-json-v1", "scrapify_js", fields, F.col("error"))
 
 
 def extract_embedded_json(evidence: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def extract_embedded_json(evidence: DataFrame) -> DataFrame:
         "categories_raw": F.when(F.coalesce(category, F.lit("")) != "", F.array(category)).otherwise(none),
         "variants_raw": F.when(error.isNull(), F.transform("items", variant)).cast(VARIANTS_RAW),
     }
-    return _shape(rows, "scraping-sandbox-json-v1", "scraping_sandbox", fields, error)
+    return shaped(rows, "scraping-sandbox-json-v1", "scraping_sandbox", fields, error)
 
 
 #: Extractors by version; new behaviour is a new version. Each takes evidence and returns observation columns and error_code.

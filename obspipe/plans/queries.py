@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, url_host
 from ..operators import runs, state
-from ..operators.extract import extract, extraction_failures, observations
+from ..operators.extract import extract, extraction_failures, observations, shaped
 from ..operators.html import select_text
 from ..operators.normalize import normalize
 from ..operators.validate import validate
+from ..operators.versions import extract_memo, version_differences
 from ..schemas import VARIANTS
 from ..session import new_folder
 from ..sources.evidence import capture_evidence, read_evidence
@@ -288,13 +289,53 @@ def streamed_outputs(spark, d):
     return each[0].unionByName(each[1]).unionByName(each[2]).select("kind", "source", "n")
 
 
+def decoded_pages(spark, d):
+    """Pages landed as bytes in four charsets, told by content type, byte order mark, <meta> or nothing; one has a bad byte."""
+    i, plain = F.col("page_id") % 4, F.regexp_replace("html", "[^\\x00-\\x7F]", "?")
+    hexed = lambda x: F.unhex(F.lit(x))
+    body = (
+        F.when(i == 0, F.concat(hexed("EFBBBF"), F.encode("html", "UTF-8")))
+        .when(i == 1, F.concat(F.encode(plain, "ISO-8859-1"), hexed("E9A380")))
+        .when(i == 2, F.concat(F.encode(F.concat(F.lit('<meta charset="windows-1252">'), plain), "ISO-8859-1"), hexed("80E9")))
+        .otherwise(F.when(F.col("page_id") % 8 == 3, F.encode("html", "UTF-16LE")).otherwise(F.concat(F.encode("html", "UTF-8"), hexed("FF41"))))
+    )
+    kind = F.when(i == 1, "text/html; charset=ISO-8859-1").when(F.col("page_id") % 8 == 3, "text/html;charset='utf-16le'").otherwise("text/html")
+    pages = _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("evidence_id"), F.col("url").alias("source_url"), F.lit(200).alias("status_code"), kind.alias("content_type"), body.alias("body"))
+    return capture_evidence(pages).select("evidence_id", "body_hash", F.char_length("body").cast("long").alias("n_chars"))
+
+
+def extraction_memo(spark, d):
+    """Pages of three shapes read twice with a memo: rows by source, and bodies parsed the first and the second time."""
+    part, folder = _t(spark, d, "part"), new_folder(spark, "memo")
+    pages = render.books(part).unionByName(render.woo(part)).unionByName(render.embedded(part))
+    _, first = extract_memo(pages, folder)
+    found, second = extract_memo(pages, folder)
+    return found.groupBy("source").agg(F.count("*").alias("n"), F.count("error_code").alias("failed"), F.count("canonical_product_url_raw").alias("addressed")).withColumns({"parsed": F.lit(first).cast("long"), "parsed_again": F.lit(second).cast("long")})
+
+
+def _books_v2(evidence):
+    """A changed rule: availability is told by any class, and pages of another layout are read as well."""
+    main = ["div.product_main", "div.other"]
+    rules = {"main": {"of": main}, "title": {"of": main, "select": ["h1"]}, "price": {"of": main, "select": ["p.price_color"]},
+             "stock": {"of": main, "select": ["p.availability"]}, "category": {"of": ["ul.breadcrumb"], "select": ["a"], "pick": "last"}}
+    rows = evidence.withColumn("found", select_text(F.col("body"), rules))
+    fields = {f: F.get(F.col("found")[k], F.lit(0)) for f, k in (("title_raw", "title"), ("price_raw", "price"), ("availability_raw", "stock"), ("category_raw", "category"))}
+    return shaped(rows, "books-to-scrape-v2", "books_to_scrape", fields, F.when(F.col("found.main").isNull(), "PRODUCT_MAIN_NOT_FOUND"))
+
+
+def version_changes(spark, d):
+    """Fields that a changed extractor reads otherwise, page by page."""
+    pages = render.books(_t(spark, d, "part"))
+    return version_differences(extract(pages), _books_v2(pages)).select("evidence_id", F.col("position").cast("long").alias("position"), "field", "old_value", "new_value")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_capture, canonical_urls, route_sources, html_select, books_extract, woo_extract, catalog_explode, embedded_variants, all_failures,
         extractor_registry, normalized_rows, validation_errors, error_histogram, accepted_pages, state_decisions, current_state, state_history, disappearances,
         state_changes, validation_direct, accepted_identity, transition_results, streamed_decisions, streamed_outputs,
-        run_absences, run_decisions, streamed_runs, streamed_changes, state_audit, merged_current, state_as_of,
+        decoded_pages, extraction_memo, version_changes, run_absences, run_decisions, streamed_runs, streamed_changes, state_audit, merged_current, state_as_of,
     )
 }
 
@@ -421,3 +462,20 @@ ORACLE_SQL |= {
         from asked left join changes c on c.identity_key = asked.identity_key and epoch_us(c.ts) <= moment)
       select identity_key, i, state_hash, present, from_us from met where n = 1""",
 }
+
+_STOCK = "'In stock (' || p_size || ' available)'"
+ORACLE_SQL |= {
+    "decoded_pages": """with plain as (select *, regexp_replace(html, '[^\x00-\x7F]', '?', 'g') as p from pages),
+      told as (select page_id, case page_id % 4 when 0 then html when 1 then p || 'é£' || chr(128) when 2 then '<meta charset="windows-1252">' || p || '€é'
+        else case when page_id % 8 = 3 then html else html || chr(65533) || 'A' end end as body from plain)
+      select cast(page_id as varchar) as evidence_id, sha256(body) as body_hash, cast(length(body) as bigint) as n_chars from told""",
+    "extraction_memo": """with pages as (select 'books_to_scrape' as source, p_partkey % 11 = 0 as failed, false as addressed from part union all select 'scrapeme_live', p_partkey % 13 = 0, false from part
+        union all select 'scraping_sandbox', p_partkey % 10 in (0, 1), true from part)
+      select source, count(*) as n, count(*) filter (failed) as failed, count(*) filter (addressed) as addressed, 2 * (select count(*) from part) + (select count(*) from (select distinct p_brand, p_name, p_size, p_retailprice, p_partkey % 11 = 0, p_partkey % 5 = 0 from part)) as parsed, cast(0 as bigint) as parsed_again from pages group by source""",
+    "version_changes": f"""with p as (select *, 'books_to_scrape-' || {_K} as e from part)
+      select e as evidence_id, cast(1 as bigint) as position, 'availability_raw' as field, null as old_value, {_STOCK} as new_value from p where p_partkey % 11 = 0 or p_partkey % 5 = 0
+      union all select e, 1, 'error_code', 'PRODUCT_MAIN_NOT_FOUND', null from p where p_partkey % 11 = 0
+      union all select e, 1, 'title_raw', null, p_name from p where p_partkey % 11 = 0
+      union all select e, 1, 'price_raw', null, '£ ' || {_P} from p where p_partkey % 11 = 0
+      union all select e, 1, 'category_raw', null, p_brand from p where p_partkey % 11 = 0""",
+}

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 LOCAL = "obspipe.local.dir"
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Of a repeated JSON key the last value counts, as JSON readers commonly have it. Extraction calls this by itself."""
+    """Of a repeated JSON key the last value counts, as JSON readers commonly have it, and bytes that a charset doesn't
+    have are replaced. Extraction and capture call this by themselves."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
     return spark
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EVIDENCE
+from ..session import once, prepared
+from .charset import decoded
 
 
 def body_hash(body: Column) -> Column:
@@ -17,13 +19,18 @@ def capture_evidence(responses: DataFrame) -> DataFrame:
     """One evidence row per landed response, whatever its status.
 
     responses: source_url, status_code, body, and optionally evidence_id, fetched_at, content_type and, for
-    binary bodies, charset. A missing id is a digest of the row's other values, so that recomputed stages agree.
+    binary bodies, charset, which goes before that of the content type (`sources.charset` has the order and what happens to
+    bad bytes). A missing id is a digest of the row's other values, so that recomputed stages agree.
     """
     have = set(responses.columns)
     get = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
     body = F.col("body")
     if dict(responses.dtypes)["body"] == "binary":
-        body = F.decode(body, "UTF-8") if "charset" not in have else F.when(F.upper("charset") == "ISO-8859-1", F.decode(body, "ISO-8859-1")).otherwise(F.decode(body, "UTF-8"))
+        prepared(responses.sparkSession)
+        declared = F.coalesce(F.concat(F.lit("charset="), F.nullif(get("charset", "string"), F.lit(""))), get("content_type", "string"))
+        # decoded once: the text and both digests read the finished column
+        rest = [c for c in responses.columns if c != "body"]
+        responses = once(responses, rest, {"body": decoded(body, declared)})
     at = F.coalesce(get("fetched_at", "timestamp"), F.current_timestamp())
     digest = F.sha2(F.concat_ws("|", F.col("source_url"), get("fetched_at", "timestamp").cast("string"), body_hash(body)), 256)
     return responses.select(
