@@ -2,9 +2,10 @@
 
 A-Z are lower-cased; words are runs of characters that are neither ASCII controls, space nor ASCII
 punctuation. The windows of an item are its runs of `n` words, or the whole item if it has fewer. They
-are hashed and broadcast while they are at most BROADCAST rows (a shuffle join beyond that); every
-document window of a needed length looks itself up, and a hit is verified word by word. Only SQL
-functions are used.
+are hashed and broadcast while they and the items that have them are at most BROADCAST; every document window of a
+needed length looks itself up, and a hit is verified word by word. Beyond that, documents are written with a number,
+windows travel as four numbers each, what they meet is verified by a second join to the few documents concerned, and
+items are joined to windows only once these are found. Only SQL functions are used.
 
 Null texts have no words; an item without words has no windows. Repeated rows are judged each for
 itself, repeated item ids count once, null item ids are ignored. Very long texts are one row of arrays. Columns of
@@ -35,16 +36,41 @@ def windows(w: str, k: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, n: int) -> DataFrame:
-    """(wh, wk, gram, items): each different window of the benchmark and the ids that have it."""
+    """(item, gram): the windows of each item."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter("size(w) > 0")
     k = F.least(F.size("w"), F.lit(n))
-    gram = F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.slice("w", i + 1, k)))
-    return (
-        w.select("item", gram.alias("gram"))
-        .groupBy("gram")
-        .agg(F.collect_set("item").alias("items"))
-        .select(F.xxhash64("gram").alias("wh"), F.size("gram").alias("wk"), "gram", "items")
-    )
+    return w.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.slice("w", i + 1, k))).alias("gram")).distinct()
+
+
+def _looked_up(doc: DataFrame, each: DataFrame, lengths: list[int]) -> DataFrame:
+    """Windows found by a broadcast table: uid, doc_id, size (of a row that stands for the document), pos, end, items."""
+    grams = each.groupBy("gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("wh"), F.size("gram").alias("wk"), "gram", "items")
+    doc = doc.withColumn("uid", F.monotonically_increasing_id())
+    # the last struct, without a hash, stands for the document itself
+    own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("h")))
+    rows = doc.select("uid", "doc_id", "w", F.inline(F.concat(*[windows("w", k) for k in lengths], own)))
+    met = rows.join(F.broadcast(grams), (F.col("h") == F.col("wh")) & (F.col("k") == F.col("wk")), "left")
+    met = met.filter("h is null or (wh is not null and slice(w, pos + 1, k) = gram)")
+    return met.select("uid", "doc_id", F.when(F.col("h").isNull(), F.size("w")).alias("size"), "pos", (F.col("pos") + F.col("k")).alias("end"), "items")
+
+
+def _joined(doc: DataFrame, each: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same by shuffles of narrow rows, items one a row."""
+    grams, g = numbered(each.select("gram", F.xxhash64("gram").alias("h"), F.size("gram").alias("k")).distinct(), "grams")
+    having = each.join(grams.select("gram", F.col(g).alias("g")), "gram").select("g", F.array_compact(F.array("item")).alias("items"))
+    rows, _ = numbered(doc, "texts")
+    found = rows.select("uid", F.inline(F.concat(*[windows("w", k) for k in lengths]))).join(grams.select("h", "k", F.col(g).alias("g")), ["h", "k"]).select("uid", "pos", "k", "g")
+    found = saved(found, "found")
+    texts = rows.join(found.select("uid").distinct(), "uid", "left_semi").select("uid", "doc_id", "w")
+    right = found.join(texts, "uid").join(grams.select(F.col(g).alias("g"), "gram"), "g").filter("slice(w, pos + 1, k) = gram")
+    right = saved(right.select("uid", "doc_id", "pos", "k", "g"), "verified")
+    spans = right.select("uid", "doc_id", F.lit(None).cast("int").alias("size"), "pos", (F.col("pos") + F.col("k")).alias("end"), F.lit(None).cast("array<string>").alias("items"))
+    # an item once for each document
+    told = right.select("uid", "doc_id", "g").distinct().join(having, "g").select("uid", "doc_id", "items").distinct()
+    none = F.lit(None).cast("int")
+    told = told.select("uid", "doc_id", none.alias("size"), none.alias("pos"), none.alias("end"), "items")
+    own = rows.select("uid", "doc_id", F.size("w").alias("size"), none.alias("pos"), none.alias("end"), F.lit(None).cast("array<string>").alias("items"))
+    return spans.union(told).union(own)
 
 
 def hits(docs: DataFrame, items: DataFrame, n: int = 13, ident: Column | None = None) -> DataFrame:
@@ -52,19 +78,12 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 13, ident: Column | None =
 
     ident: what stands in the column doc_id instead of the document's own.
     """
-    grams = benchmark_windows(items, n)
-    lengths = sorted(r[0] for r in grams.select("wk").distinct().collect())  # at most n numbers
+    each = saved(benchmark_windows(items, n), "windows")
+    lengths = sorted(r[0] for r in each.select(F.size("gram")).distinct().collect())  # at most n numbers
     # what would be broadcast: windows, and the items that have them
-    size = grams.agg(F.coalesce(F.sum(1 + F.size("items")), F.lit(0))).first()[0]
-    side = F.broadcast(grams) if size <= BROADCAST else grams
+    small = each.count() + each.select("gram").distinct().count() <= BROADCAST
     doc = docs.select((F.col("doc_id").cast("long") if ident is None else ident).alias("doc_id"), words(F.col("text")).alias("w"))
-    doc = doc.withColumn("uid", F.monotonically_increasing_id())
-    # the last struct, without a hash, stands for the document itself
-    own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("h")))
-    rows = doc.select("uid", "doc_id", "w", F.inline(F.concat(*[windows("w", k) for k in lengths], own)))
-    met = rows.join(side, (F.col("h") == F.col("wh")) & (F.col("k") == F.col("wk")), "left")
-    met = met.filter("h is null or (wh is not null and slice(w, pos + 1, k) = gram)")
-    met = met.select("uid", "doc_id", F.when(F.col("h").isNull(), F.size("w")).alias("size"), "pos", (F.col("pos") + F.col("k")).alias("end"), "items")
+    met = _looked_up(doc, each, lengths) if small or not lengths else _joined(doc, each, lengths)
     before = Window.partitionBy("uid").orderBy(F.col("pos").asc_nulls_first(), "end")
     reached = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     met = met.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest("pos", reached)))

@@ -8,6 +8,7 @@ import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from obspipe.llm import decontaminate, packing, queries, simhash, similar, token_counts
 
@@ -153,14 +154,18 @@ def test_best_fit_takes_the_tightest():
     assert n == 2 and list(number) == [0, 1, 0, 1, 1] and list(offset) == [0, 0, 6, 5, 8]
 
 
-def test_decontamination_whole_table(spark, texts):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST, 0])
+def test_decontamination_whole_table(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST", most)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     want = sorted(brute.contamination(texts, items))
     got = sorted(tuple(r) for r in queries.op5_decontamination(spark, SF).collect())
     assert got == want and any(r[-1] for r in got)
 
 
-def test_decontamination_short_items(spark):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST, 0])
+def test_decontamination_short_items(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST", most)
     docs = [(1, "A b-c, d e"), (2, "x " * 40 + "y"), (3, None), (4, ""), (5, "q r s"), (6, "É é D E")]
     items = [(1, "b c"), (2, "B C D"), (3, None), (4, "..."), (5, "x " * 13 + "y"), (1, "d"), (None, "s")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
@@ -172,6 +177,16 @@ def test_decontamination_short_items(spark):
     assert texts[1] == "A e" and texts[2] == "" and texts[3] is None
 
 
+def test_decontamination_equal_rows_and_common_windows(spark, monkeypatch):
+    """Beyond the broadcast bound, 20,000 equal rows and a window that stands in every item."""
+    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
+    common = " ".join(f"w{i}" for i in range(13))
+    docs = spark.range(20_000).selectExpr("1L as doc_id", f"'a b {common} c' as text").union(spark.createDataFrame([(2, "none of it")], "doc_id long, text string"))
+    items = spark.range(300).selectExpr("id as item_id", f"concat('{common} x', id) as text")
+    got = decontaminate.judged(docs, items).groupBy("doc_id", "n_words", "n_hit", F.size("items").alias("n_items")).count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 16, 13, 300, 20_000), (2, 3, 0, 0, 1)]
+
+
 def test_odd_rows(spark, odd, none):
     ids = sorted(odd.select("doc_id").collect(), key=str)
     model = queries.tokenizer("piece_bpe_32k.model")
