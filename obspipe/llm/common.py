@@ -111,14 +111,27 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return there[key]
 
 
-def slices(batches: Iterator, rows: int = 500) -> Iterator:
-    """Arrow batches in slices of so many rows at most, so that a worker holds the Python objects of few rows at a time.
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool, and what the C library keeps of freed objects where it can tell.
 
-    At the end the worker, which waits for its next task, gives back what Arrow holds for later.
+    A worker waits for its next task with all that a task before had needed, which counts against its executor.
     """
+    import ctypes
+
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in slices of so many rows at most, so that a worker holds the Python objects of few rows at a time.
+
+    At the end the worker, which waits for its next task, gives its memory back.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
