@@ -37,7 +37,7 @@ class RunDecisions(StatefulProcessor):
         held, changed, whole, out = {}, set(), False, []
         for r in batch.itertuples():
             if r.ends:
-                if not (r.complete is True or r.complete == True):  # noqa: E712  numpy's booleans too
+                if pd.isna(r.complete) or not r.complete:
                     continue
                 if not whole:
                     # keys touched in this batch are newer than what the map holds
