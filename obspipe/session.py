@@ -49,6 +49,15 @@ def once(df: DataFrame, keep: list[str | Column], cols: dict[str, Column]) -> Da
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def spread(df: DataFrame, per_task: int = 5000) -> DataFrame:
+    """df in parts of about `per_task` rows, dealt by all its columns.
+
+    For tables of small rows from which much work follows, as page parsing: Spark reads files in parts of some
+    megabytes, which may be millions of rows.
+    """
+    return df.repartition(max(1, -(-df.count() // per_task)), *df.columns)
+
+
 def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
