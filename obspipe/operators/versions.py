@@ -13,8 +13,6 @@ from .extract import EXTRACTORS, LANDED
 
 #: Stands for a page's own address in the memo; extractors may give it out as a field.
 ADDRESS = "\x00address"
-#: Hashes that are broadcast at most.
-BROADCAST = 1_000_000
 PARSED = [*RAW_FIELDS, "categories_raw", "variants_raw", "error_code"]
 
 
@@ -39,13 +37,14 @@ def extract_memo(evidence: DataFrame, path: str, versions: list[str] | None = No
         wanted, place = evidence.filter(F.col("source") == source), f"{path}/extractor={version}"
         new = wanted.select("body_hash").distinct()
         if exists(spark, place):
-            new = new.join(spark.read.parquet(place).select("body_hash"), "body_hash", "left_anti")
+            new = new.join(spark.read.parquet(place).select("body_hash").hint("merge"), "body_hash", "left_anti")
         hashes = new_folder(spark, "hashes")
         new.write.parquet(hashes)
         new = spark.read.schema("body_hash string").parquet(hashes)
         count = new.count()
         if count:
-            met = wanted.join(F.broadcast(new) if count <= BROADCAST else new, "body_hash", "left_semi")
+            # hashes and memo grow with the pages: they are never sent to the driver, which a broadcast would do
+            met = wanted.join(new.hint("merge"), "body_hash", "left_semi")
             # a page stands for all that have its body; its hash travels as the id
             once = met.select("body_hash", "body").dropDuplicates(["body_hash"])
             landed = {"evidence_id": F.col("body_hash"), "source_url": F.lit(ADDRESS), "fetched_at": F.lit(None).cast("timestamp")}
@@ -55,7 +54,7 @@ def extract_memo(evidence: DataFrame, path: str, versions: list[str] | None = No
         if not exists(spark, place):
             continue
         memo = spark.read.parquet(place).withColumn("extractor_version", F.lit(version))
-        out.append(wanted.select(*LANDED, "source", "body_hash").join(memo, "body_hash"))
+        out.append(wanted.select(*LANDED, "source", "body_hash").join(memo.hint("merge"), "body_hash"))
     columns = ["evidence_id", "extractor_version", "source", "source_url", "observed_at", *PARSED]
     if not out:
         return next(iter(EXTRACTORS.values()))[1](evidence.filter("false")).select(*columns), parsed
