@@ -8,8 +8,6 @@ its shuffle, and its links are joined in SALTS shares.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from itertools import count
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -57,31 +55,26 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     )
 
 
-def verified_groups(nodes: DataFrame, propose: Callable[[DataFrame, int], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def verified_groups(nodes: DataFrame, propose: Callable[[DataFrame, bool], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, root) of all nodes with a verified link; None if there are none.
 
-    nodes: node, in one row or several, and what `propose` needs. propose(nodes with root, turn) gives pairs (a, b) of
-    nodes of different roots, a number that grows with the nodes and not with its square; check(pairs) gives
-    (a, b, ok). A refuted pair may stand for another that wasn't proposed: the groups with refuted members propose
-    again, as long as a turn brings a new link. What `propose` never puts forward stays unknown; that is measured where
-    this is used.
+    nodes: node, in one row or several, and what `propose` needs. propose(nodes with root, whole) gives pairs (a, b) of
+    nodes of different roots: a few for each node at first, which merge most of what belongs together, then (whole)
+    every one that can be a link. check(pairs) gives (a, b, ok). So each possible link either is checked or lies in one
+    group anyway, and none is lost.
     """
-    asking, refuted, good, found = nodes.withColumn("root", F.col("node")), None, [], None
-    for turn in count():
-        pairs = propose(asking, turn)
+    links, found, refuted = None, None, None
+    for whole in (False, True):
+        rooted = nodes.withColumn("root", F.col("node"))
+        if found is not None:
+            rooted = saved(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        pairs = propose(rooted, whole)
         pairs = pairs if refuted is None else pairs.join(refuted, ["a", "b"], "left_anti")
         checked = saved(check(saved(pairs, "pairs")), "checked")
-        new, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
-        refuted = bad if refuted is None else refuted.union(bad)
-        if new.isEmpty():
-            break
-        good.append(new)
-        found = saved(components(reduce(DataFrame.union, good)), "groups")
-        if refuted.isEmpty():
-            break
-        rooted = saved(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        ends = refuted.select(F.col("a").alias("node")).union(refuted.select("b")).distinct()
-        asking = rooted.join(rooted.join(ends, "node", "left_semi").select("root").distinct(), "root", "left_semi")
+        new, refuted = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            found = saved(components(links), "groups")
     return found
 
 

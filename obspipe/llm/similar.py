@@ -8,13 +8,12 @@ In each block, a choice of 15 bits and `more` others, the anchors are the words
 bits, times all values of the others. A fingerprint goes to every anchor within the covering radius of 1 plus the
 block's threshold, which is 0 here: to one. The number of further bits keeps about CROWD fingerprints at an anchor,
 whatever the number of documents, and the number of blocks brings pairs of the wanted similarity together with
-probability RECALL. At an anchor each fingerprint proposes the first MATCHES of the others that differ from it by at
-most `most_bits`, so proposals grow with the number of fingerprints and not with its square. An anchor of more than
+probability RECALL. At an anchor each fingerprint first proposes MATCHES of the others that differ from it by at
+most `most_bits`; these links merge most of what belongs together. Then all such pairs of fingerprints that aren't in
+one group yet are proposed, so no link between documents that meet is lost. An anchor of more than
 SHARE fingerprints is split into shares, each of which sees all of the anchor as a stream.
 
-Proposed pairs are joined with the shingle sets, and only pairs of the exact Jaccard similarity are links. As a
-refuted proposal may stand for another that wasn't made, the groups with refuted members propose again, to members
-of other groups only, in another order and to more of them.
+Proposed pairs are joined with the shingle sets, and only pairs of the exact Jaccard similarity are links.
 """
 
 from __future__ import annotations
@@ -37,8 +36,10 @@ CODE = 15
 RECALL = 0.98
 #: Fingerprints of an anchor on average, and of a share of an anchor at most, about.
 CROWD, SHARE = 128, 20_000
-#: Pairs that a fingerprint proposes at an anchor in the first round and in later ones.
-MATCHES = (2, 8)
+#: Pairs that a fingerprint proposes at an anchor before all others are proposed.
+MATCHES = 2
+#: Pairs that leave a task together, about.
+TOGETHER = 1 << 17
 #: Pairs compared at once.
 CHUNK = 1 << 20
 #: Rows that are broadcast at most.
@@ -133,17 +134,18 @@ def anchors(fps: np.ndarray, blocks: int, more: int) -> np.ndarray:
     return out
 
 
-def proposals(node: np.ndarray, root: np.ndarray, fp: np.ndarray, residents: int, among: bool, most: int, matches: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group's rows: the first `matches` of the residents of another root that are near a row.
+def proposals(node: np.ndarray, root: np.ndarray, fp: np.ndarray, residents: int, among: bool, most: int, matches: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group's rows, in pieces: the first `matches` of the residents of another root that are near a row, or all (None).
 
-    The residents are the first rows of the group; they stand in the order of the nodes, or in another one for each
-    later turn. `among`: the residents themselves propose, each to those before it; otherwise the other rows do.
+    The residents are the first rows of the group; they stand in the order of the nodes. `among`: the residents
+    themselves propose, each to those before it; otherwise the other rows do.
     """
-    key = mixed(node[:residents].view(np.uint64) + np.uint64(turn)) if turn else node[:residents]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(node[:residents], kind="stable")
     own, own_root, own_fp = node[:residents][order], root[:residents][order], fp[:residents][order]
     asking = order if among else np.arange(residents, len(node))
-    out_a, out_b, step = [], [], max(1, CHUNK // max(1, residents))
+    if len(asking) and (root == root[0]).all():
+        return
+    step = max(1, CHUNK // max(1, residents))
     for at in range(0, len(asking), step):
         who = asking[at : at + step]
         before = own_fp[: at + step] if among else own_fp
@@ -153,17 +155,17 @@ def proposals(node: np.ndarray, root: np.ndarray, fp: np.ndarray, residents: int
         x, y = np.nonzero(near <= most)
         good = (root[who[x]] != own_root[y]) & (y < at + x if among else True)
         x, y = x[good], y[good]
-        first = np.arange(len(x)) - np.searchsorted(x, x) < matches
-        out_a.append(node[who[x[first]]])
-        out_b.append(own[y[first]])
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (out_a, out_b))
-    return np.minimum(a, b), np.maximum(a, b)
+        if matches:
+            first = np.arange(len(x)) - np.searchsorted(x, x) < matches
+            x, y = x[first], y[first]
+        a, b = node[who[x]], own[y]
+        yield np.minimum(a, b), np.maximum(a, b)
 
 
-def proposed(nodes: DataFrame, blocks: int, more: int, most: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots that are near each other at an anchor; nodes: node, root, fingerprint."""
+def proposed(nodes: DataFrame, blocks: int, more: int, most: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that are near each other at an anchor, a few for each or (whole) all; nodes: node, root, fingerprint."""
     names = ["anchor", "share", "side", "node", "root", *PRINT]
-    matches = MATCHES[turn > 0]
+    matches = None if whole else MATCHES
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,20 +177,27 @@ def proposed(nodes: DataFrame, blocks: int, more: int, most: int, turn: int) ->
                 yield pa.RecordBatch.from_arrays([at, *(part.column(c).take(rows) for c in ("node", "root", *PRINT))], names=["anchor", "node", "root", *PRINT])
         give_back()
 
-    def compared(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def batch_of(found: list) -> pa.RecordBatch:
+        one, other = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *found))
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], names=["a", "b"])
+
+    def compared(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """rows: whole groups, one after the other, residents first."""
         edge = np.flatnonzero((np.diff(rows["anchor"]) != 0) | (np.diff(rows["share"]) != 0)) + 1
         fp = np.stack([rows[p].view(np.uint64) for p in PRINT], 1)
-        found = []
+        found, size = [], 0
         for a, b in zip([0, *edge], [*edge, len(fp)]):
             if b - a > 1:
                 visitors = int(rows["side"][a:b].sum())
                 among = rows["share"][a] % (1 << 16) == rows["share"][a] >> 16
                 if among or 0 < visitors < b - a:
-                    found.append(proposals(rows["node"][a:b], rows["root"][a:b], fp[a:b], b - a - visitors, among, most, matches, turn))
-        none = (np.zeros(0, np.int64),) * 2
-        one, other = (pa.array(np.concatenate(x)) for x in zip(none, *found))
-        return pa.RecordBatch.from_arrays([one, other], names=["a", "b"])
+                    for piece in proposals(rows["node"][a:b], rows["root"][a:b], fp[a:b], b - a - visitors, among, most, matches):
+                        found.append(piece)
+                        size += len(piece[0])
+                        if size >= TOGETHER:
+                            yield batch_of(found)
+                            found, size = [], 0
+        yield batch_of(found)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {c: np.zeros(0, np.int64) for c in names}  # rows of the last group, which may go on; it has 2 * SHARE about at most
@@ -198,9 +207,9 @@ def proposed(nodes: DataFrame, blocks: int, more: int, most: int, turn: int) ->
             cut = int(edge[-1]) + 1 if len(edge) else 0
             held = {c: x[cut:] for c, x in rows.items()}
             if cut:
-                yield compared({c: x[:cut] for c, x in rows.items()})
+                yield from compared({c: x[:cut] for c, x in rows.items()})
         if len(held["anchor"]):
-            yield compared(held)
+            yield from compared(held)
         give_back()
 
     places = nodes.select("node", "root", *PRINT).mapInArrow(place, PLACED)
@@ -231,7 +240,7 @@ def groups(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) ->
         sets = shingles(docs.join(joined_if_small(wanted, BROADCAST), "uid", "left_semi").select("text"), words)
         return similar_pairs(pairs, saved(sets, "sets"), similarity)
 
-    return verified_groups(nodes, lambda asking, turn: proposed(asking, blocks, more, most, turn), check)
+    return verified_groups(nodes, lambda asking, whole: proposed(asking, blocks, more, most, whole), check)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -16,9 +16,10 @@ A component (or an exact class of segments or short lines) that occurs in two or
 the first of them, in the order of the input's rows, and marked for removal in all others.
 
 Equal units are one node from the start, so groups of copies are counted, never paired. Of a band only
-buckets with two or more different paragraphs go on. In a bucket each paragraph is paired with a few pivots, which
-an aggregation chooses, so no bucket is gathered or compared as a whole; what refuted pairs may have hidden is
-proposed once more with other and more pivots (`components.verified_groups`).
+buckets with two or more different paragraphs go on. In a bucket each paragraph is first paired with a few pivots, which
+an aggregation chooses; then all paragraphs that have met another and may be similar by their rarest shingles
+(`prefix_pairs`) are paired and verified, unless they are in one group. So no link between them is lost, and unlike
+paragraphs of a crowded bucket aren't paired.
 
 Null and empty texts have no units. Repeated rows count as documents of their own. A null doc_id
 stays null. Repeats within one document only are left alone. Other columns are ignored.
@@ -42,8 +43,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
 MIN_WORDS, REACH, MIN_RUN, MIN_SHORT = 20, 13, 25, 4
 #: Shingles that are min-hashed together.
 TOGETHER = 1 << 16
-#: Lines of a bucket that each of its lines is paired with, in the first turn and in later ones.
-PIVOTS = (3, 8)
+#: Lines of a bucket that each of its lines is paired with before all others are.
+PIVOTS = 3
 #: Rows of a side table that are broadcast at most.
 BROADCAST = 2_000_000
 LINE, SEGMENT, DOC, SHORT = 0, 1, 2, 3
@@ -158,6 +159,36 @@ def line_shingles(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, shingles array<long>")
 
 
+def pivoted(asking: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each line with a few pivots of each of its buckets; no bucket is gathered anywhere."""
+    chosen = [F.min_by("node", F.xxhash64("node", F.lit(salt))).alias(f"node{salt}") for salt in range(PIVOTS)]
+    pivots = asking.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), *chosen).filter("lo <> hi")
+    each = F.explode(F.array(*[F.col(f"node{salt}") for salt in range(PIVOTS)])).alias("other")
+    pairs = asking.join(pivots, "bucket").select("node", each).filter("node <> other")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def prefix_pairs(asking: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that have all pairs of the Jaccard similarity among them; asking: node, root; sets: node, shingles.
+
+    Of two sets of sizes m <= n that are similar, in the order of their shingles' frequency, rarest first, one of the first
+    m - ceil(2 s m / (1 + s)) + 1 of the smaller is one of the first n - ceil(s n) + 1 of the larger. So sets are joined on
+    these few shingles only, and shingles that one set alone has, which come first, make no rows.
+    """
+    sized = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = saved(sized.groupBy("token").count().filter("count > 1"), "often")
+    listed = sized.join(joined_if_small(often, BROADCAST), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("shared"))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6).cast("int") + 1
+    listed = listed.withColumn("own", F.col("n") - F.size("shared"))
+    listed = listed.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), first(similarity) - F.col("own"))))
+    rooted = asking.select("node", "root").distinct()
+    places = listed.select("node", "n", first(2 * similarity / (1 + similarity)).alias("short"), "own", F.posexplode("shared").alias("i", "x"))
+    places = saved(places.join(rooted, "node").select("node", "n", "root", F.col("x.token").alias("token"), (F.col("own") + F.col("i") < F.col("short")).alias("early")), "places")
+    less = places.filter("early").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("one"))
+    pairs = less.join(places.withColumnRenamed("node", "b"), "token").filter((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * similarity - 1e-6) & (F.col("one") != F.col("root")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def line_groups(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame | None:
     """(node, root) of the lines that are similar to another one; lines: h, doc_id of a holder, bands."""
     banded = lines.select("h", F.explode("bands").alias("bucket"))
@@ -169,14 +200,8 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     sets = line_shingles(texts).join(joined_if_small(wanted, BROADCAST), "h", "left_semi")
     sets = saved(sets.groupBy("h").agg(F.first("shingles").alias("shingles")).withColumnRenamed("h", "node"), "sets")
 
-    def propose(asking: DataFrame, turn: int) -> DataFrame:
-        """Each line with a few pivots of each of its buckets, of groups chosen by hashes: no bucket is gathered anywhere."""
-        salts = [turn * max(PIVOTS) + i for i in range(PIVOTS[turn > 0])]
-        chosen = [F.min_by(c, F.xxhash64("root", F.lit(salt))).alias(f"{c}{i}") for i, salt in enumerate(salts) for c in ("node", "root")]
-        pivots = asking.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *chosen).filter("lo <> hi")
-        each = F.inline(F.array(*[F.struct(F.col(f"node{i}").alias("other"), F.col(f"root{i}").alias("other_root")) for i in range(len(salts))]))
-        pairs = asking.join(pivots, "bucket").select("node", "root", each).filter("root <> other_root")
-        return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    def propose(asking: DataFrame, whole: bool) -> DataFrame:
+        return prefix_pairs(asking, sets, similarity) if whole else pivoted(asking)
 
     return verified_groups(meets, propose, lambda pairs: similar_pairs(pairs, sets, similarity))
 
