@@ -58,21 +58,23 @@ class Decisions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
-        batch = pd.concat([x[COLUMNS] for x in rows], ignore_index=True).sort_values("arrival_seq", kind="stable")
+        # a key has few rows, so plain lists cost less than a table of them
+        batch = [r for x in rows for r in zip(*[x[c].tolist() for c in COLUMNS])]
+        batch.sort(key=lambda r: (1, 0) if _none(r[0]) is None else (0, r[0]))
         out, valid = [], False
-        for r in batch.itertuples():
-            if pd.isna(r.is_valid):
+        for arrival, at, state_hash, is_valid, present, state in batch:
+            if pd.isna(is_valid):
                 continue
-            state_hash, state = _none(r.state_hash), _none(r.state)
+            state_hash, state, at = _none(state_hash), _none(state), _none(at)
             before = held or (None,) * 4
-            if not r.is_valid:
+            if not is_valid:
                 decision = "REJECT"
             else:
-                decision, held = Rules.decide(held, micros(r.observed_at), state_hash, None if pd.isna(r.present) else bool(r.present), state)
+                decision, held = Rules.decide(held, micros(at), state_hash, None if pd.isna(present) else bool(present), state)
                 valid = True
             if decision:
                 told = (before[1], before[3]) if decision not in ("STALE", "REJECT") else (None, None)
-                out.append((*key, r.arrival_seq, None if pd.isna(r.observed_at) else r.observed_at, state_hash, decision, told[0], state, told[1]))
+                out.append((*key, arrival, at, state_hash, decision, told[0], state, told[1]))
         if valid:
             self.state.update(held)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
