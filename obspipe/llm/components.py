@@ -55,23 +55,29 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     )
 
 
-def verified_groups(nodes: DataFrame, propose: Callable[[DataFrame, bool], DataFrame], check: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def verified_groups(
+    nodes: DataFrame, propose: Callable[[DataFrame, bool], DataFrame], check: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame | None:
     """(node, root) of all nodes with a verified link; None if there are none.
 
     nodes: node, in one row or several, and what `propose` needs. propose(nodes with root, whole) gives pairs (a, b) of
     nodes of different roots: a few for each node at first, which merge most of what belongs together, then (whole)
     every one that can be a link. check(pairs) gives (a, b, ok). So each possible link either is checked or lies in one
-    group anyway, and none is lost.
+    group anyway, and none is lost. rest(nodes with root), where it is given, takes the place of the second turn: it gives
+    the verified links (a, b) themselves, as many as join what belongs together.
     """
     links, found, refuted = None, None, None
     for whole in (False, True):
         rooted = nodes.withColumn("root", F.col("node"))
         if found is not None:
             rooted = saved(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        pairs = propose(rooted, whole)
-        pairs = pairs if refuted is None else pairs.join(refuted, ["a", "b"], "left_anti")
-        checked = saved(check(saved(pairs, "pairs")), "checked")
-        new, refuted = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
+        if whole and rest:
+            new = saved(rest(rooted), "rest")
+        else:
+            pairs = propose(rooted, whole)
+            pairs = pairs if refuted is None else pairs.join(refuted, ["a", "b"], "left_anti")
+            checked = saved(check(saved(pairs, "pairs")), "checked")
+            new, refuted = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             found = saved(components(links), "groups")

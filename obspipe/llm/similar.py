@@ -9,21 +9,22 @@ bits, times all values of the others. A fingerprint goes to every anchor within
 block's threshold, which is 0 here: to one. The number of further bits keeps about CROWD fingerprints at an anchor,
 whatever the number of documents, and the number of blocks brings pairs of the wanted similarity together with
 probability RECALL. At an anchor each fingerprint first proposes MATCHES of the others that differ from it by at
-most `most_bits`; these links merge most of what belongs together. Then all such pairs of fingerprints that aren't in
-one group yet are proposed, so no link between documents that meet is lost. An anchor of more than
-SHARE fingerprints is split into shares, each of which sees all of the anchor as a stream.
-
-Proposed pairs are joined with the shingle sets, and only pairs of the exact Jaccard similarity are links.
+most `most_bits`; these pairs are joined with the shingle sets, those of the exact Jaccard similarity are links, and
+they merge most of what belongs together. Then each fingerprint that is near one of another group goes to its anchors
+once more, with its shingle set. There all such pairs that aren't in one group yet are compared where they lie, so no
+link between documents that meet is lost, and a group of texts that are near each other but not similar makes a row
+for each of its texts and anchors, never one for each pair. An anchor of more than SHARE fingerprints, or of sets of
+more than HELD shingles, is split into shares, each of which sees all of the anchor as a stream.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, joined_if_small, numbered, saved, slices
@@ -36,6 +37,8 @@ CODE = 15
 RECALL = 0.98
 #: Fingerprints of an anchor on average, and of a share of an anchor at most, about.
 CROWD, SHARE = 128, 20_000
+#: Shingles of a share of an anchor at most, about, where sets are compared; and those that are looked up at once.
+HELD, LOOKED_UP = 2_000_000, 1 << 20
 #: Pairs that a fingerprint proposes at an anchor before all others are proposed.
 MATCHES = 2
 #: Pairs that leave a task together, about.
@@ -162,10 +165,38 @@ def proposals(node: np.ndarray, root: np.ndarray, fp: np.ndarray, residents: int
         yield np.minimum(a, b), np.maximum(a, b)
 
 
-def proposed(nodes: DataFrame, blocks: int, more: int, most: int, whole: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots that are near each other at an anchor, a few for each or (whole) all; nodes: node, root, fingerprint."""
-    names = ["anchor", "share", "side", "node", "root", *PRINT]
-    matches = None if whole else MATCHES
+def near_links(sets: list[np.ndarray], node: np.ndarray, root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of a group's rows that join all that the similar ones of the proposed pairs join, one fewer than they join at most."""
+    ends = np.cumsum([0, *map(len, sets)])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, label = np.zeros(len(values), bool), np.unique(root, return_inverse=True)[1]
+    place, found = np.argsort(node, kind="stable"), []
+    for a, b in pairs:
+        x, y = (place[np.searchsorted(node, v, sorter=place)] for v in (a, b))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        for own in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else ():
+            me = x[own[0]]
+            mine = at[ends[me] : ends[me + 1]]
+            marked[mine] = True
+            size = np.cumsum(ends[y[own] + 1] - ends[y[own]])
+            for others in np.split(y[own], np.flatnonzero(np.diff(size // LOOKED_UP)) + 1):
+                others = others[label[others] != label[me]]
+                if not len(others):
+                    continue
+                n = ends[others + 1] - ends[others]
+                both = np.add.reduceat(marked[np.concatenate([at[ends[o] : ends[o + 1]] for o in others])], np.cumsum(n) - n, dtype=np.int64)
+                others = others[both >= similarity * (len(mine) + n - both) - 1e-9]
+                joined, first = np.unique(label[others], return_index=True)
+                if len(joined):
+                    found += [(node[me], node[o]) for o in others[first]]
+                    label[np.isin(label, joined)] = label[me]
+            marked[mine] = False
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def placed(nodes: DataFrame, blocks: int, more: int) -> DataFrame:
+    """(anchor, node, root, fingerprint) for each anchor of each of the nodes: node, root, fingerprint."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,11 +208,39 @@ def proposed(nodes: DataFrame, blocks: int, more: int, most: int, whole: bool) -
                 yield pa.RecordBatch.from_arrays([at, *(part.column(c).take(rows) for c in ("node", "root", *PRINT))], names=["anchor", "node", "root", *PRINT])
         give_back()
 
+    return nodes.select("node", "root", *PRINT).mapInArrow(place, PLACED)
+
+
+def dealt(places: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """places with share and side, sorted by anchor, share and side. An anchor whose weights come to more than the limit
+    is split into shares, with a group for each two shares and for each share by itself; side tells the shares apart."""
+    # the anchors to be split are few; places are read once more for them, as they are cheaper to find than to store
+    crowd = saved(places.groupBy("anchor").agg(F.sum(weight).alias("all")).filter(F.col("all") > limit), "crowded")
+    if crowd.isEmpty():
+        spread = places.withColumns({"share": F.lit(0), "side": F.lit(0)})
+    else:
+        shares = crowd.select("anchor", F.ceil(F.col("all") / limit).alias("shares"))
+        own = F.pmod(F.xxhash64("node"), F.col("shares"))
+        both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda j: F.struct(
+            (F.shiftleft(F.least(own, j), 16) + F.greatest(own, j)).alias("share"), (own > j).cast("int").alias("side")))
+        spread = places.join(joined_if_small(shares, BROADCAST), "anchor", "left").withColumn("shares", F.coalesce("shares", F.lit(1).cast("long")))
+        spread = spread.select(*places.columns, F.inline(both))
+    return spread.repartition("anchor", "share").sortWithinPartitions("anchor", "share", "side")
+
+
+def compared(rows: DataFrame, most: int, matches: int | None, result: Callable, schema: str) -> DataFrame:
+    """What `result` makes of the groups of rows (anchor, share, side, node, root, fingerprint, perhaps more), two columns of numbers.
+
+    result(a group's columns, its pairs in pieces: see `proposals`) gives such columns in pieces.
+    """
+    names = rows.columns
+    out = [c.split()[0] for c in schema.split(", ")]
+
     def batch_of(found: list) -> pa.RecordBatch:
         one, other = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *found))
-        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], names=out)
 
-    def compared(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def each(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """rows: whole groups, one after the other, residents first."""
         edge = np.flatnonzero((np.diff(rows["anchor"]) != 0) | (np.diff(rows["share"]) != 0)) + 1
         fp = np.stack([rows[p].view(np.uint64) for p in PRINT], 1)
@@ -191,7 +250,8 @@ def proposed(nodes: DataFrame, blocks: int, more: int, most: int, whole: bool) -
                 visitors = int(rows["side"][a:b].sum())
                 among = rows["share"][a] % (1 << 16) == rows["share"][a] >> 16
                 if among or 0 < visitors < b - a:
-                    for piece in proposals(rows["node"][a:b], rows["root"][a:b], fp[a:b], b - a - visitors, among, most, matches):
+                    pairs = proposals(rows["node"][a:b], rows["root"][a:b], fp[a:b], b - a - visitors, among, most, matches)
+                    for piece in result({c: x[a:b] for c, x in rows.items()}, pairs):
                         found.append(piece)
                         size += len(piece[0])
                         if size >= TOGETHER:
@@ -199,34 +259,51 @@ def proposed(nodes: DataFrame, blocks: int, more: int, most: int, whole: bool) -
                             found, size = [], 0
         yield batch_of(found)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.zeros(0, np.int64) for c in names}  # rows of the last group, which may go on; it has 2 * SHARE about at most
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last group, which may go on; it has two shares of an anchor at most
         for batch in batches:
-            rows = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False)]) for c in names}
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            rows = {c: np.concatenate([held[c], x]) for c, x in rows.items()} if held else rows
             edge = np.flatnonzero((np.diff(rows["anchor"]) != 0) | (np.diff(rows["share"]) != 0))
             cut = int(edge[-1]) + 1 if len(edge) else 0
             held = {c: x[cut:] for c, x in rows.items()}
             if cut:
-                yield from compared({c: x[:cut] for c, x in rows.items()})
-        if len(held["anchor"]):
-            yield from compared(held)
+                yield from each({c: x[:cut] for c, x in rows.items()})
+        if held and len(held["anchor"]):
+            yield from each(held)
         give_back()
 
-    places = nodes.select("node", "root", *PRINT).mapInArrow(place, PLACED)
-    # the anchors of more than SHARE rows, which are few; read once more for them, as places are cheaper to find than to store
-    crowd = saved(places.groupBy("anchor").count().filter(F.col("count") > SHARE), "crowded")
-    if crowd.isEmpty():
-        spread = places.withColumns({"share": F.lit(0), "side": F.lit(0)})
-    else:
-        shares = crowd.select("anchor", F.ceil(F.col("count") / SHARE).alias("shares"))
-        own = F.pmod(F.xxhash64("node"), F.col("shares"))
-        # a group for each two shares, and for each share by itself
-        both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda j: F.struct(
-            (F.shiftleft(F.least(own, j), 16) + F.greatest(own, j)).alias("share"), (own > j).cast("int").alias("side")))
-        spread = places.join(joined_if_small(shares, BROADCAST), "anchor", "left").withColumn("shares", F.coalesce("shares", F.lit(1).cast("long")))
-        spread = spread.select("anchor", "node", "root", *PRINT, F.inline(both))
-    rows = spread.select(*names).repartition("anchor", "share").sortWithinPartitions("anchor", "share", "side")
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(run, schema).distinct()
+
+
+def proposed(nodes: DataFrame, blocks: int, more: int, most: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that are near each other at an anchor, a few for each or (whole) all; nodes: node, root, fingerprint."""
+    return compared(dealt(placed(nodes, blocks, more), F.lit(1), SHARE), most, None if whole else MATCHES, lambda rows, pairs: pairs, "a long, b long")
+
+
+def crossing(nodes: DataFrame, blocks: int, more: int, most: int) -> DataFrame:
+    """(anchor, node) of the nodes that are near one of another root at an anchor; nodes: node, root, fingerprint."""
+
+    def meet(rows: dict[str, np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        met = np.zeros(0, np.int64)
+        for a, b in pairs:
+            met = np.union1d(met, np.concatenate([a, b]))
+        yield np.full(len(met), rows["anchor"][0]), met
+
+    return compared(dealt(placed(nodes, blocks, more), F.lit(1), SHARE), most, None, meet, "anchor long, node long")
+
+
+def links_at_anchors(nodes: DataFrame, crosses: DataFrame, sets: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar nodes of different roots that are near each other at an anchor.
+
+    nodes: node, root, fingerprint; crosses: anchor, node, from `crossing`; sets: node, shingles. A row stands for a node at an anchor, never for a pair.
+    """
+    places = crosses.join(nodes.select("node", "root", *PRINT), "node").join(sets, "node").select("anchor", "node", "root", *PRINT, "shingles")
+
+    def link(rows: dict[str, np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield near_links(rows["shingles"], rows["node"], rows["root"], pairs, similarity)
+
+    return compared(dealt(places, F.size("shingles"), HELD), most, None, link, "a long, b long")
 
 
 def groups(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame | None:
@@ -234,13 +311,18 @@ def groups(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) ->
     blocks, more = layout(nodes.count(), similarity)
     most = most_bits(similarity)
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = saved(nodes.join(some.distinct(), "node", "left_semi").select("uid"), "wanted")
+        return saved(shingles(docs.join(joined_if_small(wanted, BROADCAST), "uid", "left_semi").select("text"), words), "sets")
+
     def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = saved(nodes.join(ends, "node", "left_semi").select("uid"), "wanted")
-        sets = shingles(docs.join(joined_if_small(wanted, BROADCAST), "uid", "left_semi").select("text"), words)
-        return similar_pairs(pairs, saved(sets, "sets"), similarity)
+        return similar_pairs(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), similarity)
+
+    def rest(rooted: DataFrame) -> DataFrame:
+        crosses = saved(crossing(rooted, blocks, more, most), "crosses")
+        return links_at_anchors(rooted, crosses, sets_of(crosses.select("node")), most, similarity)
 
-    return verified_groups(nodes, lambda asking, whole: proposed(asking, blocks, more, most, whole), check)
+    return verified_groups(nodes, lambda asking, whole: proposed(asking, blocks, more, most, whole), check, rest)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
