@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_if_small, saved
+from .common import discard, saved, temporary
 from .components import similar_pairs, verified_groups
 from .hashing import ODD, Words, mixed
 
@@ -46,7 +46,7 @@ TOGETHER = 1 << 16
 #: Lines of a bucket that each of its lines is paired with before all others are.
 PIVOTS = 3
 #: Rows of a side table that are broadcast at most.
-BROADCAST = 2_000_000
+BROADCAST = 200_000
 LINE, SEGMENT, DOC, SHORT = 0, 1, 2, 3
 #: Stands for a null doc_id inside.
 NONE = -(1 << 63)
@@ -159,6 +159,12 @@ def line_shingles(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, shingles array<long>")
 
 
+def sided(side: DataFrame) -> DataFrame:
+    """side, broadcast if it has few rows; otherwise joined by sort-merge, however few bytes its files have, so that the
+    plan of a table is that of all larger ones and the driver holds no table that grows with the input."""
+    return F.broadcast(side) if side.limit(BROADCAST + 1).count() <= BROADCAST else side.hint("merge")
+
+
 def pivoted(asking: DataFrame) -> DataFrame:
     """Pairs (a, b) of each line with a few pivots of each of its buckets; no bucket is gathered anywhere."""
     chosen = [F.min_by("node", F.xxhash64("node", F.lit(salt))).alias(f"node{salt}") for salt in range(PIVOTS)]
@@ -177,7 +183,7 @@ def prefix_pairs(asking: DataFrame, sets: DataFrame, similarity: float) -> DataF
     """
     sized = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     often = saved(sized.groupBy("token").count().filter("count > 1"), "often")
-    listed = sized.join(joined_if_small(often, BROADCAST), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("shared"))
+    listed = sized.join(sided(often), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("shared"))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6).cast("int") + 1
     listed = listed.withColumn("own", F.col("n") - F.size("shared"))
     listed = listed.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), first(similarity) - F.col("own"))))
@@ -193,11 +199,11 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     """(node, root) of the lines that are similar to another one; lines: h, doc_id of a holder, bands."""
     banded = lines.select("h", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("bucket")
-    meets = saved(banded.join(joined_if_small(saved(shared, "shared"), BROADCAST), "bucket").distinct().withColumnRenamed("h", "node"), "meets")
+    meets = saved(banded.join(sided(saved(shared, "shared")), "bucket").distinct().withColumnRenamed("h", "node"), "meets")
     wanted = saved(meets.select(F.col("node").alias("h")).distinct(), "wanted")
-    ids = saved(lines.join(joined_if_small(wanted, BROADCAST), "h", "left_semi").select("doc_id").distinct(), "ids")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), "text").join(joined_if_small(ids, BROADCAST), "doc_id", "left_semi")
-    sets = line_shingles(texts).join(joined_if_small(wanted, BROADCAST), "h", "left_semi")
+    ids = saved(lines.join(sided(wanted), "h", "left_semi").select("doc_id").distinct(), "ids")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), "text").join(sided(ids), "doc_id", "left_semi")
+    sets = line_shingles(texts).join(sided(wanted), "h", "left_semi")
     sets = saved(sets.groupBy("h").agg(F.first("shingles").alias("shingles")).withColumnRenamed("h", "node"), "sets")
 
     def propose(asking: DataFrame, whole: bool) -> DataFrame:
@@ -216,15 +222,22 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     span = [F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min_by("doc_id", "uid").alias("holder")]
     exact = found.filter(F.col("kind").isin(SEGMENT, SHORT)).groupBy("kind", "h").agg(*span).filter("lo < hi").select("kind", "h", "lo", "holder")
     lines = saved(found.filter(F.col("kind") == LINE).groupBy("h").agg(*span, F.first("bands").alias("bands")), "lines")
-    roots = line_groups(docs, lines.select("h", F.col("holder").alias("doc_id"), "bands"), similarity)
+    # what the lines' groups were found with is deleted before the passages take their place on the disks
+    with temporary(docs.sparkSession) as keep:
+        roots = line_groups(docs, lines.select("h", F.col("holder").alias("doc_id"), "bands"), similarity)
+        if roots is not None:
+            keep(roots)
+    spent = [lines]
     if roots is None:
         alike = lines.filter("lo < hi").select("h", "lo", "holder")
     else:
         rooted = saved(lines.drop("bands").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "rooted")
         whole = rooted.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("holder", "lo").alias("holder")).filter("lo < hi")
         alike = rooted.select("h", "root").join(whole, "root").select("h", "lo", "holder")
+        spent += [roots, rooted]
     classes = saved(exact.union(alike.select(F.lit(LINE).cast("byte").alias("kind"), "h", "lo", "holder")), "repeated")
-    at = found.drop("bands").join(joined_if_small(classes, BROADCAST), ["kind", "h"])
+    discard(*spent)
+    at = found.drop("bands").join(sided(classes), ["kind", "h"])
     at = at.select(F.lit(None).cast("long").alias("doc_id"), "uid", "kind", "no", "first", "last", (F.col("uid") == F.col("lo")).alias("keep"), "holder")
     own = found.filter(F.col("kind") == DOC).select("doc_id", "uid", "kind", "no", "first", "last", F.lit(True).alias("keep"), F.lit(None).cast("long").alias("holder"))
     return at.union(own)
