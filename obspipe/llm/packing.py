@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, parts, saved, slices
+from .common import give_back, parts, saved, slices
 
 END = (1).to_bytes(4, "little")
-#: Entries that a worker's memo of encoded words holds at most.
+#: Entries that a task's memo of encoded words holds at most.
 MEMO = 150_000
 #: Pieces that one packing task takes, about.
 PER_TASK = 50_000
@@ -84,8 +84,8 @@ class Encoder:
 def cut(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, window: int, with_ids: bool = False) -> DataFrame:
     """Pieces of at most `window` ids: full windows and a remainder for each document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("encoder", vocabulary), lambda: Encoder(vocabulary, ranks, pattern))
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary, ranks, pattern)
         for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -99,6 +99,11 @@ def cut(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, window: int,
                 [pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], names=list(out)
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # vocabulary and memo end with the task, as a waiting worker would hold them beside all that follows
+        yield from encoded(batches)
+        give_back()
+
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 

@@ -7,6 +7,7 @@ import time
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 
@@ -223,3 +224,18 @@ def test_temporary_tables_go(spark):
     with temporary(spark) as keep:
         gone, stays = saved(spark.range(3), "gone"), keep(saved(spark.range(4), "stays"))
     assert stays.count() == 4 and not Path(gone.saved_at).exists()
+
+
+def test_packing_leaves_nothing_in_workers(spark):
+    """Python workers that wait for further stages hold no tokenizer and no memo of the packing stage."""
+    assert stages.packing(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count() > 0
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            n = sum(type(o).__name__ == "Encoder" and hasattr(o, "memo") for o in gc.get_objects())
+            yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    found = spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()
+    assert found and not any(r.n for r in found)
