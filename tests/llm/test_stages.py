@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from obspipe.llm import components, decontaminate, pii, similar, stages
 from obspipe.llm.common import saved
@@ -239,3 +240,17 @@ def test_packing_leaves_nothing_in_workers(spark):
 
     found = spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()
     assert found and not any(r.n for r in found)
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "packing"])
+def test_workers_get_texts_by_bytes(spark, stage, monkeypatch):
+    """Long texts go to Python workers in batches of some megabytes, not by 10,000 rows."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 120, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 20_000).alias("text"))
+    sizes = []
+    for module, name in ((stages.classifier, "trained"), (stages.similar, "one_of_each"), (stages.queries, "pack")):
+        monkeypatch.setattr(module, name, lambda *a, **b: sizes.append(1))
+    monkeypatch.setattr(stages.classifier, "kept", lambda docs, model: docs)
+    getattr(stages, stage)(spark, docs, SF)
+    found = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sizes and max(r.n for r in found) < 16 << 20
